@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import secrets, sentencepiece_bpe, sharding, simhash
+from emberlog.llm import licenses, linededup, mixing, quality, secrets, sentencepiece_bpe, sharding, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_bpe.query,
     "op2_secrets": secrets.query,
+    "op3_topk": topk.query,
+    "op4_mixing": mixing.query,
+    "op5_quality": quality.query,
+    "op6_licenses": licenses.query,
+    "op8_linededup": linededup.query,
     "op9_sharding": sharding.query,
     "op10_simhash": simhash.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_topk": topk.SQL,
+    "op6_licenses": licenses.SQL,
+    "op8_linededup": linededup.SQL,
+}
