@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import licenses, linededup, mixing, quality, secrets, sentencepiece_bpe, sharding, simhash, topk
+from emberlog.llm import html_extract, licenses, linededup, mixing, quality, secrets, sentencepiece_bpe, sharding, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_bpe.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.query,
     "op5_quality": quality.query,
     "op6_licenses": licenses.query,
+    "op7_html": html_extract.query,
     "op8_linededup": linededup.query,
     "op9_sharding": sharding.query,
     "op10_simhash": simhash.query,
