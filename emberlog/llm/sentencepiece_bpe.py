@@ -26,7 +26,7 @@ WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NEVER = np.int64(1) << 62
 #: Words in the table of a worker, characters handled at once, and symbols beyond which
 #: a single word is merged with a heap, as rounds over it would be quadratic.
-TABLE_WORDS, CHUNK_CHARS, ROUND_SYMBOLS = 1_000_000, 1 << 21, 4096
+TABLE_WORDS, CHUNK_CHARS, ROUND_SYMBOLS = 400_000, 1 << 20, 4096
 #: Odd multiplier of the pair table's hash.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -300,6 +300,33 @@ def _chunks(sizes: list[int]) -> list[tuple[int, int]]:
     return [*cuts, (at, len(sizes))] if len(sizes) > at else cuts
 
 
+def encode_batch(texts: pa.Array, model: PieceModel) -> pa.ListArray:
+    """Ids of all texts of an Arrow batch, a piece of the batch at a time."""
+    sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in texts]
+    ids, ends, total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    for a, b in _chunks(sizes):
+        part, start = model.encode([t or "" for t in texts[a:b].to_pylist()])
+        ids.append(part)
+        ends.append(start[1:] + total)
+        total += len(part)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
+
+
+def decode_batch(rows: pa.ListArray, model: PieceModel) -> pa.StringArray:
+    """Texts of all id sequences of an Arrow batch; null sequences give empty texts."""
+    n = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, ids = np.r_[0, np.cumsum(n)], rows.flatten().to_numpy()
+    texts, ends, total = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], 0
+    for a, b in _chunks((4 * n).tolist()):
+        part, end = model.decode(ids[start[a] : start[b]], start[a : b + 1] - start[a])
+        texts.append(part)
+        ends.append(end[1:] + total)
+        total += len(part)
+    return pa.StringArray.from_buffers(
+        len(rows), pa.py_buffer(np.concatenate(ends).astype(np.int32)), pa.py_buffer(np.concatenate(texts))
+    )
+
+
 def encode_column(text: Column, model_path: str) -> Column:
     """Ids of each whole text (array of int), without begin or end ids.
 
@@ -309,14 +336,7 @@ def encode_column(text: Column, model_path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        model, rows = loaded(model_path), [t.as_py() or "" for t in texts]
-        ids, ends, total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
-        for a, b in _chunks([len(r) for r in rows]):
-            part, start = model.encode(rows[a:b])
-            ids.append(part)
-            ends.append(start[1:] + total)
-            total += len(part)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
+        return encode_batch(texts, loaded(model_path))
 
     return encode(text)
 
@@ -326,17 +346,23 @@ def decode_column(ids: Column, model_path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        model = loaded(model_path)
-        n = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        start = np.r_[0, np.cumsum(n)].astype(np.int64)
-        text, ends = model.decode(rows.flatten().to_numpy(), start)
-        return pa.StringArray.from_buffers(
-            len(rows), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())
-        )
+        return decode_batch(rows, loaded(model_path))
 
     return decode(ids)
 
 
+def round_trip_column(text: Column, model_path: str) -> Column:
+    """(ids, decoded) of each whole text: as decode_column after encode_column, in one pass of the worker."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def code(texts: pa.Array) -> pa.Array:
+        model = loaded(model_path)
+        ids = encode_batch(texts, model)
+        return pa.StructArray.from_arrays([ids, decode_batch(ids, model)], ["ids", "decoded"])
+
+    return code(text)
+
+
 def query(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """op1: every whole text encoded and decoded again."""
     return digests(table(spark, sf_dir, "documents"), model_path)
@@ -348,10 +374,10 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
         import public_tokenizers
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = docs.select("doc_id", encode_column(F.col("text"), model_path).alias("ids"))
+    coded = docs.select("doc_id", round_trip_column(F.col("text"), model_path).alias("c"))
     return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decode_column(F.col("ids"), model_path), 256).alias("decoded_sha256"),
+        F.size("c.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("c.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("c.decoded", 256).alias("decoded_sha256"),
     )
