@@ -56,14 +56,14 @@ def high_entropy_spans(s: str, threshold: float, window: int = WINDOW) -> list[t
     total = 0.0
     spans: list[tuple[int, int]] = []
     for i, ch in enumerate(s):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += clog[c + 1] - clog[c]
         if i >= window:
             old = s[i - window]
             c = counts[old]
             counts[old] = c - 1
             total += clog[c - 1] - clog[c]
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += clog[c + 1] - clog[c]
         if i >= window - 1 and math.log2(window) - total / window >= threshold - 1e-9:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
