@@ -11,6 +11,7 @@ that it has seen in a table of bounded size.
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 
@@ -29,6 +30,9 @@ NEVER = np.int64(1) << 62
 TABLE_WORDS, CHUNK_CHARS, ROUND_SYMBOLS = 400_000, 1 << 20, 4096
 #: Odd multiplier of the pair table's hash.
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The error handler of decoding: U+FFFD for each byte that is no part of a character.
+EACH_BYTE = "emberlog-each-byte"
+codecs.register_error(EACH_BYTE, lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 class WordTable(dict):
@@ -263,7 +267,7 @@ class PieceModel:
         """UTF-8 bytes of all sequences, and where each one's begin.
 
         As in the library, the U+2581 that leads a sequence is dropped, and
-        bytes that are no UTF-8 become U+FFFD.
+        bytes that are no UTF-8 become U+FFFD each.
         """
         n, at = self.spelling_len[ids], self.spelling_at[ids]
         lead = start[:-1][start[1:] > start[:-1]]
@@ -276,7 +280,7 @@ class PieceModel:
         if not self.is_byte[ids].any():
             return out, ends
         whole = [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        whole = [b.decode("utf-8", "replace").encode() for b in whole]
+        whole = [b.decode("utf-8", EACH_BYTE).encode() for b in whole]
         return np.frombuffer(b"".join(whole), np.uint8), np.r_[0, np.cumsum([len(b) for b in whole])].astype(np.int64)
 
 
