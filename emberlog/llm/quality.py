@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import WORD, free_name, materialize, table
+from emberlog.llm.common import WORD, materialize, table
 
 RISK, DELTA = 0.01, 0.05
 #: Each rule's score as SQL over the counts, and its grid of cutoffs.
@@ -195,9 +195,9 @@ def judge(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~base_failed() & ~F.expr(beyond)).drop("cuts")
 
 
-def cutoffs_from(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The counts of every document (materialized), and the certified cutoffs."""
-    counted = materialize(counts(docs, "text", [F.col("doc_id"), stratum("lang")]), "counts")
+def cutoffs_from(docs: DataFrame, labels: DataFrame, *keep: Column) -> tuple[DataFrame, DataFrame]:
+    """The counts of every document, with keep (materialized), and the certified cutoffs."""
+    counted = materialize(counts(docs, "text", [*keep, F.col("doc_id"), stratum("lang")]), "counts")
     return counted, calibrate(counted.join(labelled_good(labels), "doc_id", "left_semi"))
 
 
@@ -208,11 +208,9 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fewer than ten words or many repeats go; the rest go only by a certified
     cutoff. Repeated rows are judged alike. No rows in, no rows out.
     """
-    counted, cutoffs = cutoffs_from(docs, labels)
-    whole = free_name(docs, "_row")
-    again = counts(docs, "text", [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), stratum("lang")])
-    kept = judge(again, cutoffs).where("kept").select(f"{whole}.*")
-    return kept
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    counted, cutoffs = cutoffs_from(docs, labels, whole)
+    return judge(counted, cutoffs).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
