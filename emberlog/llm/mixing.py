@@ -276,9 +276,17 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: a row of docs for each copy taken, dealt to shards and shuffled within them."""
-    mixed = mix(docs, shards).withColumn("_copy", F.explode("copies"))
-    return mixed.repartition(shards, "_copy.shard").sortWithinPartitions("_copy.shard", "_copy.order_key").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: a row of docs for each copy taken, dealt to shards and shuffled within them.
+
+    A shard's order is cut into 2**16 pieces that go to tasks of their own, so
+    no task holds a shard. The rows of a task are in the order of their shards.
+    """
+    mixed = mix(docs, shards)
+    copy = free_name(mixed, "_copy")
+    mixed = mixed.withColumn(copy, F.explode("copies"))
+    shard, key = F.col(f"{copy}.shard"), F.col(f"{copy}.order_key")
+    dealt = mixed.repartition(shard, F.shiftrightunsigned(key, 48)).sortWithinPartitions(shard, key)
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
