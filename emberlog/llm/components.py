@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: link larger neighbours of a node to its least; small: the other ones."""
+def _star(edges: DataFrame, large: bool, written: list[DataFrame]) -> DataFrame:
+    """Large: link larger neighbours of a node to its least; small: the other ones. Its own tables go to written."""
     if large:
         both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).union(
             edges.select(F.col("b").alias("n"), F.col("a").alias("m"))
@@ -22,6 +22,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m"))
     least = both.groupBy("n").agg(F.min("m").alias("least")).withColumn("least", F.least("n", "least"))
+    # written, so that the join below deals its sides anew and Spark can split the partition of a node with many links
+    least = materialize(least, "least")
+    written.append(least)
     linked = both.join(least, "n")
     if large:
         out = linked.where("m > n").select(F.col("m").alias("a"), F.col("least").alias("b"))
@@ -41,9 +44,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
     state = None
     for _ in range(rounds):
-        new = materialize(_star(_star(edges, True), False), "edges")
-        discard(edges)
-        edges = new
+        written = [edges]
+        edges = materialize(_star(_star(edges, True, written), False, written), "edges")
+        for done in written:
+            discard(done)
         # decimals, so that sums of hashes cannot overflow
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
