@@ -11,18 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Fixed values. With a pattern of NORMAL and HOST: what any text that it changes holds.
 LEVEL = r"(?Ud)^(ERROR|WARNING|NOTE|DEBUG):\s?"
 NORMAL = (
-    (r"(?Ud)0x[0-9a-fA-F]+", "0x<HEX>"),
-    (r"(?Ud)(run\.[A-Za-z0-9_]+\.)\d+", "$1<PID>"),
-    (r"(?Ud)([\w./+-]*\.[A-Za-z][A-Za-z0-9+]*):\d+(?::\d+)?", "$1:<N>"),
-    (r"(?Ud)\bline \d+\b", "line <N>"),
+    (r"(?Ud)0x[0-9a-fA-F]+", "0x<HEX>", r"0x"),
+    (r"(?Ud)(run\.[A-Za-z0-9_]+\.)\d+", "$1<PID>", r"run\."),
+    (r"(?Ud)([\w./+-]*\.[A-Za-z][A-Za-z0-9+]*):\d+(?::\d+)?", "$1:<N>", r"(?U)[A-Za-z0-9+]:\d"),
+    (r"(?Ud)\bline \d+\b", "line <N>", r"(?U)line \d"),
 )
 HOST = (
-    (r'(?Ud)SSH_AUTH_SOCK="[^"]*"', 'SSH_AUTH_SOCK="<redacted>"'),
-    (r"(?Ud)/[\w.+-]+/[\w.+-]+/\.(?:gnupg|ssh)/[\w./+-]*", "<redacted-path>"),
-    (r"(?Ud)/[\w.+-]+/[\w.+-]+/\d{4}-\d{2}-\d{2}", "HOSTDIR"),
+    (r'(?Ud)SSH_AUTH_SOCK="[^"]*"', 'SSH_AUTH_SOCK="<redacted>"', r"SSH_AUTH_SOCK"),
+    (r"(?Ud)/[\w.+-]+/[\w.+-]+/\.(?:gnupg|ssh)/[\w./+-]*", "<redacted-path>", r"/\.(?:gnupg|ssh)/"),
+    (r"(?Ud)/[\w.+-]+/[\w.+-]+/\d{4}-\d{2}-\d{2}", "HOSTDIR", r"(?U)/\d{4}-\d"),
 )
 SECRET = r"(?Uid)password|passwd|secret|token|api[_-]?key|private[_-]?key|credential"
 SECRET_LINE = "# [redacted secret]"
@@ -102,9 +102,10 @@ def backtrace(lines: Column) -> Column:
     return F.transform(let(head, after), frame)
 
 
-def _replaced(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, by in steps:
-        text = F.regexp_replace(text, pattern, by)
+def _replaced(text: Column, steps: tuple[tuple[str, str, str], ...]) -> Column:
+    """All steps in order. Their patterns try many starts, so they run only on texts that hold their mark."""
+    for pattern, by, mark in steps:
+        text = let(text, lambda t: F.when(t.rlike(mark), F.regexp_replace(t, pattern, by)).otherwise(t))  # noqa: B023
     return text
 
 

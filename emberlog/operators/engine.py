@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog import schema
 from emberlog.functions.labels import phase_rank, severity_rank
-from emberlog.functions.text import collapsed, log_lines, signature
+from emberlog.functions.text import collapsed, let, log_lines, signature
 from emberlog.operators.rules import Rule, fallback_rule, registered_rules
 
 #: Order of findings as they were found, and their columns.
@@ -70,11 +70,13 @@ def findings_of(builds: DataFrame, rules: Sequence[Rule] | None = None) -> DataF
     """
     read = builds.select("build_key", F.lit(-1).alias("failure_ord"), F.posexplode("ingest_findings").alias("rule_ord", "h"))
     read = read.select(*FOUND, *[F.col(f"h.{c}") if c in ("category", "severity", "title", "evidence", "confidence") else F.lit(None).alias(c) for c in FIELDS])
-    hits = with_hits(failures_of(builds), rules).select("build_key", "failure_ord", F.posexplode("hits").alias("rule_ord", "h")).select(*FOUND, "h.*")
+    # outer: from an inner explode Spark infers a filter that evaluates all rules once more
+    hits = with_hits(failures_of(builds), rules).select("build_key", "failure_ord", F.posexplode_outer("hits").alias("rule_ord", "h"))
+    hits = hits.where("rule_ord IS NOT NULL").select(*FOUND, "h.*")
     found = hits.unionByName(read)
-    found = found.withColumn("evidence", collapsed(F.col("evidence")))
-    found = found.withColumn("signature", signature(F.col("category"), F.col("title"), F.col("evidence")))
-    return mark_cascades(found)
+    signed = let(collapsed(F.col("evidence")), lambda e: F.struct(e.alias("evidence"), signature(F.col("category"), F.col("title"), e).alias("signature")))
+    found = found.withColumn("signed", signed).withColumns({"evidence": F.col("signed.evidence"), "signature": F.col("signed.signature")})
+    return mark_cascades(found.drop("signed"))
 
 
 def mark_cascades(findings: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 def failure_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A row for each line of each failure."""
-    f = engine.failures_of(builds(spark, sf)).select("build_key", F.col("failure_ord").cast("bigint").alias("failure_ord"), F.explode(text.log_lines(F.col("log"))).alias("l"))
+    f = engine.failures_of(builds(spark, sf)).select("build_key", F.col("failure_ord").cast("bigint").alias("failure_ord"), F.explode_outer(text.log_lines(F.col("log"))).alias("l")).where("l IS NOT NULL")
     return f.select("build_key", "failure_ord", F.col("l.n").cast("bigint").alias("n"), "l.level", F.col("l.text").alias("body"))
 
 
@@ -57,7 +57,7 @@ _WHOLE = f"SELECT doc_id, n, regexp_replace(t, '\\r$', '') AS t FROM ({_DOC_LINE
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(text.log_texts(F.col("text"))).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("bigint").alias("n"), "line")
+    return table(spark, sf, "documents").select("doc_id", F.posexplode_outer(text.log_texts(F.col("text"))).alias("i", "line")).where("i IS NOT NULL").select("doc_id", (F.col("i") + 1).cast("bigint").alias("n"), "line")
 
 
 @query(f"SELECT doc_id, n, t AS line FROM ({_WHOLE})")
