@@ -105,3 +105,49 @@ def test_near_copies_go_and_others_stay(spark, docs):
 def test_empty_table_and_repeated_rows(spark, docs):
     assert simhash.drop_near_duplicates(docs([])).count() == 0
     assert simhash.drop_near_duplicates(docs([(1, "a b"), (1, "a b"), (2, "a b")])).count() == 2
+
+
+def similar(a, b, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_pairs_below_the_similarity_stay(spark, docs, monkeypatch):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for changed in (6, 8, 14, 16, 18, 20, 24, 30) * 4:  # similarities of 0.90 to 0.59
+        own = [word() for _ in range(120)]
+        rows += [" ".join(own), " ".join(own[: 120 - changed] + [word() for _ in range(changed)])]
+    for _ in range(6):  # short texts, as line dedup may leave
+        own = [word() for _ in range(16)]
+        rows += [" ".join(own), " ".join([*own[:14], word(), word()])]
+    same = "ja " * 300  # one shingle outweighs all others, which are distinct
+    rows += [same + " ".join(word() for _ in range(40)) for _ in range(2)]
+    alike = [(i, j) for j in range(len(rows)) for i in range(j) if similar(rows[i], rows[j]) >= 0.8]
+    want = set(range(len(rows))) - {j for _, j in alike}
+    assert len(alike) == 8
+    for chunk in (1024, 1):  # whole groups, and a chunk for each text
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert {r.doc_id for r in simhash.drop_near_duplicates(docs(list(enumerate(rows)))).collect()} == want
+
+
+def test_sizes_and_connections_of_similar_links():
+    rnd = np.random.default_rng(5)
+    sets = [rnd.choice(10_000, 40, replace=False) for _ in range(12)]
+    for s in sets[:12]:
+        sets += [np.concatenate([s[k:], rnd.choice(10_000, k, replace=False)]) for k in (2, 5, 9)]
+    sets = [np.unique(s) for s in sets]
+    fps = np.zeros((len(sets), 4), np.uint64)  # all are candidates
+    sizes = np.array([*map(len, sets)])
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    want = simhash.absorb(np.arange(len(sets)), *np.array(pairs).T)
+    for half in (None, 20):
+        got = np.arange(len(sets))
+        parts = [(range(48), None)] if half is None else [(range(20), None), (range(20, 48), None), (range(20), range(20, 48))]
+        for a, b in parts:
+            at = np.array([*a, *(b or [])])
+            hung, root = simhash.similar_links(fps[list(a)], None if b is None else fps[list(b)], sizes[at], np.concatenate([sets[i] for i in at]), 20, 54, (4, 5))
+            got = simhash.absorb(got, at[hung], at[root])
+        assert (got == want).all()
+    assert 12 < len(set(want.tolist())) < 48
