@@ -1,12 +1,18 @@
 """Quality rules whose cutoffs carry a risk guarantee.
 
 Every rule scores a document; larger is worse. On labelled holdouts, per
-stratum (the language), an exact binomial test decides for each cutoff of a
-fixed grid whether the share of good documents beyond it is at most the
-rule's share of the allowed risk. The strictest cutoff that passes is used; a
-stratum with too few labels to pass any rejects nothing. Bonferroni's
-correction covers all strata, rules and cutoffs, so with probability
-1 - DELTA no stratum loses more than RISK of its good documents.
+stratum (the language), cutoffs are tightened step by step in a fixed order
+(STEPS): the loosest of each rule first, then the next. An exact binomial test
+decides at each step whether the share of good documents beyond any cutoff,
+the new one included, is at most RISK. A rule whose step fails keeps its last
+cutoff and is not tried again. The steps up to the first failure need no
+correction for their number, as the first set of cutoffs that loses too much
+must pass by chance for anything to go wrong. After j failures the order
+depends on which of the steps failed, so there the level is divided by the
+number of choices of j steps. Each j has a share 2^-(j+1) of DELTA, and the
+strata with labels enough to pass any test share alike, so with probability
+1 - DELTA no stratum loses more than RISK of its good documents to cutoffs.
+A stratum with too few labels rejects nothing by them.
 
 All of this is DataFrame functions: no Python runs on the executors.
 """
@@ -31,6 +37,13 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.02, 0.05, 0.1, 0.15, 0.2)),
     "long_words": ("n_chars_in_words / greatest(n_words, 1)", (8.0, 10.0, 12.0, 15.0, 20.0)),
 }
+#: The order of tests: (rule, grid place of its new cutoff), from the loosest cutoffs of all rules to the strictest.
+STEPS: list[tuple[int, int]] = [
+    (r, len(grid) - 1 - d)
+    for d in range(max(len(grid) for _, grid in RULES.values()))
+    for r, (_, grid) in enumerate(RULES.values())
+    if d < len(grid)
+]
 SPACES = r"[\x20\x09-\x0D]+"
 REPEAT = 5
 #: Strata up to which their cutoffs are broadcast; beyond, they are joined by a shuffle.
@@ -130,50 +143,71 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), step, lambda acc: acc["sum"])
 
 
-def calibrate(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, cuts): a map from rule to its certified cutoff, for every stratum.
+def log_levels(delta: float) -> list[float]:
+    """ln of a test's level after 0, 1, ... failures, for a single stratum."""
+    return [math.log(delta / 2 ** (j + 1) / math.comb(len(STEPS), j)) for j in range(len(RULES))]
+
+
+def tightened(of: Column, n: Column, strata: Column, risk: float, delta: float) -> Column:
+    """Grid places of the cutoffs certified by all steps; a grid's length is no cutoff.
 
-    good has the counts and the stratum of every labelled good document. Per
-    rule and stratum only a histogram over the grid is shuffled. Without
-    labels there are no strata, and nothing will be rejected.
+    of holds structs (beyond, n): for each rule how many cutoffs of its grid the
+    score is beyond, and how many documents are alike in that. n is their sum.
     """
-    share = risk / len(RULES)
-    scored = good.select(
-        "stratum",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(rule).alias("rule"),
-                        # grid cutoffs below the score: it is beyond just these
-                        F.expr("+".join(f"int({score} > {c}D)" for c in grid)).alias("beyond"),
-                    )
-                    for rule, (score, grid) in RULES.items()
-                ]
-            )
-        ).alias("s"),
-    ).select("stratum", "s.*")
-    histogram = scored.groupBy("stratum", "rule", "beyond").agg(F.count("*").alias("n"))
-    dense = histogram.groupBy("stratum", "rule").agg(
-        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("beyond", "n"))).alias("of")
+    levels = F.array(*[F.lit(x) for x in log_levels(delta)])
+
+    def step(acc: Column, at: Column) -> Column:
+        places = F.transform(acc["places"], lambda p, i: F.when(i == at["rule"], at["place"]).otherwise(p))
+
+        def tried(places: Column) -> Column:
+            out = lambda e: F.exists(F.zip_with(e["beyond"], places, lambda b, p: b > p), lambda x: x)
+            k = F.aggregate(of, F.lit(0).cast("long"), lambda sum_, e: sum_ + F.when(out(e), e["n"]).otherwise(0))
+
+            def verdict(k: Column) -> Column:
+                # beyond the mean the probability exceeds any bound in use, so it is not summed
+                bound = F.get(levels, acc["failed"]) - F.log(strata)
+                passed = F.when(k <= n * risk, log_binomial_cdf(k, n, risk) <= bound).otherwise(F.lit(False))
+                stopped = F.transform(acc["stopped"], lambda x, i: x | ((i == at["rule"]) & ~passed))
+                return F.struct(
+                    F.when(passed, places).otherwise(acc["places"]).alias("places"),
+                    stopped.alias("stopped"),
+                    (acc["failed"] + F.when(passed, 0).otherwise(1)).alias("failed"),
+                )
+
+            return let(k, verdict)
+
+        return F.when(F.get(acc["stopped"], at["rule"]), acc).otherwise(let(places, tried))
+
+    start = F.struct(
+        F.array(*[F.lit(len(grid)) for _, grid in RULES.values()]).alias("places"),
+        F.array(*[F.lit(False) for _ in RULES]).alias("stopped"),
+        F.lit(0).alias("failed"),
     )
-    grid_of = F.create_map(*[x for r, (_, g) in RULES.items() for x in (F.lit(r), F.array(*[F.lit(c) for c in g]))])
-    tests = dense.select("stratum", "rule", "n", "of", F.posexplode(F.element_at(grid_of, F.col("rule"))).alias("at", "cut"))
-    tests = tests.withColumn(
-        "k",
-        F.aggregate(
-            F.map_entries("of"), F.lit(0).cast("long"), lambda acc, e: acc + F.when(e["key"] > F.col("at"), e["value"]).otherwise(0)
-        ),
-    )
-    strata = good.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    n_tests = sum(len(g) for _, g in RULES.values())
-    bound = F.log(F.lit(delta) / n_tests / F.col("strata"))
-    # beyond the mean the probability exceeds any bound in use, so it is not summed
-    possible = F.col("k") <= F.col("n") * share
-    passed = F.when(possible, log_binomial_cdf(F.col("k"), F.col("n"), share) <= bound).otherwise(False)
-    certified = tests.join(F.broadcast(strata)).where(passed)  # one row
-    best = certified.groupBy("stratum", "rule").agg(F.min("cut").alias("cut"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
+    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(p).alias("place")) for r, p in STEPS])
+    return F.aggregate(steps, start, step, lambda acc: acc["places"])
+
+
+def calibrate(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, cuts): a map from rule to its certified cutoff, for every stratum with labels enough.
+
+    good has the counts and the stratum of every labelled good document. Only
+    a histogram over the grids is shuffled. Without labels there are no
+    strata, and nothing will be rejected.
+    """
+    # grid cutoffs below the score: it is beyond just these
+    beyond = [F.expr("+".join(f"int({score} > {c}D)" for c in grid)) for score, grid in RULES.values()]
+    histogram = good.select("stratum", F.array(*beyond).alias("beyond")).groupBy("stratum", "beyond").agg(F.count("*").alias("n"))
+    dense = histogram.groupBy("stratum").agg(F.sum("n").alias("n"), F.collect_list(F.struct("beyond", "n")).alias("of"))
+    # fewer cannot pass even if no other stratum counts and none is beyond; sizes say nothing of the scores
+    dense = materialize(dense.where(F.col("n") >= log_levels(delta)[0] / math.log1p(-risk)), "histograms")
+    strata = dense.agg(F.count("*").alias("strata"))
+    found = dense.join(F.broadcast(strata))  # one row
+    places = found.select("stratum", tightened(F.col("of"), F.col("n"), F.col("strata"), risk, delta).alias("places"))
+    cuts = [
+        F.struct(F.lit(rule).alias("rule"), F.get(F.array(*[F.lit(c) for c in grid]), F.get("places", F.lit(r))).alias("cut"))
+        for r, (rule, (_, grid)) in enumerate(RULES.items())
+    ]
+    return places.select("stratum", F.map_from_entries(F.filter(F.array(*cuts), lambda x: x["cut"].isNotNull())).alias("cuts"))
 
 
 def stratum(col: str) -> Column:

@@ -116,3 +116,43 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark, docs):
     assert quality.filter_documents(df.withColumn("lang", F.lit(None).cast("string")), labels).count() == 3
     assert quality.filter_documents(df, labels.where("false")).count() == 3
     assert quality.filter_documents(df.where("false"), labels).count() == 0
+
+
+def brute_steps(of_stratum, strata):
+    """Cutoffs by rule of [scores], tightened in the fixed order."""
+    cuts, stopped = {}, set()
+    for d in range(7):
+        for rule, (_, grid) in quality.RULES.items():
+            if d >= len(grid) or rule in stopped:
+                continue
+            new = {**cuts, rule: grid[len(grid) - 1 - d]}
+            k = sum(any(x[r] > c for r, c in new.items()) for x in of_stratum)
+            j, n = len(stopped), len(of_stratum)
+            if k <= n * quality.RISK and cdf(k, n, quality.RISK) <= quality.DELTA / 2 ** (j + 1) / math.comb(35, j) / strata:
+                cuts = new
+            else:
+                stopped.add(rule)
+    return cuts
+
+
+def test_hundreds_of_labels_certify(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    counted, cutoffs = quality.cutoffs_from(docs, labels)
+    good = counted.join(quality.labelled_good(labels), "doc_id", "left_semi").collect()
+    by_lang = {}
+    for r in good:
+        by_lang.setdefault(r.stratum, []).append(scores(r.asDict()))
+    enough = {s: x for s, x in by_lang.items() if len(x) >= 368}
+    assert {s: r for s, r in cutoffs.collect()} == {s: brute_steps(x, len(enough)) for s, x in enough.items()}
+    judged = quality.judge(counted, cutoffs)
+    assert judged.where(~F.col("kept") & ~quality.base_failed()).count() > 0
+
+
+def test_a_rule_that_good_documents_break_does_not_stop_the_others(spark):
+    words = "the quick brown fox jumps over a lazy dog while it rains on hills of today"
+    text = lambda i: (words.upper() if i % 2 else words) + f" {i} {i * 7}" + (" # $ % & * < > | # $ % & *" if i % 50 == 0 else "")
+    rows = [(i, text(i), "xx", "s", 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, int(i % 50 > 0), 0) for i in range(2000)], "doc_id bigint, quality int, toxic int")
+    assert {r.doc_id for r in quality.filter_documents(df, labels).collect()} == {i for i in range(2000) if i % 50}
