@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known
-licence sentences, and the sequence of identifiers found is matched against
+A text is cut at sentence ends and blank lines and normalised; known licence
+sentences are found between the cuts, on lines of their own or wrapped, and the sequence of identifiers found is matched against
 ordered rules: a rule names identifiers that must follow one another, with
 others between them allowed, and the first rule of a licence that matches is
 reported. Everything happens within a row, as DataFrame functions.
@@ -77,6 +77,50 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("reserved", "reference", ("reserved",)),
 )
 
+_FREE = (
+    "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License "
+    "as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version."
+)
+
+
+def _free(name: str, version: str) -> tuple[str, ...]:
+    return tuple(_FREE.format(what=w, a=a, b=b, name=name, version=version) for w in ("program", "library") for a, b in (":,", ";;"))
+
+
+#: Further sentences and rules, which the SQL does not know.
+MORE_SENTENCES: dict[str, tuple[str, ...]] = {
+    "apache-obtain": ("You may obtain a copy of the License at",),
+    "mit-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ),
+    "gpl-redistribute": _free("", "3"),
+    "gpl2-redistribute": _free("", "2"),
+    "lgpl21-redistribute": _free("Lesser ", "2.1"),
+    "lgpl3-redistribute": _free("Lesser ", "3"),
+    "agpl-redistribute": _free("Affero ", "3"),
+    "mpl-subject": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "isc-grant": tuple(
+        f"Permission to use, copy, modify, {x} distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+        for x in ("and", "and/or")
+    ),
+    "bsd-warranty": tuple(
+        f'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {x} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+        for x in ("HOLDERS AND CONTRIBUTORS", "HOLDER AND CONTRIBUTORS", "HOLDERS OR CONTRIBUTORS")
+    ),
+}
+MORE_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("GPL-2.0-or-later", "notice", ("gpl2-redistribute",)),
+    ("GPL-3.0-or-later", "grant", ("gpl-redistribute",)),
+    ("LGPL-2.1-or-later", "notice", ("lgpl21-redistribute",)),
+    ("LGPL-3.0-or-later", "notice", ("lgpl3-redistribute",)),
+    ("AGPL-3.0-or-later", "notice", ("agpl-redistribute",)),
+    ("MPL-2.0", "notice", ("mpl-subject",)),
+    ("ISC", "grant", ("isc-grant",)),
+)
+
 #: Every known sentence contains one of these; texts without any are not cut up.
 MARKS = ("licen", "permission", "redistribut", "rights reserved", "copyright", "endorse", "warranty")
 END = r"([.!?;:])[\x20\x09-\x0D]+"
@@ -96,32 +140,56 @@ def rule_pattern(ids: tuple[str, ...]) -> str:
     return "(^|,)" + "(,[^,]+)*,".join(ids) + "(,|$)"
 
 
+def cut_up(text: str) -> str:
+    """As the column's cut: words, | for sentence ends and blank lines, and newlines."""
+    low = re.sub(END, "|", text.translate(str.maketrans(UPPER, LOWER)))
+    return re.sub(" *([\n|]) *", r"\1", re.sub("[^a-z0-9\n|]+", " ", low)).strip(" ")
+
+
+def every_known() -> dict[str, str]:
+    """Identifier by normalised sentence; ends within a sentence are spaces too."""
+    return known() | {normalized(s): key for key, ss in MORE_SENTENCES.items() for s in ss}
+
+
+def sentence_pattern() -> str:
+    """The known sentences, longest first, between ends or line breaks and wrapped anywhere."""
+    whole = {cut_up(s) for ss in [*SENTENCES.values(), *MORE_SENTENCES.values()] for s in ss}
+    each = sorted(whole, key=lambda s: (-len(s), s))
+    wrapped = "|".join(re.sub("[ |]", lambda m: "[ \n]" if m[0] == " " else "[ \n|]", s) for s in each)
+    return f"(?<![^\n|])({wrapped})(?![^\n|])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a whole text, in order; null and other texts: none."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    pieces = F.split(F.regexp_replace(low, END, "$1\n"), "\n")
-    lookup = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER + "|", LOWER + " ")
+    bare = F.regexp_replace(low, "(^|\n)[^a-z0-9\n]+", "$1")  # comment leaders and indents
+    cut = F.regexp_replace(F.regexp_replace(bare, END, "|"), "[^a-z0-9\n|]+", " ")
+    cut = F.regexp_replace(F.trim(F.regexp_replace(cut, " *([\n|]) *", "$1")), "\n\n+", "|")
+    lookup = F.create_map(*[F.lit(x) for pair in every_known().items() for x in pair])
 
     def find(s: Column) -> Column:
-        return F.try_element_at(lookup, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+        return F.try_element_at(lookup, F.regexp_replace(s, "[\n|]+", " "))
 
     marked = low.rlike("|".join(MARKS))
-    found = F.filter(F.transform(pieces, find), lambda x: x.isNotNull())
+    found = F.transform(F.regexp_extract_all(cut, F.lit(sentence_pattern()), F.lit(1)), find)
     return F.when(marked, found).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with sentence_ids (array) and licenses (array of licence:rule, in rule order).
 
-    A sentence ends at a newline, or at . ! ? ; : before white space. Null,
+    A sentence starts and ends at a line's ends, at a blank line, or at
+    . ! ? ; : before white space; within, it may be wrapped over lines, each
+    with a comment leader. Null,
     empty and unmarked texts have no licence; repeated rows are judged alike;
     sentences repeated in a text count as often. Nothing is shuffled.
     """
     docs = docs.drop("sentence_ids", "licenses").withColumn("sentence_ids", sentence_ids(F.col(text_col)))
     joined = F.array_join("sentence_ids", ",")
     hits = []
-    for i, (licence, rule, ids) in enumerate(RULES):
-        earlier = [rule_pattern(r) for other, _, r in RULES[:i] if other == licence]
+    rules = RULES + MORE_RULES
+    for i, (licence, rule, ids) in enumerate(rules):
+        earlier = [rule_pattern(r) for other, _, r in rules[:i] if other == licence]
         hit = joined.rlike(rule_pattern(ids))
         for p in earlier:
             hit = hit & ~joined.rlike(p)

@@ -33,3 +33,40 @@ def test_clashing_names_and_empty_tables(spark, docs):
     out = licenses.scan_licenses(df)
     assert out.first().sentence_ids == ["mit-under"]
     assert licenses.scan_licenses(df.where("false")).count() == 0
+
+
+def test_wrapped_texts(scan):
+    import textwrap
+
+    apache = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+    wrapped = textwrap.fill(MIT, 72) + "\n\n" + textwrap.fill(NOTICE, 72)
+    gpl = licenses._free("", "2")[1]
+    mpl = licenses.MORE_SENTENCES["mpl-subject"][0]
+    texts = [apache, wrapped, "Copyright (c) 2020 Someone\n" + wrapped]
+    texts += ["\n".join(lead + x for x in t.split("\n")) for t in (apache, wrapped) for lead in ("# ", " * ", ";; ", "// ")]
+    found = [x for _, x in scan(*texts, textwrap.fill(gpl, 60), textwrap.fill(mpl, 40))]
+    assert found[1:3] == [["MIT:text"]] * 2 and found[7:11] == [["MIT:text"]] * 4
+    assert found[0] == ["Apache-2.0:notice"] and found[3:7] == [["Apache-2.0:notice"]] * 4
+    assert found[11:] == [["GPL-2.0-or-later:notice"], ["MPL-2.0:notice"]]
+
+
+def test_every_known_sentence_is_found_alone_but_not_across_blank_lines(scan):
+    pairs = [(k, s) for t in (licenses.SENTENCES, licenses.MORE_SENTENCES) for k, ss in t.items() for s in ss]
+    assert [ids for ids, _ in scan(*[s for _, s in pairs])] == [[k] for k, _ in pairs]
+    assert scan("All rights\n\nreserved.", "Released under\n\nthe MIT License.") == [([], [])] * 2
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert sorted(map(tuple, licenses.query(spark, sf).collect())) == sorted(con.execute(licenses.SQL).fetchall())
