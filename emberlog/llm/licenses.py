@@ -122,7 +122,7 @@ MORE_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 
 #: Every known sentence contains one of these; texts without any are not cut up.
-MARKS = ("licen", "permission", "redistribut", "rights reserved", "copyright", "endorse", "warranty")
+MARKS = ("licen", "permission", "redistribut", "reserved", "copyright", "endorse", "warranty")
 END = r"([.!?;:])[\x20\x09-\x0D]+"
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 

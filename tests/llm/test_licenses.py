@@ -70,3 +70,9 @@ def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     assert sorted(map(tuple, licenses.query(spark, sf).collect())) == sorted(con.execute(licenses.SQL).fetchall())
+
+
+def test_marks_do_not_depend_on_spaces(scan):
+    texts = ["All rights  reserved.", "All rights\treserved.", "All rights-reserved."]
+    assert scan(*texts) == [(["reserved"], ["reserved:reference"])] * 3
+    assert all(any(m in s for m in licenses.MARKS) for s in licenses.every_known())
