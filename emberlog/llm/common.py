@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words of every contract: runs without space, tab, newline, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A value is hot if it has over a HOTth of all rows; no more than HOT values can be.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary one is made.
+    Where the session names none a temporary one is made, on a local master
+    only: executors on other machines could not read it.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="emberlog-shared-")
         sc.setCheckpointDir(named)
     return named
@@ -38,17 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that is no longer needed."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that no later job reads."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -63,7 +68,7 @@ def free_name(df: DataFrame, base: str) -> str:
 def running_sum(
     df: DataFrame,
     keys: list[str],
-    order: list[str],
+    order: list[str | Column],
     value: Column,
     out: str,
     group: str,
@@ -90,3 +95,26 @@ def running_sum(
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_before", "_inside", "_g", *[f"_k{i}" for i in range(len(keys))])
     )
+
+
+def numbered(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Exclusive running sum of value over all rows in the given order, range by range; materialized.
+
+    The ranges are written first, so that a repeated task finds them as they were.
+    """
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    found = materialize(running_sum(ranges, [], ["_range", *order], value, out, "_range").drop("_range"), "numbers")
+    discard(ranges)
+    return found
+
+
+def hot_join(rows: DataFrame, names: DataFrame, by: list[str], total: int, how: str = "inner", size: str = "n") -> DataFrame:
+    """rows joined (inner or left) with names: a row for each value of by, with the number of its rows as size.
+
+    Values with over total / HOT rows are broadcast, so that none of them goes
+    to one task; the others are shuffled. There are HOT hot ones at most, if
+    total is the number of rows.
+    """
+    hot, cold = names.where(F.col(size) > total / HOT), names.where(F.col(size) <= total / HOT)
+    others = rows.join(F.broadcast(hot.select(*by)), by, "left_anti")
+    return rows.join(F.broadcast(hot), by).unionByName(others.join(cold, by, how))
