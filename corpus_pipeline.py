@@ -20,10 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go from the texts; documents of which nothing is left go too."""
-    kept = linededup.dedup_lines(docs)
-    n_chars = F.char_length("text").cast("long") if "n_chars" in docs.columns else None
-    left = kept.where((F.col("n_removed") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).drop("n_lines", "n_removed")
-    return left.withColumn("n_chars", n_chars) if n_chars is not None else left
+    kept = linededup.drop_copied_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
