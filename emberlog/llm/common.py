@@ -65,45 +65,34 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def running_sum(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str | Column],
-    value: Column,
-    out: str,
-    group: str,
-) -> DataFrame:
-    """Exclusive running sum of value within keys, without one task for a key.
+def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column], group: str) -> DataFrame:
+    """Exclusive running sums (by their names) within keys, without one task for a key.
 
     group names a column that cuts each key into ordered, bounded pieces:
     order must sort by group first. Sums of pieces are added up in one small
     window per key, rows in one window per piece.
     """
-    offsets = df.groupBy(*keys, group).agg(F.sum(value).alias("_piece"))
+    pieces = [f"_piece{i}" for i in range(len(sums))]
+    offsets = df.groupBy(*keys, group).agg(*[F.sum(v).alias(p) for p, v in zip(pieces, sums.values(), strict=True)])
     before = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.withColumn("_before", F.coalesce(F.sum("_piece").over(before), F.lit(0)))
-    offsets = offsets.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(group).alias("_g"), "_before"
-    )
+    offsets = offsets.withColumns({f"_before{p}": F.coalesce(F.sum(p).over(before), F.lit(0)) for p in pieces})
+    offsets = offsets.drop(*pieces).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate([*keys, group])})
     inside = Window.partitionBy(*keys, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    on = F.col(group).eqNullSafe(F.col("_g"))
-    for i, k in enumerate(keys):
+    df = df.withColumns({f"_inside{p}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for p, v in zip(pieces, sums.values(), strict=True)})
+    on = F.lit(True)
+    for i, k in enumerate([*keys, group]):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return (
-        df.join(offsets, on)
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_before", "_inside", "_g", *[f"_k{i}" for i in range(len(keys))])
-    )
+    df = df.join(offsets, on).withColumns({out: F.col(f"_before{p}") + F.col(f"_inside{p}") for p, out in zip(pieces, sums, strict=True)})
+    return df.drop(*[f"_before{p}" for p in pieces], *[f"_inside{p}" for p in pieces], *[f"_k{i}" for i in range(len(keys) + 1)])
 
 
-def numbered(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
-    """Exclusive running sum of value over all rows in the given order, range by range; materialized.
+def numbered(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Exclusive running sums (by their names) over all rows in the given order, range by range; materialized.
 
     The ranges are written first, so that a repeated task finds them as they were.
     """
     ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    found = materialize(running_sum(ranges, [], ["_range", *order], value, out, "_range").drop("_range"), "numbers")
+    found = materialize(running_sum(ranges, [], ["_range", *order], sums, "_range").drop("_range"), "numbers")
     discard(ranges)
     return found
 

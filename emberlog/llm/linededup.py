@@ -49,7 +49,7 @@ def _ranked(named: DataFrame, by: list[str]) -> DataFrame:
     Unlike values follow one another in an order of their hash, piece by piece.
     """
     named = named.withColumn("order", F.xxhash64(*by)).withColumn("piece", F.shiftrightunsigned("order", 48))
-    return materialize(running_sum(named, [], ["order", *by], F.col("n"), "rank", "piece").select(*by, "n", "rank"), "names")
+    return materialize(running_sum(named, [], ["order", *by], {"rank": F.col("n")}, "piece").select(*by, "n", "rank"), "names")
 
 
 def suffixes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +73,7 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     lines = materialize(lines.select("k", "t1", "t2", "i", "line.*"), "lines")
     firsts = lines.groupBy("t1", "t2").agg(F.min("k").alias("least"), (F.max("i") + 1).alias("lines"))
     order = [F.col("least").isNull(), F.col("least"), F.col("t1"), F.col("t2")]
-    texts = numbered(firsts, order, F.col("lines") + 1, "base")
+    texts = numbered(firsts, order, {"base": F.col("lines") + 1})
     firsts = texts.select("least", "base", F.col("t1").alias("f1"), F.col("t2").alias("f2"))
     of_first = (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")) & F.col("k").eqNullSafe(F.col("least"))
     copies = materialize(lines.where("i = 0").join(firsts, of_first, "left_anti").select("k", "t1", "t2").distinct(), "copies")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from emberlog.llm import mixing
@@ -70,10 +71,21 @@ def test_caps_are_reshared_and_null_is_a_source(spark, docs):
     rows += [(900, None, "d"), (901, "", "d"), (902, None, None), (None, "x y z", "b"), (903, "x y z", "b"), (903, "x y z", "b")]
     df = docs([(r[0], r[1]) for r in rows]).drop("source").join(spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] is not None and r[0] < 900], "doc_id bigint, source string"), "doc_id", "left")
     df = spark.createDataFrame([(r[0], r[1], "en", r[2], 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = mixing.mix(df.selectExpr("*", "5 AS taken", "'k' AS block", "'m' AS skey", "1 AS words")).collect()
+    got = mixing.mix(df.selectExpr("*", "'k' AS block", "'m' AS skey", "1 AS words", "'r' AS row", "9 AS h")).collect()
     assert len(got) == len(rows)
     check(spark, rows, got)
-    assert {(r.block, r.skey, r.words) for r in got} == {("k", "m", 1)}
+    assert {(r.block, r.skey, r.words, r.row, r.h) for r in got} == {("k", "m", 1, "r", 9)}
+
+
+def test_columns_of_the_same_names_stay(spark, docs):
+    df = docs([(i, "w " * (i + 1)) for i in range(40)])
+    plain = {r.doc_id: (r.size, r.target, r.taken, r.copies) for r in mixing.mix(df).collect()}
+    more = df.selectExpr("*", "777 AS size", "'keep' AS target", "5 AS taken", "'c' AS copies", "doc_id AS source_size")
+    for r in mixing.mix(more).collect():
+        assert (r.size, r.target, r.taken, r.copies, r.source_size) == (777, "keep", 5, "c", r.doc_id)
+        assert (r._size, r._target, r._taken, r._copies) == plain[r.doc_id]
+    for r in mixing.mixed_documents(more).collect():
+        assert (r.size, r.target, r.taken, r.copies, r.source_size) == (777, "keep", 5, "c", r.doc_id)
 
 
 def test_empty_tables_and_texts(spark, docs):
@@ -111,3 +123,81 @@ def test_quotas_are_split_exactly(spark):
     assert max(by_shard.values()) - min(by_shard.values()) <= 1
     with pytest.raises(ValueError):
         mixing.split_tree(quotas, 6)
+
+
+def unit(*parts):
+    """mixing._unit of whole numbers (width in bytes, value), in plain Python: XXH64, each seeded by the one before."""
+    seed = 42
+    for width, x in ((4, mixing.SEED), *parts):
+        seed = xxhash.xxh64_intdigest(x.to_bytes(width, "little"), seed)
+    return (seed >> 11) / 2**53
+
+
+def draw(total, good, drawn, u):
+    """A hypergeometric draw by inversion, outwards from the mode: the mode first, then all above, then all below."""
+    if good <= 0 or drawn <= 0:
+        return 0
+    if good >= total:
+        return drawn
+    if drawn >= total:
+        return good
+    low, high = max(0, drawn - (total - good)), min(good, drawn)
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    p = {k: Fraction(math.comb(good, k) * math.comb(total - good, drawn - k), math.comb(total, drawn)) for k in range(low, high + 1)}
+    acc = Fraction(0)
+    for k in (mode, *range(mode + 1, high + 1), *range(mode - 1, low - 1, -1)):
+        acc += p[k]
+        if u < acc:
+            return k
+    return low
+
+
+def test_tree_equals_its_recomputation_in_plain_python(spark):
+    counts = {0: 40, 1: 3, 2: 128, 3: 0, 5: 77, 300: 12, 301: 9, 70_000: 31}
+    got = {(r.shard, r.place): r.n for r in mixing.split_tree(spark.createDataFrame(list(counts.items()), "place bigint, n bigint"), 4).collect()}
+
+    def fold(node, depth, digit, ids, drawn, value):
+        total, out = sum(value.values()), {}
+        for i in ids:
+            out[i] = draw(total, value[i], drawn, unit((4, depth), (4, digit), (4, node), (8, i)))
+            total, drawn = total - value[i], drawn - out[i]
+        return out
+
+    nodes = {0: counts}
+    for depth in range(2):
+        split = {}
+        for node, own in nodes.items():
+            level = [own]
+            for _ in range(3):
+                wider = Counter()
+                for i, n in level[-1].items():
+                    wider[i >> 8] += n
+                level.append(dict(wider))
+            drawn = {0: -(-level[3][0] // 2)}
+            for digit in (2, 1, 0):
+                below = {}
+                for g, d in drawn.items():
+                    ids = sorted(i for i in level[digit] if i >> 8 == g)
+                    below |= fold(node, depth, digit, ids, d, {i: level[digit][i] for i in ids})
+                drawn = below
+            split[2 * node], split[2 * node + 1] = drawn, {i: own[i] - drawn[i] for i in own}
+        nodes = split
+    assert got == {(s, i): n for s, own in nodes.items() for i, n in own.items()}
+
+
+def test_every_shard_has_the_mix(spark):
+    """On 10,000 documents: shares of the sources in each of 16 shards lie near the targets'."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    words, want = Counter(), {}
+    for r in mixing.mix(docs, keep=["source"]).where("size(copies) > 0").collect():
+        want[r.source] = r.target
+        for c in r.copies:
+            words[c.shard, r.source] += r.size
+    shard = Counter()
+    for (s, _), n in words.items():
+        shard[s] += n
+    whole = sum(want.values())
+    assert len(shard) == 16 and all((s, x) in words for s in shard for x in want)
+    off = [abs(words[s, x] / shard[s] - want[x] / whole) for s in shard for x in want]
+    # the longest document alone is 8% of a shard's words
+    assert max(off) <= 0.12 and sum(off) / len(off) <= 0.015
