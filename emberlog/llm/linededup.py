@@ -190,7 +190,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     h1, h2 = _hashes(text)
     on = F.col(f"_doc.`{id_col}`").eqNullSafe(F.col("k")) & (h1 == F.col("t1")) & (h2 == F.col("t2"))
-    joined = packed.join(gone, on, "left")
+    joined = packed.join(gone.hint("merge"), on, "left")  # gone grows with docs, so it is never broadcast
     lines = _lines(text)
 
     def without(lines: Column) -> Column:
