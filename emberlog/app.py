@@ -15,7 +15,7 @@ from emberlog.operators.summary import BUDGET, summarize
 from emberlog.sinks import documents
 from emberlog.sinks import runs as run_sinks
 from emberlog.sources.reports import load_reports
-from emberlog.sources.runs import load_runs
+from emberlog.sources.runs import load_store
 
 STORE = ".emberlog/runs.jsonl"
 
@@ -71,14 +71,22 @@ def _write(pieces: Iterable[str], path: str | None) -> None:
 
 def _compared(spark: SparkSession, report: Report, store: str, baseline: str | None):
     """(baseline's id, status, fixed), cached: the store may be appended to before they are read."""
-    runs = load_runs(spark, store)
+    runs, rows = load_store(spark, store)
     base = trend.baseline_run(runs, baseline)
-    rows, at = trend.run_rows(runs), base[0] if base else None
+    at = base[0] if base else None
     status, gone = trend.classify(report.findings, rows, at).persist(), trend.fixed(report.findings, rows, at).persist()
     status.count(), gone.count()
     return base[1] if base else None, status, gone
 
 
+def _record(spark: SparkSession, report: Report, store: str) -> None:
+    """Into a folder of tables if there is one or the name ends with /, into a file otherwise."""
+    if os.path.isdir(store) or store.endswith("/"):
+        run_sinks.append_run(report, store.rstrip("/"), load_store(spark, store)[0].count())
+    else:
+        run_sinks.record_run(report, store)
+
+
 def _analyze(spark: SparkSession, report: Report, args: argparse.Namespace) -> int:
     report = report.filtered(args.category, args.recipe)
     code = int(over_threshold(report.findings, args.fail_on))
@@ -111,9 +119,9 @@ def _summarize(spark: SparkSession, report: Report, args: argparse.Namespace) ->
 def _trend(spark: SparkSession, report: Report, args: argparse.Namespace) -> int:
     base, status, gone = _compared(spark, report, args.store, args.baseline)
     if args.record:
-        run_sinks.record_run(report, args.store)
+        _record(spark, report, args.store)
     _write([run_sinks.trend_json(base, status, gone)] if args.format == "json" else run_sinks.trend_text(report, base, status, gone), args.output)
-    return int(args.fail_on_new and not status.where("status <> 'recurring'").isEmpty())
+    return int(args.fail_on_new and trend.new_findings(status))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

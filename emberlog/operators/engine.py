@@ -12,6 +12,7 @@ from emberlog import schema
 from emberlog.functions.labels import phase_rank, severity_rank
 from emberlog.functions.text import collapsed, let, log_lines, signature
 from emberlog.operators.rules import Rule, fallback_rule, registered_rules
+from emberlog.shared import written
 
 #: Order of findings as they were found, and their columns.
 FOUND = ("build_key", "failure_ord", "rule_ord")
@@ -29,6 +30,10 @@ class Report:
     def ranked(self) -> DataFrame:
         return self.findings.orderBy(*rank_order())
 
+    def ranked_groups(self) -> DataFrame:
+        """The groups by occurrences, most first, then by signature."""
+        return self.groups.orderBy(*group_order())
+
     def filtered(self, categories: Sequence[str] = (), recipe: str | None = None) -> Report:
         """The findings of these categories and this recipe; groups stay those of all findings."""
         kept = self.findings
@@ -112,6 +117,24 @@ def rank_order() -> list[Column]:
     ]
 
 
+def group_order() -> list[Column]:
+    return [F.col("occurrences").desc(), F.col("signature")]
+
+
+def placed(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """df with rank, from 1, in the order of findings or in the one given.
+
+    Rows are cut into ranges, which are written to the shared folder; only the
+    ranges' counts meet in one task, and rows are numbered within their range.
+    """
+    order = rank_order() if order is None else order
+    ranges = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_inside", inside).join(counts, "_range").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+
+
 def analyze(builds: DataFrame, rules: Sequence[Rule] | None = None) -> Report:
     """The report of builds; rules given by hand replace the registered ones and their fallback."""
     findings = findings_of(builds, rules)

@@ -38,6 +38,11 @@ def fitted(title: Column, evidence: Column, budget: Column | int) -> Column:
     return F.slice(evidence, cut, F.size(evidence))
 
 
+def finding_tokens(title: Column, evidence: Column) -> Column:
+    """Tokens of a finding as a summary shows it."""
+    return tokens(F.concat_ws("\n", title, evidence))
+
+
 def _tokens(title: str, evidence: list[str]) -> int:
     return -(-len("\n".join([title, *evidence])) // CHARS_PER_TOKEN)
 

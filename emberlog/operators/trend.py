@@ -52,14 +52,24 @@ def fixed(current: DataFrame, rows: DataFrame, baseline_ord: int | None) -> Data
     return gone.withColumn("r", F.row_number().over(once)).where("r = 1").drop("r")
 
 
-def history(rows: DataFrame, last_ord: int | None = None) -> DataFrame:
+def with_status(findings: DataFrame, status: DataFrame) -> DataFrame:
+    """findings with the status of their signature; recurring where none is known."""
+    return findings.join(status, "signature", "left").withColumn("status", F.coalesce("status", F.lit("recurring")))
+
+
+def new_findings(status: DataFrame) -> bool:
+    """The gate: whether a signature is not recurring."""
+    return not status.where("status <> 'recurring'").isEmpty()
+
+
+def history(rows: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """First and last run, runs present, occurrences and current streak of each signature.
 
     rows are counted per run first. The streak counts the runs without a gap
-    up to the last run; run_ord counts runs from 0 without gaps.
+    up to the last of runs, which may have no findings; without runs, up to
+    the last that has some. run_ord counts runs from 0 without gaps.
     """
-    if last_ord is None:
-        last_ord = rows.agg(F.max("run_ord")).first()[0]
+    last_ord = (rows if runs is None else runs).agg(F.max("run_ord")).first()[0]
     per_run = rows.groupBy("signature", "run_ord").agg(F.count("*").alias("n"), F.min("run_id").alias("run_id"), F.min("recorded_at").alias("recorded_at"))
     # runs in a row share run_ord less their number
     place = Window.partitionBy("signature").orderBy("run_ord")

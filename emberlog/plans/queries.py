@@ -238,18 +238,9 @@ def cascade_mark(spark, sf):
 _PLACE = f"row_number() OVER (ORDER BY {RANKED})"
 
 
-def ranks(df: DataFrame) -> DataFrame:
-    """Rank of each finding: positions within ranges of the first keys, and counts of those before."""
-    keyed = df.withColumn("major", F.struct(labels.severity_rank(F.col("severity")), labels.phase_rank(F.col("category")), -F.col("confidence"), F.coalesce("recipe", F.lit("")), "signature"))
-    before = Window.orderBy("major").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("major").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    inside = Window.partitionBy("major").orderBy(*engine.FOUND)
-    return keyed.withColumn("inside", F.row_number().over(inside)).join(counts.drop("c"), "major").withColumn("rank", F.col("before") + F.col("inside"))
-
-
 @query(on_findings(f"SELECT {_PLACE} AS rank, build_key, failure_ord, rule_ord, category, signature FROM findings"))
 def rank_findings(spark, sf):
-    r = ranks(found(spark, sf))
+    r = engine.placed(found(spark, sf))
     return r.select("rank", "build_key", F.col("failure_ord").cast("bigint").alias("failure_ord"), F.col("rule_ord").cast("bigint").alias("rule_ord"), "category", "signature")
 
 
@@ -399,11 +390,240 @@ def run_ids(spark, sf):
     return trend.run_ids(rows(spark, sf), "0.1.0")
 
 
+def run_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each run."""
+    return rows(spark, sf).select("run_ord", "run_id", "recorded_at").distinct()
+
+
+def _baseline(spark: SparkSession, sf: str, baseline: str | None) -> DataFrame:
+    return spark.createDataFrame([trend.baseline_run(run_heads(spark, sf), baseline)], "run_ord bigint, run_id string, recorded_at string").drop("recorded_at")
+
+
 @query(f"WITH {_RUNS} SELECT max(run_ord) AS run_ord, arg_max(run_id, run_ord) AS run_id FROM runs")
 def previous_baseline(spark, sf):
-    return rows(spark, sf).agg(F.max("run_ord").alias("run_ord"), F.max_by("run_id", "run_ord").alias("run_id"))
+    return _baseline(spark, sf, None)
+
+
+@query(f"WITH {_RUNS} SELECT min(run_ord) AS run_ord, run_id FROM runs WHERE run_id = 'run05' GROUP BY 2")
+def baseline_by_id(spark, sf):
+    return _baseline(spark, sf, "run05")
+
+
+@query(f"WITH {_RUNS} SELECT signature, 0::BIGINT AS current_streak, count(DISTINCT run_ord) AS runs_present FROM runs GROUP BY 1")
+def streak_after_empty_run(spark, sf):
+    """One more run, which found nothing: no signature is in a streak."""
+    heads = run_heads(spark, sf)
+    empty = heads.agg((F.max("run_ord") + 1).alias("run_ord"), F.lit("empty").alias("run_id"), F.lit("").alias("recorded_at"))
+    return trend.history(rows(spark, sf), heads.unionByName(empty)).select("signature", "current_streak", "runs_present")
+
+
+@query(f"WITH {_STATUS} SELECT place, signature, status FROM runs JOIN status USING (signature) WHERE run_ord = {BASE + 1}")
+def status_of_findings(spark, sf):
+    r = rows(spark, sf)
+    return trend.with_status(r.where(F.col("run_ord") == BASE + 1), trend_status(spark, sf)).select("place", "signature", "status")
+
+
+@query(f"WITH {_STATUS} SELECT count(*) FILTER (WHERE status <> 'recurring') > 0 AS failed FROM status")
+def trend_gate(spark, sf):
+    return spark.createDataFrame([(trend.new_findings(trend_status(spark, sf)),)], "failed boolean")
 
 
 @query(f"WITH {_RUNS} SELECT DISTINCT signature FROM runs WHERE run_ord < {BASE}")
 def older_signatures(spark, sf):
     return rows(spark, sf).where(F.col("run_ord") < BASE).select("signature").distinct()
+
+
+# ---- sources and stores: reports and runs made of whole tables, written, and read back
+
+_NOT_JSON = "Report is not valid JSON: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)"
+_JUNK = ("{oops", "[1]", "\"text\"")
+_TITLES = (_NOT_JSON, "Report is not a JSON object (got list)", "Report is not a JSON object (got str)")
+_PROBLEM = "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TITLES)) + " END"
+#: A log of a number is none; a task that is no do_ task is a message.
+_CONTENT = "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_JUNK)) + """ WHEN 3 THEN to_json(struct(c_name AS component, c_nationkey AS machine))
+    WHEN 4 THEN to_json(struct(c_name AS component, 'x' AS failures))
+    ELSE to_json(struct(c_name AS component, c_mktsegment AS machine, c_acctbal AS distro,
+      array(named_struct('task', if(c_custkey % 2 = 0, 'do_fetch', 'Nothing provides'), 'package', 'pkg' || c_nationkey, 'log', c_name || '\nend'),
+            named_struct('task', null, 'package', c_mktsegment, 'log', null)) AS failures)) END"""
+_SEGMENT = "CASE WHEN c_custkey % 7 = 3 THEN c_nationkey::VARCHAR WHEN c_custkey % 7 > 4 THEN c_mktsegment END"
+
+
+def decoded_builds(spark: SparkSession, sf: str) -> DataFrame:
+    """A report for each customer, some of them malformed."""
+    from emberlog.sources.reports import _as_builds
+
+    content = table(spark, sf, "customer").selectExpr("format_string('%09d', c_custkey) AS build_key", "'/in/' || c_custkey AS source_path", f"encode({_CONTENT}, 'UTF-8') AS content")
+    return _as_builds(content)
+
+
+@query(
+    f"""SELECT printf('%09d', c_custkey) AS build_key, CASE WHEN c_custkey % 7 > 2 THEN c_name END AS component, {_SEGMENT} AS machine,
+    CASE WHEN c_custkey % 7 > 4 THEN 2 ELSE 0 END::BIGINT AS n_failures, {_PROBLEM} AS problem FROM customer"""
+)
+def decode_builds(spark, sf):
+    b = decoded_builds(spark, sf)
+    return b.select("build_key", "component", "machine", F.size("failures").cast("bigint").alias("n_failures"), F.get("ingest_findings", F.lit(0))["title"].alias("problem"))
+
+
+@query(
+    """SELECT printf('%09d', c_custkey) AS build_key, i::BIGINT AS failure_ord, CASE WHEN i = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'do_fetch' ELSE 'Nothing provides' END END AS task,
+    CASE WHEN i = 0 THEN 'pkg' || c_nationkey ELSE c_mktsegment END AS package, CASE WHEN i = 0 THEN c_name || chr(10) || 'end' ELSE '' END AS log,
+    CASE WHEN i = 0 AND c_custkey % 2 = 0 THEN 'task' ELSE 'message' END AS kind FROM customer, range(2) r(i) WHERE c_custkey % 7 > 4"""
+)
+def decode_failures(spark, sf):
+    f = engine.failures_of(decoded_builds(spark, sf))
+    return f.select("build_key", F.col("failure_ord").cast("bigint").alias("failure_ord"), "task", "package", "log", "kind")
+
+
+@query(f"SELECT printf('%09d', c_custkey) AS build_key, 'unknown' AS category, 'error' AS severity, {_PROBLEM} AS title, {_PROBLEM} AS evidence, 1.0::DOUBLE AS confidence FROM customer WHERE c_custkey % 7 < 3")
+def malformed_findings(spark, sf):
+    f = engine.findings_of(decoded_builds(spark, sf)).where("failure_ord = -1")
+    return f.select("build_key", "category", "severity", "title", F.array_join("evidence", "\n").alias("evidence"), "confidence")
+
+
+_NAMES = ("CASE n_nationkey % 5 WHEN 0 THEN 'plain/r[' || n_nationkey || '].json' WHEN 1 THEN 'plain/_' || n_nationkey || '.json' "
+          "WHEN 2 THEN '.hidden/' || n_nationkey || '.json' WHEN 3 THEN 'broken/' || n_nationkey || '.txt' ELSE 'plain-more/' || n_nationkey || '.json' END")
+
+
+def _report_files(spark: SparkSession, sf: str) -> str:
+    """A folder with a small report for each nation, hidden, bracketed and broken names among them; 25 files."""
+    import json
+    import os
+
+    from emberlog.shared import shared_path
+
+    folder = shared_path(spark, "reports").removeprefix("file:")
+    for r in table(spark, sf, "nation").selectExpr("n_nationkey", "n_name", f"{_NAMES} AS path").collect():
+        path = os.path.join(folder, r["path"])
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as out:
+            out.write("{oops" if r["n_nationkey"] % 5 == 3 else json.dumps({"component": r["n_name"], "failures": [{"task": "do_compile", "log": "x"}]}))
+    return folder
+
+
+def _scanned(builds_: DataFrame, folder: str) -> DataFrame:
+    ordered = engine.placed(builds_.select("build_key", "source_path", "component", "ingest_findings"), [F.col("build_key")])
+    path = F.substring_index("source_path", "/", -2)
+    return ordered.select(F.col("rank").cast("bigint").alias("place"), path.alias("path"), "component", F.get("ingest_findings", F.lit(0))["title"].alias("problem"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY string_split({_NAMES}, '/')) AS place, {_NAMES} AS path, n_name AS component, NULL::VARCHAR AS problem FROM nation WHERE n_nationkey % 5 <> 3")
+def scan_folder(spark, sf):
+    from emberlog.sources.reports import load_reports
+
+    folder = _report_files(spark, sf)
+    return _scanned(load_reports(spark, [folder]), folder)
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY src, string_split(path, '/')) AS place, path, CASE WHEN src = 2 THEN NULL ELSE n_name END AS component, CASE WHEN src = 2 THEN '{_NOT_JSON}' END AS problem
+    FROM (SELECT n_name, {_NAMES} AS path, CASE n_nationkey % 5 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS src FROM nation)"""
+)
+def scan_globs_and_folder(spark, sf):
+    """Bracketed and broken files by globs, then the folder, which has them again; and a path that is not there."""
+    from emberlog.sources.reports import load_reports
+
+    folder = _report_files(spark, sf)
+    return _scanned(load_reports(spark, [f"{folder}/none.json", f"{folder}/plain/r[[]*.json", f"{folder}/broken/*.txt", folder]), folder)
+
+
+@query("SELECT 'Could not read report: [Errno 2] No such file or directory: ' || chr(39) || '/no/such/report.json' || chr(39) AS problem, 'unknown' AS category, '/no/such/report.json' AS path FROM region WHERE r_regionkey = 0")
+def missing_report(spark, sf):
+    from emberlog.sources.reports import load_report
+
+    hit = F.get("ingest_findings", F.lit(0))
+    return load_report(spark, "/no/such/report.json").select(hit["title"].alias("problem"), hit["category"].alias("category"), F.col("source_path").alias("path"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'SEGMENT = ' || c_mktsegment || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '# [redacted secret]' ELSE 'NAME = ' || c_name END || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'AUTO = 1' ELSE '' END END AS config FROM customer")
+def config_extraction(spark, sf):
+    local = "CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE 'SEGMENT = ' || c_mktsegment || '\n' || if(c_custkey % 3 = 0, 'DB_PASSWORD = ' || c_name, 'NAME = ' || c_name) END AS local_conf"
+    auto = "CASE WHEN c_custkey % 2 = 0 AND c_custkey % 4 <> 0 THEN 'AUTO = 1' END AS auto_conf"
+    return summary.config_text(table(spark, sf, "customer").selectExpr("c_custkey", local, auto)).select("c_custkey", "config")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey)) - 1 AS run_ord, 'run' || n_nationkey AS run_id, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE n_regionkey END::INTEGER AS source_count, (n_nationkey % 3)::BIGINT AS n_findings FROM nation")
+def scan_run_store(spark, sf):
+    """A store with a run for each nation, blank and broken lines between them, and fields left out."""
+    import json
+
+    from emberlog.shared import shared_path
+    from emberlog.sources.runs import load_runs
+
+    path = shared_path(spark, "store").removeprefix("file:")
+    with open(path, "w", encoding="utf-8") as out:
+        for r in table(spark, sf, "nation").orderBy("n_nationkey").collect():  # 25 rows
+            k = r["n_nationkey"]
+            run = {"run_id": f"run{k}", "findings": [{"signature": f"s{i}", "title": "t"} for i in range(k % 3)]}
+            out.write(json.dumps(run | ({"source_count": r["n_regionkey"]} if k % 3 else {})) + "\n" + ("\n{oops\n[1]\n" if k % 4 == 0 else ""))
+    return load_runs(spark, path).select("run_ord", "run_id", "source_count", F.size("findings").cast("bigint").alias("n_findings"))
+
+
+_KEPT = f"SELECT row_number() OVER (ORDER BY {RANKED}) - 1 AS place, signature, category, severity, recipe, {host('title')} AS title FROM findings"
+
+
+@query(on_findings(_KEPT))
+def record_and_load_run(spark, sf):
+    from emberlog.shared import shared_path
+    from emberlog.sinks.runs import record_run
+    from emberlog.sources.runs import load_store
+
+    path = shared_path(spark, "store").removeprefix("file:")
+    record_run(report(spark, sf), path, recorded_at="2024-01-31T00:00:00Z")
+    kept = load_store(spark, path)[1]
+    return kept.select(F.col("place").cast("bigint").alias("place"), "signature", "category", "severity", "recipe", "title")
+
+
+@query(on_findings(_KEPT))
+def append_and_load_run(spark, sf):
+    from emberlog.shared import shared_path
+    from emberlog.sinks.runs import append_run
+    from emberlog.sources.runs import load_store
+
+    path = shared_path(spark, "tables").removeprefix("file:")
+    append_run(report(spark, sf), path, 0, recorded_at="2024-01-31T00:00:00Z")
+    return load_store(spark, path)[1].select("place", "signature", "category", "severity", "recipe", "title")
+
+
+# ---- shown results
+
+
+@query(on_findings("SELECT row_number() OVER (ORDER BY count(*) DESC, signature) AS place, signature, count(*) AS occurrences FROM findings GROUP BY signature"))
+def ranked_groups(spark, sf):
+    return engine.placed(report(spark, sf).groups, engine.group_order()).select(F.col("rank").cast("bigint").alias("place"), "signature", "occurrences")
+
+
+@query(on_findings("SELECT build_key, failure_ord, rule_ord, array_to_string(list_slice(string_split(evidence, chr(10)), -2, -1), chr(10)) AS evidence FROM findings"))
+def capped_evidence(spark, sf):
+    return flat(engine.cap_evidence(found(spark, sf), 2)).select("build_key", "failure_ord", "rule_ord", "evidence")
+
+
+@query(on_findings(f"SELECT build_key, failure_ord, rule_ord, ((len({host('title')}) + 1 + len({host('evidence')}) + 3) // 4)::BIGINT AS tokens FROM findings"))
+def finding_tokens(spark, sf):
+    f = summary.shown(found(spark, sf), 0)
+    return f.select("build_key", *[F.col(c).cast("bigint").alias(c) for c in ("failure_ord", "rule_ord")], summary.finding_tokens(F.col("title"), F.col("evidence")).cast("bigint").alias("tokens"))
+
+
+@query(on_findings("SELECT (row_number() OVER (ORDER BY category))::BIGINT AS place, category, n FROM (SELECT category, count(*) AS n FROM findings GROUP BY 1)"))
+def category_chips(spark, sf):
+    by = engine.totals(found(spark, sf))["by_category"]
+    return spark.createDataFrame([(i + 1, k, n) for i, (k, n) in enumerate(by.items())], "place bigint, category string, n bigint")
+
+
+@query(on_lines("SELECT count(DISTINCT build_key) AS sources, count(DISTINCT (build_key, failure_ord)) AS failures FROM lines"))
+def source_count(spark, sf):
+    return builds(spark, sf).agg(F.count("*").alias("sources"), F.sum(F.size("failures")).cast("bigint").alias("failures"))
+
+
+@query(on_lines("SELECT build_key, failure_ord, 'custom' AS category, arg_min(body, n) AS title FROM lines WHERE level = 'ERROR' GROUP BY ALL"))
+def given_rules(spark, sf):
+    """A rule given by hand takes the place of the registered ones and their fallback."""
+    from emberlog.operators.rules import Rule
+
+    errors = lambda: F.filter("lines", lambda x: x["level"] == "ERROR")
+    hit = lambda: F.struct(
+        F.lit("custom").alias("category"), F.lit("error").alias("severity"), F.get(errors(), F.lit(0))["text"].alias("title"), F.lit(None).cast("string").alias("recipe"),
+        F.lit(None).cast("string").alias("task"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.array(F.lit("x")).alias("evidence"), F.lit(0.5).alias("confidence"),
+    )
+    rule = Rule("custom", lambda: F.size(errors()) > 0, hit)
+    return flat(engine.analyze(builds(spark, sf), [rule]).findings).select("build_key", "failure_ord", "category", "title")

@@ -14,3 +14,6 @@ RUN = (
     "run_ord bigint, run_id string, recorded_at string, tool_version string, source_count int, "
     f"findings array<{RUN_FINDING}>, summary struct<errors:bigint,warnings:bigint,by_category:map<string,bigint>>"
 )
+SUMMARY = "summary struct<errors:bigint,warnings:bigint,by_category:map<string,bigint>>"
+RUN_HEAD = f"run_ord bigint, run_id string, recorded_at string, tool_version string, source_count int, {SUMMARY}"
+RUN_ROW = "run_ord bigint, run_id string, recorded_at string, place bigint, signature string, category string, severity string, recipe string, title string"

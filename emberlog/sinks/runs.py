@@ -5,14 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog import schema
 from emberlog.functions.text import redact_host
-from emberlog.operators.engine import Report, rank_order, totals
+from emberlog.operators.engine import Report, placed, rank_order, totals
+from emberlog.operators.trend import with_status
 from emberlog.sinks.documents import NO_RECIPE, VERSION
 
 KEYS = ("signature", "category", "severity", "recipe", "title")
@@ -34,28 +39,69 @@ def run_id(findings: DataFrame, version: str) -> str:
     return f"sha1:{sha.hexdigest()}"
 
 
-def record_run(report: Report, path: str, version: str = VERSION, recorded_at: str | None = None) -> str:
-    """Append a run to a JSON Lines store, as one line, and return its id. Its findings are written as they come."""
-    key = run_id(report.findings, version)
-    at = recorded_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    n = report.builds.count()
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "a", encoding="utf-8") as out:
-        out.write('{"findings": [')
-        for i, r in enumerate(run_findings(report).toLocalIterator()):
-            out.write((", " if i else "") + json.dumps(r.asDict(), sort_keys=True))
-        rest = {"recorded_at": at, "run_id": key, "source_count": n, "summary": totals(report.findings), "tool_version": version}
-        out.write("], " + json.dumps(rest, sort_keys=True)[1:] + "\n")
-    return key
-
-
-def append_run(report: Report, path: str, run_ord: int, version: str = VERSION, recorded_at: str | None = None) -> None:
-    """Append a run's findings to a table of rows, for stores that outgrow one file: a folder for each run."""
+@dataclass(frozen=True)
+class RunRecord:
+    """What a store keeps of a run; findings is lazy, and in no order."""
+
+    run_id: str
+    recorded_at: str
+    tool_version: str
+    source_count: int
+    summary: dict
+    findings: DataFrame
+
+
+def run_record(report: Report, version: str = VERSION, recorded_at: str | None = None) -> RunRecord:
+    """The record of a report's run, now in UTC to the second if no time is given."""
     at = recorded_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    rows = report.findings.select(*KEYS[:-1], redact_host(F.col("title")).alias("title")).withColumns(
-        {"place": F.lit(0), "run_id": F.lit(run_id(report.findings, version)), "recorded_at": F.lit(at), "run_ord": F.lit(run_ord).cast("bigint")}
-    )
-    rows.write.mode("append").partitionBy("run_ord").parquet(path)
+    return RunRecord(run_id(report.findings, version), at, version, report.builds.count(), totals(report.findings), report.findings)
+
+
+def record_run(report: Report, path: str, version: str = VERSION, recorded_at: str | None = None) -> str:
+    """Append a run to a JSON Lines store, as one line, and return its id.
+
+    The line is made in a file of its own, as its findings come, and appended
+    once it is whole: a failure before leaves the store as it was. A store
+    whose last line has no end gets one.
+    """
+    run = run_record(report, version, recorded_at)
+    path = os.path.abspath(path)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    made = f"{path}.{uuid.uuid4().hex}"
+    try:
+        with open(made, "w", encoding="utf-8") as out:
+            out.write('{"findings": [')
+            for i, r in enumerate(run_findings(report).toLocalIterator()):
+                out.write((", " if i else "") + json.dumps(r.asDict(), sort_keys=True))
+            rest = {k: getattr(run, k) for k in ("recorded_at", "run_id", "source_count", "summary", "tool_version")}
+            out.write("], " + json.dumps(rest, sort_keys=True)[1:] + "\n")
+        with open(path, "ab+") as store, open(made, "rb") as line:
+            if store.tell():
+                store.seek(-1, os.SEEK_END)
+                if store.read(1) != b"\n":
+                    store.write(b"\n")
+            shutil.copyfileobj(line, store)
+    finally:
+        if os.path.exists(made):
+            os.remove(made)
+    return run.run_id
+
+
+def append_run(report: Report, path: str, run_ord: int, version: str = VERSION, recorded_at: str | None = None) -> str:
+    """Append a run to a folder of tables, for stores that outgrow one file, and return its id.
+
+    findings get a row each, with their place in rank order; the row in runs
+    is written last, and counts only then. Nothing passes the driver but the id.
+    """
+    run = run_record(report, version, recorded_at)
+    spark = report.findings.sparkSession
+    known = {"run_ord": F.lit(run_ord).cast("bigint"), "run_id": F.lit(run.run_id), "recorded_at": F.lit(run.recorded_at)}
+    rows = placed(report.findings).withColumn("title", redact_host(F.col("title"))).withColumn("place", F.col("rank") - 1)
+    rows.select(*[c.alias(k) for k, c in known.items()], "place", *KEYS).write.mode("append").parquet(f"{path}/findings")
+    s = run.summary
+    head = (run_ord, run.run_id, run.recorded_at, run.tool_version, run.source_count, (s["errors"], s["warnings"], s["by_category"]))
+    spark.createDataFrame([head], schema.RUN_HEAD).coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    return run.run_id
 
 
 def trend_json(baseline_id: str | None, status: DataFrame, fixed: DataFrame) -> str:
@@ -74,7 +120,7 @@ def trend_text(report: Report, baseline_id: str | None, status: DataFrame, fixed
     gone = fixed.orderBy("signature")
     counts = ", ".join(f"{k} {n.get(k, 0)}" for k in ("new", "recurring", "regressed"))
     yield f"Trend vs {baseline_id or '(no baseline — first run)'}\n{counts}, fixed {gone.count()}\n\n"
-    found = report.findings.join(status, "signature", "left").withColumn("status", F.coalesce("status", F.lit("recurring")))
+    found = with_status(report.findings, status)
     for r in found.orderBy(*rank_order()).toLocalIterator():
         yield f"[{r['status']}] {r['recipe'] or NO_RECIPE} - {r['category']}: {r['title']}\n"
     for i, r in enumerate(gone.toLocalIterator()):

@@ -1,8 +1,10 @@
 """Failure reports as a frame of builds.
 
-Files are listed and read by Spark; each is decoded in the task that read it,
-so no report passes the driver. Builds are known and ordered by build_key: the
-place of their source among the sources, then their path.
+Local paths are listed by the driver, as hidden files and names with brackets
+count too; stores with a scheme are listed by Spark. Each file is read and
+decoded in a task, so no report passes the driver. Builds are known and ordered
+by build_key: the place of their source among the sources, then their path,
+part by part.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import glob
 import json
 import os
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from emberlog import schema
 
 STDIN = "-"
+#: Local files that a task reads.
+FILES_OF_A_TASK = 256
 _TEXT = pa.string()
 _FAILURE = pa.struct([(k, _TEXT) for k in ("task", "package", "recipe", "log", "kind")])
 _DECODED = pa.struct(
@@ -77,18 +81,46 @@ def decoded(content: Column) -> Column:
     return run(content)
 
 
-def _files(source: str) -> tuple[list[str], bool]:
-    """Paths for Spark to read, and whether they are folders to scan."""
-    if "://" in source:  # a store that only Spark lists
-        return [source], source.endswith("/")
+def _listed(source: str) -> tuple[list[tuple[str, str]], bool]:
+    """(path as named, real path) of the local files of a source, and whether it is a folder."""
     if os.path.isdir(source):
-        return [os.path.realpath(source)], True
-    return [os.path.realpath(p) for p in sorted(glob.glob(source, recursive=True)) if os.path.isfile(p)], False
+        found = [os.path.join(root, name) for root, _, names in os.walk(source) for name in names]
+        return [(p, os.path.realpath(p)) for p in found if os.path.isfile(p)], True
+    return [(p, os.path.realpath(p)) for p in glob.glob(source, recursive=True) if os.path.isfile(p)], False
+
+
+def _read(files: DataFrame) -> DataFrame:
+    """files (source, path, file, folder) with d, each decoded where it is read, one at a time."""
+    names = files.columns
+    schema_ = ", ".join(f"{n} {t}" for n, t in files.dtypes) + f", d {DECODED}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                try:
+                    with open(batch.column("file")[k].as_py(), "rb") as f:
+                        d = decode(f.read())
+                except OSError as e:
+                    d = {"problem": f"Could not read report: {e}", "failures": []}
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([d], _DECODED)], [*names, "d"])
+
+    return files.mapInArrow(run, schema_)
+
+
+def _local(spark: SparkSession, rows: list[tuple[str, str, str, bool]]) -> DataFrame:
+    """Local files (source, path as named, real path, in a folder) as decoded rows."""
+    files = spark.createDataFrame(rows, "source string, path string, file string, folder boolean")
+    return _read(files.repartition(len(rows) // FILES_OF_A_TASK + 1) if len(rows) > FILES_OF_A_TASK else files).drop("file")
+
+
+def _key(source: Column, path: Column) -> Column:
+    """Order of builds: paths are compared part by part, so / comes before any other character."""
+    return F.concat(source, F.translate(path, "/", "\x01"))
 
 
 def _as_builds(found: DataFrame) -> DataFrame:
-    """found (build_key, source_path, content) as builds."""
-    d = found.select("build_key", "source_path", decoded(F.col("content")).alias("d"))
+    """found (build_key, source_path, content, or decoded as d) as builds."""
+    d = found if "d" in found.columns else found.select("build_key", "source_path", decoded(F.col("content")).alias("d"))
     problem = F.struct(
         F.lit("unknown").alias("category"),
         F.lit("error").alias("severity"),
@@ -106,38 +138,49 @@ def from_texts(spark: SparkSession, rows: Iterable[tuple[str, str | bytes]]) ->
     return _as_builds(spark.createDataFrame(listed, "build_key string, source_path string, content binary"))
 
 
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """The build of one local file, whatever it is named: one row, with a finding if it cannot be read or is no report."""
+    found = _local(spark, [("", path, path, False)])
+    return _as_builds(found.select(_key(F.col("source"), F.col("path")).alias("build_key"), F.col("path").alias("source_path"), "d"))
+
+
 def load_reports(spark: SparkSession, sources: Iterable[str]) -> DataFrame:
     """Builds of all sources: files, globs (** allowed), folders, or - for one report on stdin.
 
     A path reached twice counts once, for its first source. In a folder, what
     is no report is passed over; a file that is named makes a build with a
     finding that tells what is wrong. A path or glob without a match yields
-    nothing; without any match the frame is empty.
+    nothing; without any match the frame is empty. Hidden files count.
     """
-    parts = []
+    local, seen, parts = [], set(), []
     for k, source in enumerate(map(str, sources)):
         order = f"{k:09d}|"
         if source == STDIN:
-            parts.append((spark.createDataFrame([(STDIN, sys.stdin.read().encode(), order)], "path string, content binary, source string"), False))
-            continue
-        paths, folder = _files(source)
-        if paths:
+            text = spark.createDataFrame([(order, STDIN, sys.stdin.read().encode(), False)], "source string, path string, content binary, folder boolean")
+            parts.append(text)
+        elif "://" in source:  # a store that only Spark lists
             reader = spark.read.format("binaryFile")
+            folder = source.endswith("/")
             reader = reader.option("recursiveFileLookup", "true") if folder else reader
-            parts.append((reader.load(paths).select("path", "content", F.lit(order).alias("source")), folder))
-    if not parts:
+            parts.append(reader.load(source).select(F.lit(order).alias("source"), "path", "content", F.lit(folder).alias("folder")))
+        else:
+            listed, folder = _listed(source)
+            for path, real in sorted(listed, key=lambda x: x[0].split("/")):
+                if real not in seen:
+                    seen.add(real)
+                    local.append((order, path, real, folder))
+    frames = [_local(spark, local)] if local else []
+    stored = None
+    for df in parts:
+        stored = df if stored is None else stored.unionByName(df)
+    if stored is not None:
+        if len(parts) > 1:  # the narrow paths are compared, not the contents
+            once = Window.partitionBy("path").orderBy("source")
+            keep = stored.select("path", "source").withColumn("r", F.row_number().over(once)).where((F.col("r") == 1) | (F.col("path") == STDIN))
+            stored = stored.join(keep.select("path", "source"), ["path", "source"], "left_semi")
+        frames.append(stored.select("source", "path", "folder", decoded(F.col("content")).alias("d")))
+    if not frames:
         return from_texts(spark, [])
-    found = None
-    for df, folder in parts:
-        df = df.withColumn("folder", F.lit(folder))
-        found = df if found is None else found.unionByName(df)
-    once = Window.partitionBy("path").orderBy("source")
-    if len(parts) > 1:  # the narrow paths are compared, not the contents
-        keep = found.select("path", "source").withColumn("r", F.row_number().over(once)).where((F.col("r") == 1) | (F.col("path") == STDIN))
-        found = found.join(keep.select("path", "source"), ["path", "source"], "left_semi")
-    named = found.select(F.concat("source", "path").alias("build_key"), F.col("path").alias("source_path"), "content", "folder")
-    builds = _as_builds(named.where("NOT folder"))
-    if any(folder for _, folder in parts):
-        scanned = _as_builds(named.where("folder"))
-        builds = builds.unionByName(scanned.where(F.size("ingest_findings") == 0))
-    return builds
+    found = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    found = found.where(~F.col("folder") | F.col("d.problem").isNull())
+    return _as_builds(found.select(_key(F.col("source"), F.col("path")).alias("build_key"), F.col("path").alias("source_path"), "d"))

@@ -1,4 +1,4 @@
-"""Run stores: JSON Lines, one run a line, in the order of their recording."""
+"""Run stores in the order of their recording: JSON Lines, one run a line, or a folder of tables."""
 
 from __future__ import annotations
 
@@ -23,12 +23,15 @@ def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """
     if "://" not in path and not os.path.isfile(path):
         return spark.createDataFrame([], schema.RUN)
-    # one file is one ordered log; its lines get their place where it is read whole
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    parsed = lines.where(F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$")).select("line", F.from_json("value", LINE, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").alias("v"))
-    parsed = parsed.where("v IS NOT NULL AND r IS NOT NULL").select("line", "r.*")
-    # a run is one line: the window has a row for each run
-    place = F.row_number().over(Window.orderBy("line")) - 1
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    parsed = lines.where(F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$")).select("block", "line", F.from_json("value", LINE, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").alias("v"))
+    parsed = parsed.where("v IS NOT NULL AND r IS NOT NULL").select("block", "line", "r.*")
+    # the file is read in blocks, each in order; runs are counted by block, and numbered within
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = parsed.groupBy("block").agg(F.count("*").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    parsed = parsed.withColumn("own", F.row_number().over(Window.partitionBy("block").orderBy("line")) - 1).join(blocks, "block")
+    place = F.col("before") + F.col("own")
     return parsed.select(
         place.cast("bigint").alias("run_ord"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("run_id", "recorded_at", "tool_version")],
@@ -36,3 +39,24 @@ def load_runs(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("findings", F.array().cast(f"array<{schema.RUN_FINDING}>")).alias("findings"),
         "summary",
     )
+
+
+def load_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The runs of a folder of tables (as of load_runs, findings left out), and the rows of their findings as of trend.run_rows.
+
+    Nothing is gathered by run. A folder without runs has none.
+    """
+    if "://" not in path and not os.path.isdir(f"{path}/runs"):
+        return spark.createDataFrame([], schema.RUN_HEAD), spark.createDataFrame([], schema.RUN_ROW)
+    runs = spark.read.schema(schema.RUN_HEAD).parquet(f"{path}/runs")
+    return runs, spark.read.schema(schema.RUN_ROW).parquet(f"{path}/findings")
+
+
+def load_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, rows of findings) of a store, a folder of tables or a file of JSON Lines."""
+    from emberlog.operators.trend import run_rows
+
+    if os.path.isdir(path) or path.endswith("/"):
+        return load_tables(spark, path.rstrip("/"))
+    runs = load_runs(spark, path)
+    return runs, run_rows(runs)

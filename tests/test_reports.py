@@ -1,6 +1,7 @@
 """From report files to findings, summaries, documents, trends and the command line."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from emberlog.operators.engine import analyze, cap_evidence, findings_of
 from emberlog.operators.summary import estimate_tokens, summarize
 from emberlog.sinks import documents
 from emberlog.sinks.runs import append_run, record_run
-from emberlog.sources.reports import from_texts, load_reports
-from emberlog.sources.runs import load_runs
+from emberlog.sources.reports import from_texts, load_report, load_reports
+from emberlog.sources.runs import load_runs, load_store
 from emberlog.streaming.reports import watch
 
 
@@ -167,8 +168,41 @@ def test_trends_and_store(spark, folder, tmp_path):
         trend.baseline_run(runs, "no such run")
     streaks = {r.first_seen_run == first: r.current_streak for r in trend.history(rows).collect()}
     assert streaks == {True: 0, False: 1}
-    append_run(one, f"{tmp_path}/table", 0, recorded_at="t0")
-    assert spark.read.parquet(f"{tmp_path}/table").first().run_id == first
+    with open(store, "a") as f:
+        f.write('{"run_id": "cut off')
+    record_run(one, store, recorded_at="t2")
+    assert [r.recorded_at for r in load_runs(spark, store).orderBy("run_ord").collect()] == ["t0", "t1", "t2"]
+    assert os.listdir(tmp_path / "s") == ["runs.jsonl"]
+    table = f"{tmp_path}/table"
+    assert load_store(spark, table + "/")[0].isEmpty()
+    append_run(one, table, 0, recorded_at="t0")
+    append_run(two, table, 1, recorded_at="t1")
+    kept, found = load_store(spark, table)
+    assert [r.run_id == first for r in kept.orderBy("run_ord").collect()] == [True, False]
+    assert trend.baseline_run(kept, first) == (0, first, "t0") and trend.fixed(one.findings, found, 1).first().category == "fetch"
+    assert [r.status for r in trend.classify(one.findings, found, 1).collect()] == ["regressed"]
+
+
+def test_streaks_end_with_a_run_that_found_nothing(spark, tmp_path):
+    store = tmp_path / "runs.jsonl"
+    store.write_text("\n".join(json.dumps({"run_id": f"r{i}", "findings": [{"signature": s} for s in found]}) for i, found in enumerate((["a"], ["a", "b"], []))))
+    runs = load_runs(spark, str(store))
+    streaks = {r.signature: (r.current_streak, r.runs_present) for r in trend.history(trend.run_rows(runs), runs).collect()}
+    assert streaks == {"a": (0, 2), "b": (0, 1)}
+
+
+def test_hidden_bracketed_and_missing_files(spark, tmp_path):
+    for name in ("_a.json", ".hid/c.json", "r[1].json", "d.json", "d-/e.json"):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(report(failure("do_compile", "x"), component=name))
+    named = lambda *s: [r.component for r in load_reports(spark, [f"{tmp_path}/in{x}" for x in s]).orderBy("build_key").collect()]
+    assert named("") == [".hid/c.json", "_a.json", "d-/e.json", "d.json", "r[1].json"]
+    assert named("/_a.json", "/*.json") == ["_a.json", "d.json", "r[1].json"]
+    assert named("/r[[]1].json") == ["r[1].json"] and named("/none.json") == []
+    missing = load_report(spark, f"{tmp_path}/none.json").first()
+    assert not missing.failures and missing.ingest_findings[0].title.startswith("Could not read report: ")
+    assert load_report(spark, f"{tmp_path}/in/r[1].json").first().component == "r[1].json"
 
 
 def test_command_line(spark, folder, tmp_path, capsys):
