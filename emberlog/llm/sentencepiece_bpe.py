@@ -12,7 +12,6 @@ that it has seen in a table of bounded size.
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 
 import numpy as np
@@ -25,9 +24,8 @@ from emberlog.llm.common import table
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NEVER = np.int64(1) << 62
-#: Words in the table of a worker, characters handled at once, and symbols beyond which
-#: a single word is merged with a heap, as rounds over it would be quadratic.
-TABLE_WORDS, CHUNK_CHARS, ROUND_SYMBOLS = 400_000, 1 << 20, 4096
+#: Words and characters in the table of a worker at most, and characters handled at once.
+TABLE_WORDS, TABLE_CHARS, CHUNK_CHARS = 400_000, 1 << 23, 1 << 20
 #: Odd multiplier of the pair table's hash.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The error handler of decoding: U+FFFD for each byte that is no part of a character.
@@ -41,9 +39,11 @@ class WordTable(dict):
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self.fresh.append(word)
+        self.chars += len(word)
         self[word] = code = len(self)
         return code
 
@@ -72,6 +72,7 @@ class PieceModel:
             if len(p) == 1:
                 self.of_char[ord(p)] = i
         self.base = np.int64(n + 1)
+        self.reach = 2 * max(map(len, normal))
         pairs = [
             (normal[p[:k]] * (n + 1) + normal[p[k:]], order[i], i)
             for p, i in normal.items()
@@ -154,7 +155,8 @@ class PieceModel:
             run_start = np.maximum.accumulate(np.where(run, at, 0))
             at = at[(at - run_start) % 2 == 0]
             new = merged[at]
-            # a merge that opens a pair of no larger rank must come alone: cut what follows it in its word
+            # What a merge opens may be merged next, and grow, but no further than a piece is long. So one that
+            # opens a pair of no larger rank holds back those behind it, as long as each is in reach of the one before.
             w, size = word[at], len(sym)
             joined = np.r_[False, at[1:] - at[:-1] == 2]
             before = np.where(joined, np.r_[0, new[:-1]], sym[np.maximum(at - 1, 0)])
@@ -164,7 +166,7 @@ class PieceModel:
             opens = (has_before & (self.lookup(before, new)[0] <= rank[at])) | (has_after & (self.lookup(new, sym[after])[0] <= rank[at]))
             if opens.any():
                 seen = np.cumsum(opens) - opens
-                at_first = np.r_[True, w[1:] != w[:-1]]
+                at_first = np.r_[True, (w[1:] != w[:-1]) | (np.diff(at) >= self.reach)]
                 at_start = np.maximum.accumulate(np.where(at_first, np.arange(len(at)), 0))
                 keep = seen == seen[at_start]
                 at, new = at[keep], new[keep]
@@ -193,53 +195,12 @@ class PieceModel:
             out[i : i + len(b)] = self.byte[list(b)]
         return out, np.repeat(word, n)
 
-    def merge_long(self, w: str) -> np.ndarray:
-        """One very long word: the same merges in the same order from a heap."""
-        cp = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym = self.of_char[cp].tolist()
-        n = len(sym)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank, merged = self.lookup(np.array(sym[:-1]), np.array(sym[1:]))
-        heap = [(int(r), i, sym[i], sym[i + 1], int(m)) for i, (r, m) in enumerate(zip(rank, merged, strict=True)) if r != NEVER]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], tuple[int, int]] = {}
-
-        def push(i: int, j: int) -> None:
-            pair = (sym[i], sym[j])
-            if pair not in known:
-                r, m = self.lookup(np.array([pair[0]]), np.array([pair[1]]))
-                known[pair] = int(r[0]), int(m[0])
-            r, m = known[pair]
-            if r != NEVER:
-                heapq.heappush(heap, (r, i, *pair, m))
-
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = nxt[i]
-            if j < 0 or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], sym[j] = m, -1
-            nxt[i] = nxt[j]
-            if nxt[i] >= 0:
-                prev[nxt[i]] = i
-                push(i, nxt[i])
-            if prev[i] >= 0:
-                push(prev[i], i)
-        sym = np.array(sym, np.int32)
-        live = sym >= 0
-        return self._bytes(sym[live], cp[live].astype(np.int64), np.zeros(live.sum(), np.int64))[0]
-
     def learn(self) -> None:
         """Merge the table's fresh words and append their ids in order of code."""
         fresh = [w if w.startswith(SPACE) else SPACE + w for w in self.table.fresh]
         self.table.fresh = []
-        long = {k: self.merge_long(w) for k, w in enumerate(fresh) if len(w) > ROUND_SYMBOLS}
-        ids, word = self.merge_words(["" if k in long else w for k, w in enumerate(fresh)])
+        ids, word = self.merge_words(fresh)
         n = np.bincount(word, minlength=len(fresh))
-        for k, own in long.items():
-            at = int(n[:k].sum())
-            ids = np.concatenate([ids[:at], own, ids[at:]])
-            n[k] = len(own)
         self.flat = np.concatenate([self.flat, ids])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
 
@@ -253,7 +214,7 @@ class PieceModel:
             elif t:
                 words += WORDS.findall((SPACE + t).replace(" ", SPACE))
             n_words[i + 1] = len(words)
-        if len(self.table) > TABLE_WORDS:
+        if len(self.table) > TABLE_WORDS or self.table.chars > TABLE_CHARS:
             self._reset()
         code = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
         if self.table.fresh:
@@ -373,7 +334,12 @@ def query(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> Da
 
 
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and hashes of the ids and of the decoded text."""
+    """doc_id, n_tokens, and hashes of the ids and of the decoded text, a row for each row of docs.
+
+    Null and empty texts have no ids and an empty decoded text. Rows that are
+    repeated, or have no id, are rows like any other; further columns of docs
+    are passed over, whatever their names. Empty table: no rows.
+    """
     if model_path is None:
         import public_tokenizers
 

@@ -83,3 +83,14 @@ def test_columns_encode_and_decode_apart(spark, docs, library):
     back = {r.doc_id: (r.ids, r.back) for r in ids.withColumn("back", bpe.decode_column(F.col("ids"), PATH)).collect()}
     assert back[1] == (library.encode("hello there"), "hello there")
     assert back[2] == ([], "")
+
+
+def test_very_long_words_go_through_the_same_rounds(library):
+    model = bpe.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    rnd = random.Random(3)
+    words = ["ab" * 12_000, "a" * 20_001, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=30_000)), "".join(rnd.choices("aab", k=20_000))]
+    words += ["".join(rnd.choices("ABCDEFabcdef0123456789+/=", k=20_000)), "".join(rnd.choices("的一是不了人我在有他éñ", k=9_000)), "thethethein" * 2_000, "-" * 9_000 + "=" * 9_001]
+    words += ["".join(rnd.choices(["ing", "tion", "th", "e", "s", "er", "the", "in"], k=8_000)) for _ in range(3)]
+    for w in words:
+        ids, start = model.encode([w, f"x {w} y"])
+        assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:])] == library.encode([w, f"x {w} y"])
