@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,16 +31,17 @@ CLASSES = (
 )
 WINDOW = 20
 
-#: Candidates that match one of these are no secrets.
+#: What is left of a candidate is no secret if it matches one of these.
 ALLOWED = (
     r"[0-9]+\Z",
     r"[A-Za-z]+\Z",
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z",
     r"[a-z]+([-_/=+]+[a-z]+)*[-_/=+]*\Z",
     r"[A-Z]+([-_/=+]+[A-Z]+)*[-_/=+]*\Z",
     r"[-_/=+]+\Z",
-    r"(?i).*(example|placeholder|changeme|xxxx|abcdefghij|0123456789)",
 )
+#: Parts of a candidate that are no secrets: these, with the letters and digits that touch them.
+HARMLESS = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?i:example|placeholder|changeme|xxxx|abcdefghij|0123456789)"
+ALPHANUMERIC = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 KINDS = ("assign", "access", "hex", *(name for name, _, _ in CLASSES))
 
 
@@ -73,8 +75,35 @@ def high_entropy_spans(s: str, threshold: float, window: int = WINDOW) -> list[t
     return spans
 
 
-def find_secrets(text: str, allowed: Iterable[re.Pattern]) -> list[tuple[str, int, int]]:
-    """All spans of one text: base kinds, then entropy spans that touch none of them."""
+def harmless_parts(s: str, harmless: re.Pattern) -> list[tuple[int, int]]:
+    """Disjoint parts of s, in order, that hold a match of harmless and all letters and digits next to it."""
+    parts: list[tuple[int, int]] = []
+    done = 0
+    for m in harmless.finditer(s):
+        start, end = m.span()
+        if end <= done:
+            continue
+        while start > done and s[start - 1] in ALPHANUMERIC:
+            start -= 1
+        while end < len(s) and s[end] in ALPHANUMERIC:
+            end += 1
+        parts.append((max(start, done), end))
+        done = end
+    return parts
+
+
+def gaps(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the cuts, in order of their start, leave of start to end."""
+    for a, b in cuts:
+        if start < a:
+            yield start, min(a, end)
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def find_secrets(text: str, allowed: Iterable[re.Pattern], harmless: re.Pattern = re.compile(HARMLESS)) -> list[tuple[str, int, int]]:
+    """All spans of one text: base kinds, and entropy spans in what base spans and harmless parts leave of the candidates."""
     base: list[tuple[str, int, int]] = []
     low = text.encode("utf-8", "surrogatepass").lower()
     if any(w in low for w in ASSIGN_WORDS):
@@ -83,18 +112,23 @@ def find_secrets(text: str, allowed: Iterable[re.Pattern]) -> list[tuple[str, in
         base += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
     found = list(base)
+    cuts = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in cuts]
+    longest = max((b - a for a, b in cuts), default=0)
     for m in CANDIDATE.finditer(text):
-        s, at = m[0], m.start()
-        if any(a.match(s) for a in allowed):
-            continue
-        kind, least = next((k, t) for k, p, t in CLASSES if p.match(s))
-        for start, end in high_entropy_spans(s, least):
-            if not any(x < at + end and at + start < y for _, x, y in base):
-                found.append((kind, at + start, at + end))
+        at, end = m.span()
+        near = cuts[bisect_left(starts, at - longest) : bisect_left(starts, end)]
+        near = sorted([*near, *((at + a, at + b) for a, b in harmless_parts(m[0], harmless))])
+        for a, b in gaps(at, end, [c for c in near if c[1] > at]):
+            s = text[a:b]
+            if len(s) < WINDOW or any(x.match(s) for x in allowed):
+                continue
+            kind, least = next((k, t) for k, p, t in CLASSES if p.match(s))
+            found += [(kind, a + x, a + y) for x, y in high_entropy_spans(s, least)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
+def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, harmless: str = HARMLESS) -> Column:
     """Spans of each whole text: array of (kind, start, end), by code point, end exclusive.
 
     Null and empty texts have none. Ties at a start follow KINDS. Documents
@@ -104,9 +138,9 @@ def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def scan(texts: pa.Array) -> pa.Array:
-        rules = [re.compile(a) for a in allowed]
+        rules, parts = [re.compile(a) for a in allowed], re.compile(harmless)
         out = [
-            [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t.as_py() or "", rules)] for t in texts
+            [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t.as_py() or "", rules, parts)] for t in texts
         ]
         return pa.array(out, pa.list_(span))
 
@@ -118,7 +152,7 @@ def joined(spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: secrets in every whole text of documents."""
+    """op2: secrets in every whole text of documents, a row for each row; null, empty and repeated as in secret_spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", secret_spans(F.col("text")).alias("found"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("found", lambda s: s["kind"].isin("assign", "access", "hex"))

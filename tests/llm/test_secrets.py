@@ -21,6 +21,37 @@ def base_spans(text):
     return [(k, a, b) for a, _, b, k in sorted(out)]
 
 
+def all_spans(text):
+    """Every span of a text, character by character: base spans and harmless parts block the places they cover."""
+    base = base_spans(text)
+    free = [bool(re.match("[A-Za-z0-9+/_=-]", c)) for c in text]
+    runs = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]+", text) if m.end() - m.start() >= 20]
+    for a, b in runs:
+        for m in re.finditer(secrets.HARMLESS, text[a:b]):
+            x, y = a + m.start(), a + m.end()
+            while x > a and re.match("[A-Za-z0-9]", text[x - 1]):
+                x -= 1
+            while y < b and re.match("[A-Za-z0-9]", text[y]):
+                y += 1
+            free[x:y] = [False] * (y - x)
+    for _, a, b in base:
+        free[a:b] = [False] * (b - a)
+    out = list(base)
+    for a, b in runs:
+        for m in re.finditer("1+", "".join("01"[f] for f in free[a:b])):
+            s, at = text[a + m.start() : a + m.end()], a + m.start()
+            if len(s) < secrets.WINDOW or any(x.match(s) for x in RULES):
+                continue
+            kind, least = next((k, t) for k, p, t in secrets.CLASSES if p.match(s))
+            n, inside = secrets.WINDOW, set()
+            for i in range(len(s) - n + 1):
+                if -sum(c / n * math.log2(c / n) for c in Counter(s[i : i + n]).values()) >= least - 1e-9:
+                    inside |= set(range(at + i, at + i + n))
+            starts = sorted(p for p in inside if p - 1 not in inside)
+            out += [(kind, x, next(p for p in range(x, at + len(s) + 1) if p not in inside)) for x in starts]
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+
+
 def random_text(rnd):
     parts = ["password", "PassWd", "token", "api_key", "apikey", "API_KEY", "secret", ":", "=", " = ", '"', "'", " ", "\n", "AKIA", "abc", "0f" * 13, "9" * 30, "Zq", "é", "🙂", "x" * 7, "K"]
     parts += ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rnd.randint(10, 24))), "".join(rnd.choices("abcdef0123456789", k=rnd.randint(20, 40)))]
@@ -34,6 +65,7 @@ def test_base_spans_equal_plain_patterns():
         t = random_text(rnd)
         got = [x for x in secrets.find_secrets(t, RULES) if x[0] in ("assign", "access", "hex")]
         assert got == base_spans(t), t
+        assert secrets.find_secrets(t, RULES) == all_spans(t), t
 
 
 def test_windows_equal_counted_entropy():
@@ -57,6 +89,15 @@ def test_added_spans_and_the_allow_list():
     assert secrets.find_secrets("key Zq8vB2mXw7Lp4RtY9cKdEXAMPLE", RULES) == []
 
 
+def test_only_what_matches_is_suppressed():
+    key = "Zq8vB2mXw7Lp4RtY9cKd0sNf"
+    assert secrets.find_secrets(f"/docs/example/{key}", RULES) == [("entropy_base64", 13, 38)]
+    mixed = secrets.find_secrets(f"{key}/{'0f3a' * 6}/{key}", RULES)
+    assert [k for k, _, _ in mixed] == ["entropy_base64", "hex", "entropy_base64"]
+    long = secrets.find_secrets(f"{'word ' * 200_000}{key} {'ab12' * 100_000}", RULES)
+    assert [k for k, _, _ in long] == ["entropy_base64", "hex"]
+
+
 def test_query_on_all_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in secrets.query(spark, sf).collect()}
@@ -68,6 +109,7 @@ def test_query_on_all_documents(spark):
         hits += bool(base)
         r = got[d.doc_id]
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in all_spans(d.text or ""))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
     assert hits > 10
 
