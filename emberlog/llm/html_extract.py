@@ -23,10 +23,13 @@ from emberlog.llm.pages_for_training import pages
 
 #: Generated pages that the classifier is fitted on, and those held out by the tests.
 TRAIN_PAGES, SEED, TREES, DEPTH = 400, 7, 24, 5
-PAGES_AT_ONCE = 64
+#: Nodes of the pages that are judged together; a page with more is judged alone.
+NODES_AT_ONCE = 50_000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style template noscript svg iframe object canvas textarea select".split())
+#: Start tags that end an svg that was left open.
+BREAKOUT = frozenset("b blockquote body center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre s small span strong sub sup table u ul".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr button".split())
 #: Open elements that a start tag ends, as far up as the element that bounds them.
 ENDS = {
@@ -57,8 +60,11 @@ TAG_NO = {t: i for i, t in enumerate(TAGS)}
 class Page(HTMLParser):
     """One page as parallel lists of its elements, in document order."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.html, self.at = html, 0
+        #: characters from the last end tag of a name to the end of the page; 0: none
+        self.last_end: dict[str, int] = {}
         self.tag: list[str] = ["#page"]
         self.parent, self.depth, self.tokens, self.label = [-1], [0], [0], [-1]
         self.open = [0]
@@ -83,11 +89,19 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.silent:
-            if tag not in VOID:
-                self.silent.append(tag)
-            return
+            svg = self.silent[0] == "svg" and not {"foreignobject", "desc", "title"} & set(self.silent)
+            if svg and tag in BREAKOUT:
+                self.silent.clear()
+            elif tag == "select" == self.silent[0]:
+                self.silent.clear()
+                return
+            else:
+                if tag not in VOID:
+                    self.silent.append(tag)
+                return
         if tag in SILENT:
-            self.silent.append(tag)
+            if self._ends_later(tag):
+                self.silent.append(tag)
             return
         if tag == "br":
             self.run.append((self.open[-1], " "))
@@ -117,6 +131,17 @@ class Page(HTMLParser):
         if tag not in VOID:
             self.open.append(len(self.tag) - 1)
 
+    def parse_starttag(self, i: int) -> int:
+        self.at = len(self.rawdata) - i
+        return super().parse_starttag(i)
+
+    def _ends_later(self, tag: str) -> bool:
+        """Whether the page has an end tag of this name after the present start tag; an element without one is empty."""
+        if tag not in self.last_end:
+            ends = [m.start() for m in re.finditer(f"</{tag}", self.html, re.I)]
+            self.last_end[tag] = len(self.html) - ends[-1] if ends else 0
+        return 0 < self.last_end[tag] < self.at
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # <div/> is a start tag in HTML
 
@@ -125,7 +150,10 @@ class Page(HTMLParser):
             if tag in self.silent:
                 while self.silent.pop() != tag:
                     pass
-            return
+                return
+            if self.silent[0] == "template" or not self._find({tag}, set()):
+                return
+            self.silent.clear()  # the end of what is open around it
         if at := self._find({tag}, set()):
             self._close_to(at)
 
@@ -135,12 +163,18 @@ class Page(HTMLParser):
 
 
 def parsed(html: str | None) -> Page:
-    page = Page()
+    page = Page(html or "")
     page.feed(html or "")
     page.close()
     return page
 
 
+def by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1)))
+
+
 def features(batch: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all nodes of the pages, with parent (-1: none) and depth of each."""
     counts = np.array([len(p.tag) for p in batch])
@@ -166,7 +200,7 @@ def features(batch: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at_ = np.array(at, np.int64)
     for k, v in enumerate((chars, words, marks)):
         np.add.at(own[:, k], at_, np.array(v, float))
-    levels = [np.nonzero(depth == d)[0] for d in range(int(depth.max()) + 1)]
+    levels = by_depth(depth)
     in_link, above = is_link.copy(), np.zeros((n, len(TOKENS) + 5), bool)
     bits = (tokens[:, None] >> np.arange(len(TOKENS)) & 1).astype(bool)
     kinds = [np.isin(tag, [TAG_NO[t] for t in ts]) for ts in (("nav",), ("header", "footer"), ("aside", "form", "head"), ("article", "main"), ("li", "ul", "ol"))]
@@ -191,27 +225,29 @@ def features(batch: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.r_[True, sorted_parent[1:] != sorted_parent[:-1]]
     order[by_parent] = np.arange(n) - np.maximum.accumulate(np.where(start, np.arange(n), 0))
     siblings = np.where(is_first, 1, kids[up])
-    x = np.column_stack(
-        [
-            tag[:, None] == np.arange(len(TAGS)),
-            mine,
-            above,
-            depth,
-            siblings,
-            order / np.maximum(siblings - 1, 1),
-            kids,
-            blocks,
-            np.log1p(own[:, 0]),
-            np.log1p(tree[:, 0]),
-            np.log1p(tree[:, 4]),
-            tree[:, 0] / tree[:, 4],
-            tree[:, 3] / np.maximum(tree[:, 0], 1),
-            tree[:, 2] / np.maximum(tree[:, 1], 1),
-            tree[:, 0] / np.maximum(whole[:, 0], 1),
-            tree[:, 0] / np.maximum(tree[up, 0], 1),
-            tag[up],
-        ]
-    ).astype(np.float64)
+    blocks_of = [
+        tag[:, None] == np.arange(len(TAGS)),
+        mine,
+        above,
+        depth,
+        siblings,
+        order / np.maximum(siblings - 1, 1),
+        kids,
+        blocks,
+        np.log1p(own[:, 0]),
+        np.log1p(tree[:, 0]),
+        np.log1p(tree[:, 4]),
+        tree[:, 0] / tree[:, 4],
+        tree[:, 3] / np.maximum(tree[:, 0], 1),
+        tree[:, 2] / np.maximum(tree[:, 1], 1),
+        tree[:, 0] / np.maximum(whole[:, 0], 1),
+        tree[:, 0] / np.maximum(tree[up, 0], 1),
+        tag[up],
+    ]
+    widths = [b.shape[1] if b.ndim > 1 else 1 for b in blocks_of]
+    x = np.empty((n, sum(widths)), np.float32)
+    for b, end, width in zip(blocks_of, np.cumsum(widths).tolist(), widths, strict=True):
+        x[:, end - width : end] = b.reshape(n, width)
     return x, parent, depth
 
 
@@ -277,7 +313,7 @@ def decode(p: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """The most probable choice in which no dropped node has a kept node below."""
     p = np.clip(p, 1e-6, 1 - 1e-6)
     drop, keep = np.log(1 - p), np.log(p)
-    levels = [np.nonzero(depth == d)[0] for d in range(int(depth.max()) + 1)]
+    levels = by_depth(depth)
     for rows in reversed(levels[1:]):
         np.add.at(keep, parent[rows], np.maximum(keep[rows], drop[rows]))
         np.add.at(drop, parent[rows], drop[rows])
@@ -303,14 +339,21 @@ def page_text(page: Page, kept: np.ndarray) -> str:
 
 def texts_of(htmls: list[str | None], model: Boosted) -> list[str]:
     out: list[str] = []
-    for a in range(0, len(htmls), PAGES_AT_ONCE):
-        batch = [parsed(h) for h in htmls[a : a + PAGES_AT_ONCE]]
+    batch: list[Page] = []
+
+    def judge() -> None:
         x, parent, depth = features(batch)
         kept = decode(model.keep_probability(x), parent, depth)
         at = 0
         for page in batch:
             out.append(page_text(page, kept[at : at + len(page.tag)]))
             at += len(page.tag)
+        batch.clear()
+
+    for k, html in enumerate(htmls):
+        batch.append(parsed(html))
+        if k + 1 == len(htmls) or sum(len(p.tag) for p in batch) > NODES_AT_ONCE:
+            judge()
     return out
 
 

@@ -63,6 +63,29 @@ def test_blocks_references_and_left_open_elements(model):
     assert he.page_text(page, np.ones(len(page.tag), bool)) == "a & b cd e\nf g\nx\ny\né"
 
 
+def test_elements_left_open_do_not_swallow_the_page():
+    def text(html):
+        page = he.parsed(html)
+        return he.page_text(page, np.ones(len(page.tag), bool))
+
+    assert text("<article><p>Before<select><option>a<option>b</article><p>After").startswith("Before")
+    assert text("<article><p>Before<select><option>a<option>b</article><p>After").endswith("After")
+    assert text("<article><p>Before<select><option>a</article><p>After</p><select><option>b</select>End") == "Before\nAfter\nEnd"
+    assert text("<p>Before<svg><path><p>After") == "Before\nAfter"
+    assert text("<div>Before<object><param></div><p>After<object>x</object>y") == "Before\nAftery"
+    assert text("<p>a<svg><title>t</title><text>n</text></svg>b<iframe>x</iframe>c<template><p>no</div></template>d") == "abcd"
+    assert text("<p>a<noscript>no") == "ano"
+    deep = text("<div>" * 3000 + "x" + "<svg>" * 5000 + "<p>y")
+    assert deep == "x\ny"
+
+
+def test_large_pages_are_judged_alone_and_alike(model, monkeypatch):
+    batch = pages(12, 5)
+    whole = he.texts_of(batch, model)
+    monkeypatch.setattr(he, "NODES_AT_ONCE", 30)
+    assert he.texts_of(batch, model) == whole
+
+
 def test_null_empty_broken_and_repeated_pages(spark, model, as_table):
     deep = "<div>" * 600 + "deep text of an article that goes on, and on." + "</div>" * 600
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p><b"), (4, "u", deep), (4, "u", deep), (None, "u", "<<<>>>&#xfffff;")], "page_id bigint, url string, html string")
