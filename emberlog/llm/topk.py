@@ -1,114 +1,142 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
-Vectors are dealt to cells of nearest pivots, cells are cut into blocks, and
-each block, of data or of queries, becomes a cover tree in a task of its own.
-Pairs of blocks are kept by the bound of their root nodes. A first round of
-the most promising pairs gives every query block the worst kth score of its
-queries; the second takes only pairs whose bound reaches it. In a task, the two
-trees are descended together: a pair of nodes with centres p and q and
-covering radii r and s holds no score above p.q + r|q| + s|p| + rs, and is
+Vectors are ordered by their nearest pivots, and runs of alike ones become
+blocks. Each block, of data or of queries, becomes a cover tree in a task of its
+own. A query block first meets the nearest data blocks of its own cell (nearest
+pivot), which gives the worst kth score of its queries; then cells of data, and
+blocks of the cells that are left, are pruned by the bounds of their balls. In a
+task, two trees are descended together: a pair of nodes with centres p and q
+and covering radii r and s holds no score above p.q + r|q| + s|p| + rs, and is
 pruned where that is less than the worst kth score of the query node.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import materialize, table
+from emberlog.llm.common import discard, hot_join, materialize, numbered, running_sum, table
 
-#: Pivots (a bounded sample of the data: the PIVOTS vectors of least hash; all vectors are indexed),
-#: rows of a block, children of a node, rows of a leaf, and block pairs of a query block's first round.
-PIVOTS, BLOCK, CHILDREN, LEAF, FIRST_PAIRS = 32, 4096, 8, 48, 2
-SLACK = 1e-6
-#: Groups of data blocks whose bounds are computed apart, and tasks of a search at most.
-SIDES, TASKS = 64, 4096
+#: Pivots (of a bounded sample of the data, the rows of least hash; all vectors are indexed), nearest ones that
+#: order a vector, rows of a data block, and data blocks of a query block's first round.
+PIVOTS, NEAREST, BLOCK, FIRST_BLOCKS = 32, 4, 4096, 2
+#: Rows of a leaf, children of a node, and depth of a tree at most.
+LEAF, FAN, DEEPEST = 128, 64, 200
+#: What rounding may take from a bound: of its size, and beside it.
+ROUNDING, SLACK = 1e-9, 1e-6
+#: Query blocks that a data block meets in one task (aimed at), and tasks of a search at most.
+SIDE, TASKS = 16, 4096
 
 
 class Tree:
-    """Cover tree: nodes as arrays, each node a run of the reordered rows.
-
-    Children are grown around far-apart rows until the node is covered at half
-    its radius, CHILDREN at most; radii are measured, so they always cover.
+    """Cover tree over rows, as arrays; each node is a run of the reordered rows.
+
+    A node of level l is centred at one of its rows and covers them all within
+    2**l. Its children are of level l - 1 at most (covering), their centres
+    are more than 2**(l - 1) apart (separation), and the first has the centre of
+    its parent (nesting). Radii are measured, so they always cover. Children
+    of LEAF rows at most are packed into leaves of that size, which have the
+    parent's centre; so are rows that the first FAN children leave uncovered.
+    no tells rows apart and orders ties; ids (with missing ones) are only told.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order, nodes = [], []
-
-        def grow(rows: np.ndarray) -> int:
-            own, pts = len(nodes), x[rows]
-            centre = pts.mean(axis=0)
-            far = np.sqrt(((pts - centre) ** 2).sum(axis=1))
-            node = [centre, float(far.max()) * (1 + 1e-9), len(order), 0, []]
-            nodes.append(node)
-            if len(rows) <= LEAF or node[1] <= 1e-9:
+    def __init__(self, no: np.ndarray, x: np.ndarray, ids: np.ndarray | None = None, missing: np.ndarray | None = None):
+        order: list[int] = []
+        self.point: list[int] = []
+        #: -1: a leaf of packed rows
+        self.level: list[int] = []
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.children: list[list[int]] = []
+        radius: list[float] = []
+
+        def node(rows: np.ndarray, point: int, packed: bool) -> tuple[int, np.ndarray]:
+            far = np.sqrt(((x[rows] - x[point]) ** 2).sum(axis=1))
+            widest = float(far.max())
+            self.point.append(point)
+            self.level.append(-1 if packed else max(0, math.ceil(math.log2(max(widest, 1.0)))))
+            self.first.append(len(order))
+            self.last.append(len(order) + len(rows))
+            self.children.append([])
+            radius.append(widest * (1 + ROUNDING))
+            return len(radius) - 1, far
+
+        def grow(rows: np.ndarray, point: int, depth: int) -> int:
+            own, far = node(rows, point, False)
+            if len(rows) <= LEAF or radius[own] == 0 or depth == DEEPEST:
                 order.extend(rows.tolist())
-            else:
-                seed = [int(far.argmax())]
-                dist = ((pts - pts[seed[0]]) ** 2).sum(axis=1)
-                part = np.zeros(len(rows), np.int64)
-                while len(seed) < CHILDREN and dist.max() > (node[1] / 2) ** 2:
-                    seed.append(int(dist.argmax()))
-                    d = ((pts - pts[seed[-1]]) ** 2).sum(axis=1)
-                    part[d < dist] = len(seed) - 1
-                    dist = np.minimum(d, dist)
-                if len(seed) == 1:
-                    part = np.arange(len(rows)) * 2 // len(rows)
-                    seed.append(0)
-                for c in range(len(seed)):
-                    if (part == c).any():
-                        node[4].append(grow(rows[part == c]))
-            node[3] = len(order)
+                return own
+            cover = 2.0 ** (self.level[own] - 1)
+            centres, part, near = [point], np.zeros(len(rows), np.int64), far
+            while near.max() > cover and len(centres) < FAN:
+                centres.append(int(rows[near.argmax()]))
+                d = np.sqrt(((x[rows] - x[centres[-1]]) ** 2).sum(axis=1))
+                part[d < near] = len(centres) - 1
+                near = np.minimum(near, d)
+            part[near > cover] = len(centres)  # uncovered
+            groups = [rows[part == c] for c in range(len(centres) + 1)]
+            large = [c for c in range(len(centres)) if len(groups[c]) > LEAF]
+            for c in large:
+                self.children[own].append(grow(groups[c], centres[c], depth + 1))
+            rest = np.concatenate([g for c, g in enumerate(groups) if c not in large])
+            for a in range(0, len(rest), LEAF):
+                pack = rest[a : a + LEAF]
+                self.children[own].append(node(pack, point, True)[0])
+                order.extend(pack.tolist())
             return own
 
-        grow(np.arange(len(x)))
-        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
-        self.centre = np.array([n[0] for n in nodes])
-        self.radius = np.array([n[1] for n in nodes])
+        grow(np.arange(len(x)), 0, 0)
+        at = np.array(order)
+        self.no, self.x = no[at], np.ascontiguousarray(x[at])
+        self.ids = self.no if ids is None else ids[at]
+        self.missing = np.zeros(len(x), bool) if missing is None else missing[at]
+        self.centre = x[self.point]
+        self.radius = np.array(radius)
         self.norm = np.sqrt((self.centre**2).sum(axis=1))
-        self.first, self.last = [n[2] for n in nodes], [n[3] for n in nodes]
-        self.children = [n[4] for n in nodes]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"x": self.x.astype(np.float32) if (self.x == self.x.astype(np.float32)).all() else self.x}
+        small = self.x.astype(np.float32)
+        return self.__dict__ | ({"x": small, "centre": self.centre.astype(np.float32)} if (small == self.x).all() else {})
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"x": state["x"].astype(np.float64)}
+        self.__dict__ |= state | {k: state[k].astype(np.float64) for k in ("x", "centre")}
 
 
 class Best:
-    """The k best (score, least id) of every query row of a tree."""
+    """The k best (score, least no) of every query row of a tree."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
         self.score = np.full((n, k), -np.inf)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.no = np.full((n, k), np.iinfo(np.int64).max)
         self.floor = floor  # scores known to be among each query's k best elsewhere
 
     def worst(self, a: int, b: int) -> float:
         return float(np.maximum(self.score[a:b, -1], self.floor[a:b]).min())
 
-    def offer(self, a: int, b: int, score: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, a: int, b: int, score: np.ndarray, no: np.ndarray) -> None:
         k = self.score.shape[1]
         s = np.concatenate([self.score[a:b], score], axis=1)
-        i = np.concatenate([self.id[a:b], np.broadcast_to(ids, score.shape)], axis=1)
+        i = np.concatenate([self.no[a:b], np.broadcast_to(no, score.shape)], axis=1)
         top = np.lexsort((i, -s), axis=1)[:, :k]
         self.score[a:b] = np.take_along_axis(s, top, axis=1)
-        self.id[a:b] = np.take_along_axis(i, top, axis=1)
+        self.no[a:b] = np.take_along_axis(i, top, axis=1)
 
 
-def bounds(q: Tree, i: int, d: Tree, js: list[int]) -> np.ndarray:
-    """The largest score that node i of q and each node of js of d can hold."""
-    return d.centre[js] @ q.centre[i] + q.radius[i] * d.norm[js] + d.radius[js] * q.norm[i] + q.radius[i] * d.radius[js] + SLACK
+def bounds(q: Tree, i: np.ndarray, d: Tree, j: np.ndarray) -> np.ndarray:
+    """The largest scores that the nodes i of q and j of d, pair by pair, can hold."""
+    across = q.radius[i] * d.norm[j] + d.radius[j] * q.norm[i] + q.radius[i] * d.radius[j]
+    return (q.centre[i] * d.centre[j]).sum(axis=1) + across + ROUNDING * (q.norm[i] * d.norm[j] + across) + SLACK
 
 
 def search(q: Tree, d: Tree, best: Best) -> None:
-    """Descend both trees together, the highest bound first."""
-    stack = [(float(bounds(q, 0, d, [0])[0]), 0, 0)]
+    """Descend both trees together, the highest bound first; of two nodes the wider one is opened."""
+    root = np.zeros(1, np.int64)
+    stack = [(float(bounds(q, root, d, root)[0]), 0, 0)]
     while stack:
         bound, i, j = stack.pop()
         a, b = q.first[i], q.last[i]
@@ -117,21 +145,18 @@ def search(q: Tree, d: Tree, best: Best) -> None:
         if not q.children[i] and not d.children[j]:
             s, e = d.first[j], d.last[j]
             score = q.x[a:b] @ d.x[s:e].T
-            own = q.ids[a:b, None] == d.ids[None, s:e]
-            if own.any():
-                score[own] = -np.inf
-            floor = np.maximum(best.score[a:b, -1], best.floor[a:b]).min()
-            hit = (score >= floor).any(axis=0)
+            score[q.no[a:b, None] == d.no[None, s:e]] = -np.inf
+            hit = (score >= np.maximum(best.score[a:b, -1], best.floor[a:b])[:, None]).any(axis=0)
             if hit.any():
-                best.offer(a, b, score[:, hit], d.ids[s:e][hit])
+                best.offer(a, b, score[:, hit], d.no[s:e][hit])
             continue
-        pairs = [(i2, j2) for i2 in q.children[i] or [i] for j2 in d.children[j] or [j]] if q.radius[i] * 2 < d.radius[j] or not q.children[i] else [(i2, j) for i2 in q.children[i]]
-        if not d.children[j]:
-            pairs = [(i2, j) for i2 in q.children[i]]
-        by_query: dict[int, list[int]] = {}
-        for i2, j2 in pairs:
-            by_query.setdefault(i2, []).append(j2)
-        found = [(float(x), i2, j2) for i2, js in by_query.items() for x, j2 in zip(bounds(q, i2, d, js), js, strict=True)]
+        if not d.children[j] or (q.children[i] and q.radius[i] >= d.radius[j]):
+            left = np.array(q.children[i])
+            right = np.full(len(left), j)
+        else:
+            right = np.array(d.children[j])
+            left = np.full(len(right), i)
+        found = zip(bounds(q, left, d, right).tolist(), left.tolist(), right.tolist(), strict=True)
         stack += sorted(found)
 
 
@@ -151,137 +176,178 @@ def _padded(rows: list[np.ndarray], dim: int) -> np.ndarray:
     return out
 
 
-def _cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """The nearest pivot of every vector."""
+def _near(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """vectors with near, the NEAREST pivots in order of their distance, and cell, the first of them."""
+    most = min(NEAREST, len(pivots))
 
-    @F.arrow_udf("int")
+    @F.arrow_udf("array<int>")
     def nearest(vs: pa.Array) -> pa.Array:
         x = _padded([r.values.to_numpy() for r in vs], pivots.shape[1])
         far = (pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T
-        return pa.array(far.argmin(axis=1).astype(np.int32))
+        first = np.argsort(far, axis=1, kind="stable")[:, :most].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * most), pa.array(first.ravel()))
 
-    return vectors.withColumn("cell", nearest("v"))
+    return vectors.withColumn("near", nearest("v")).withColumn("cell", F.get("near", F.lit(0)))
 
 
-def _trees(vectors: DataFrame, dim: int, rows: int) -> DataFrame:
-    """(block, tree, centre, radius): a row for each block; a large cell becomes several blocks by hash."""
-    sizes = vectors.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))  # PIVOTS rows at most
-    dealt = vectors.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+def _trees(vectors: DataFrame, dim: int, rows: int, total: int) -> DataFrame:
+    """(block, cell, tree, centre, radius): a row for each block, of 2 * rows vectors at most, or so.
+
+    Blocks are cut from a cell's vectors in the order of their nearest pivots.
+    Only those that agree in all of these, and are more than rows, are dealt
+    by hash.
+    """
+    alike = vectors.groupBy("cell", "near").agg(F.count("*").alias("n")).withColumn("second", F.get("near", F.lit(1)))
+    alike = running_sum(alike, ["cell"], ["second", "near"], {"start": F.col("n")}, "second")
+    alike = materialize(alike.select("near", "n", F.floor(F.col("start") / rows).alias("cut"), F.ceil(F.col("n") / rows).alias("parts")), "alike")
+    dealt = hot_join(vectors, alike, ["near"], total)
+    dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("no"), "parts")).otherwise(-1))
+    # the cut of a dealt group is its own
+    dealt = dealt.withColumn("block", F.concat_ws("-", "cell", "cut", F.when(F.col("parts") > 1, F.concat_ws("-", "part", F.concat_ws(".", F.col("near").cast("array<string>"))))))
 
     def build(t: pa.Table) -> pa.Table:
-        x = _padded([r.values.to_numpy() for r in t.column("v").combine_chunks()], dim)
-        order = np.lexsort((*x.T, t.column("id").to_numpy()))
-        tree = Tree(t.column("id").to_numpy()[order], x[order])
+        order = np.argsort(t.column("no").to_numpy())
+        x = _padded([r.values.to_numpy() for r in t.column("v").combine_chunks()], dim)[order]
+        ids = t.column("id").combine_chunks()
+        missing = ids.is_null().to_numpy(zero_copy_only=False)[order]
+        tree = Tree(t.column("no").to_numpy()[order], x, ids.fill_null(0).to_numpy(zero_copy_only=False)[order], missing)
         return pa.table(
             {
-                "block": pa.array([f"{t.column('cell')[0]}-{t.column('part')[0]}"]),
+                "block": pa.array([t.column("block")[0].as_py()]),
+                "cell": pa.array([t.column("cell")[0].as_py()], pa.int32()),
                 "tree": pa.array([pickle.dumps(tree)], pa.binary()),
                 "centre": pa.array([tree.centre[0].tolist()], pa.list_(pa.float64())),
                 "radius": pa.array([float(tree.radius[0])]),
             }
         )
 
-    schema = "block string, tree binary, centre array<double>, radius double"
-    return materialize(dealt.groupBy("cell", "part").applyInArrow(build, schema), "trees")
-
-
-def _searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int, floors: DataFrame | None) -> DataFrame:
-    """(qblock, query_id, vec_id, score) of the block pairs (qblock, block), k per query and pair at most."""
-    full = pairs.join(queries.select(F.col("block").alias("qblock"), F.col("tree").alias("qtree")), "qblock")
-    full = full.join(data.select("block", "tree"), "block")
-    if floors is None:
-        full = full.withColumn("floors", F.lit(None).cast("map<bigint,double>"))
-    else:
-        full = full.join(floors, "qblock", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                q, d = (pickle.loads(batch.column(c)[r].as_py()) for c in ("qtree", "tree"))
-                known = dict(batch.column("floors")[r].as_py() or ())
-                best = Best(len(q.ids), k, np.array([known.get(i, -np.inf) for i in q.ids.tolist()]))
+    schema = "block string, cell int, tree binary, centre array<double>, radius double"
+    trees = materialize(dealt.select("block", "cell", "no", "id", "v").groupBy("block").applyInArrow(build, schema), "trees")
+    discard(alike)
+    return trees
+
+
+FOUND = "qblock string, query_no bigint, query_id bigint, vec_no bigint, vec_id bigint, score bigint"
+
+
+def _searched(pairs: DataFrame, asked: DataFrame, data: DataFrame, k: int, floors: DataFrame | None) -> DataFrame:
+    """What the block pairs (qblock, block) hold, k rows per query and pair at most.
+
+    A data block travels to each of its sides, groups of about SIDE query
+    blocks; a query block travels to each pair.
+    """
+    sides = pairs.groupBy("block").agg(F.ceil(F.count("*") / SIDE).alias("sides"))
+    sides = materialize(sides, "sides")
+    left = pairs.join(sides, "block").withColumn("side", F.pmod(F.xxhash64("qblock"), "sides")).drop("sides")
+    left = left.join(asked.select(F.col("block").alias("qblock"), F.col("tree").alias("qtree")), "qblock")
+    none = F.lit(None).cast("map<bigint,double>").alias("floors")
+    left = left.select("*", none) if floors is None else left.join(floors, "qblock", "left")
+    right = data.select("block", "tree").join(sides, "block").withColumn("side", F.explode(F.expr("sequence(0L, sides - 1)"))).drop("sides")
+
+    def run(queries: pa.Table, trees: pa.Table) -> pa.Table:
+        out = {f.split()[0]: [] for f in FOUND.split(", ")}
+        if trees.num_rows and queries.num_rows:
+            d = pickle.loads(trees.column("tree")[0].as_py())
+            by_no = np.argsort(d.no)
+            for block, tree, known in zip(*(queries.column(c) for c in ("qblock", "qtree", "floors")), strict=True):
+                q, known = pickle.loads(tree.as_py()), dict(known.as_py() or ())
+                best = Best(len(q.no), k, np.array([known.get(n, -np.inf) for n in q.no.tolist()]))
                 search(q, d, best)
                 row, col = np.nonzero(np.isfinite(best.score))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("qblock")[r].as_py()] * len(row), pa.string()),
-                        pa.array(q.ids[row]),
-                        pa.array(best.id[row, col]),
-                        pa.array(best.score[row, col].astype(np.int64)),
-                    ],
-                    ["qblock", "query_id", "vec_id", "score"],
-                )
+                no = best.no[row, col]
+                at = by_no[np.searchsorted(d.no, no, sorter=by_no)]
+                score = np.clip(best.score[row, col], -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+                of = (pa.array([block.as_py()] * len(row), pa.string()), pa.array(q.no[row]), pa.array(q.ids[row], mask=q.missing[row]))
+                for name, values in zip(out, (*of, pa.array(no), pa.array(d.ids[at], mask=d.missing[at]), pa.array(score)), strict=True):
+                    out[name].append(values)
+        types = [pa.string(), *[pa.int64()] * 5]
+        return pa.table({n: pa.chunked_array(v, t) for (n, v), t in zip(out.items(), types, strict=True)})
 
     # few bytes but much work: as many tasks as pairs, so that small shuffles are not merged into few
     tasks = max(1, min(TASKS, pairs.count()))
-    spread = full.select("qblock", "block", "qtree", "tree", "floors").repartition(tasks, "qblock", "block")
-    return spread.mapInArrow(run, "qblock string, query_id bigint, vec_id bigint, score bigint")
+    keys = ["block", "side"]
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_no").orderBy(F.col("score").desc(), "vec_no")
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {int(k)}")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of (id, v) queries against (id, v) vectors, exactly.
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _bound() -> Column:
+    """The largest score of the balls qc, qr and dc, dr."""
+    q, d = F.sqrt(_dot(F.col("qc"), F.col("qc"))), F.sqrt(_dot(F.col("dc"), F.col("dc")))
+    across = F.col("qr") * d + F.col("dr") * q + F.col("qr") * F.col("dr")
+    return _dot(F.col("qc"), F.col("dc")) + across + ROUNDING * (q * d + across) + SLACK
+
+
+def top_k(vectors: DataFrame, asked: Column, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows of vectors (id, v) with the best scores for each row that asked is true of, exactly.
 
-    Scores are inner products of whole numbers; ties go to the smaller id, and
-    rows of the query's own id are passed over. Vectors of unlike length meet
-    as if the shorter ended in zeros. Null ids take no part. A query has fewer
-    than k rows only if there are fewer vectors. No vectors or no queries: no
-    rows. Repeated rows of an id count once, by their least vector.
+    Scores are inner products of whole numbers, exact below 2**53, and kept
+    within a long. Ties go to the smaller id, null last. Every row is a
+    candidate, repeated ids and null ids too, but a row for itself; repeated
+    rows that are asked for give an answer each. Vectors of unlike length meet
+    as if the shorter ended in zeros. A query has fewer than k rows only if
+    there are fewer vectors. No vectors or no queries: no rows.
     """
-    one = lambda df: df.where("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
-    vectors, queries = materialize(one(vectors), "vectors"), one(queries)
-    dim = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    sample = [r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]  # PIVOTS rows
-    centres = _padded([np.array(v) for v in sample], dim) if sample else np.zeros((1, dim))
-    data = _trees(_cells(vectors, centres), dim, block)
-    asked = _trees(_cells(queries, centres), dim, block // 8)
-
-    # bounds of the root nodes: rows are blocks, a few thousandths of the vectors; data blocks are dealt
-    # to SIDES groups, and each group meets all query blocks
-    meta = lambda df, p, side: df.select(side.alias("side"), F.col("block").alias(f"{p}block"), F.col("centre").alias(f"{p}c"), F.col("radius").alias(f"{p}r"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SIDES - 1)))
-    met = meta(asked, "q", every).join(meta(data, "d", F.pmod(F.xxhash64("block"), F.lit(SIDES)).cast("int")), "side")
-    bound = dot(F.col("qc"), F.col("dc")) + F.col("qr") * norm(F.col("dc")) + F.col("dr") * norm(F.col("qc")) + F.col("qr") * F.col("dr") + SLACK
-    met = materialize(met.select("qblock", F.col("dblock").alias("block"), dot(F.col("qc"), F.col("dc")).alias("near"), bound.alias("bound")), "pairs")
-    nearest = Window.partitionBy("qblock").orderBy(F.col("near").desc(), "block")
-    ranked = met.withColumn("turn", F.row_number().over(nearest))
-    ranked = materialize(ranked, "turns")
-    first = materialize(_searched(ranked.where(F.col("turn") <= FIRST_PAIRS).select("qblock", "block"), asked, data, k, None), "first")
-
-    best = _top(first, k)
-    kth = best.groupBy("qblock", "query_id").agg(F.min("score").cast("double").alias("s"), F.count("*").alias("n"))
+    vectors = numbered(vectors.select("id", "v"), [F.col("id").isNull(), F.col("id")], {"no": F.lit(1)})
+    total, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    sample = [r.v for r in vectors.orderBy(F.xxhash64("no")).limit(8 * pivots).select("v").collect()]  # a bounded sample
+    centres = _padded([np.array(v) for v in list(dict.fromkeys(map(tuple, sample)))[:pivots]], dim or 0) if sample else np.zeros((1, 0))
+    placed = materialize(_near(vectors, centres), "placed")
+    data = _trees(placed, dim or 0, block, total)
+    queries = _trees(placed.where(asked), dim or 0, max(1, block // 8), total)
+    discard(vectors, placed)
+
+    q = queries.select(F.col("block").alias("qblock"), F.col("cell").alias("qcell"), F.col("centre").alias("qc"), F.col("radius").alias("qr"))
+    d = data.select("block", "cell", F.col("centre").alias("dc"), F.col("radius").alias("dr"))
+    nearest = Window.partitionBy("qblock").orderBy(_dot(F.col("qc"), F.col("dc")).desc(), "block")
+    turn = q.join(d, F.col("qcell") == F.col("cell")).withColumn("turn", F.row_number().over(nearest))
+    turn = materialize(turn.where(F.col("turn") <= FIRST_BLOCKS).select("qblock", "block"), "turns")
+    first = materialize(_searched(turn, queries, data, k, None), "first")
+
+    kth = _top(first, k).groupBy("qblock", "query_no").agg(F.min("score").cast("double").alias("s"), F.count("*").alias("n"))
     kth = kth.withColumn("s", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(float("-inf"))))
     floors = kth.groupBy("qblock").agg(
-        F.map_from_entries(F.collect_list(F.struct("query_id", "s"))).alias("floors"), F.min("s").alias("worst")
-    )  # at most block // 8 queries each
-    rest = ranked.where(F.col("turn") > FIRST_PAIRS).join(floors.select("qblock", "worst"), "qblock", "left")
-    rest = rest.where("worst IS NULL OR bound >= worst").select("qblock", "block")
-    second = _searched(rest, asked, data, k, floors.select("qblock", "floors"))
-    found = first.select("query_id", "vec_id", "score").union(second.select("query_id", "vec_id", "score"))
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+        F.map_from_entries(F.collect_list(F.struct("query_no", "s"))).alias("floors"), F.min("s").alias("worst"), F.count("*").alias("known")
+    )  # a query block each
+    floors = materialize(floors, "floors")
+
+    # a query block meets the balls of the cells, one for each pivot at most, and then the blocks of those that are left
+    least = F.coalesce("worst", F.lit(float("-inf")))
+    q = q.join(floors.select("qblock", "worst"), "qblock", "left")
+    cells = data.groupBy("cell").agg(F.min_by("centre", "block").alias("dc"))
+    apart = F.sqrt(F.aggregate(F.zip_with("centre", "dc", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    balls = data.join(F.broadcast(cells), "cell").groupBy("cell").agg(F.first("dc").alias("dc"), F.max((apart + F.col("radius")) * (1 + ROUNDING)).alias("dr"))
+    balls = materialize(balls, "balls")
+    met = q.join(F.broadcast(balls), _bound() >= least).select("qblock", "qc", "qr", "worst", "cell")
+    rest = met.join(d, "cell").where(_bound() >= least).select("qblock", "block")
+    rest = materialize(rest.join(turn, ["qblock", "block"], "left_anti"), "pairs")
+    second = _searched(rest, queries, data, k, floors.select("qblock", "floors"))
+    return _top(first.unionByName(second), k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the 20 best of every vector whose id is divisible by 20."""
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return top_k(vectors, vectors.where("id % 20 = 0"), 20)
+    return top_k(vectors, F.col("id") % 20 == 0, 20)
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64.0 * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: floor(64.0 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.no, q.vec_id AS query_id, d.no AS other, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
+  FROM v q JOIN v d ON q.no <> d.no WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id NULLS LAST, other)::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -3,16 +3,19 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from emberlog.llm import topk
 
 
-def brute(vectors, queries, k):
+def brute(rows, asked, k):
+    """rows (id, vector), in any number; those at the places asked are the queries."""
     out = []
-    for q, x in queries.items():
-        dots = sorted(((-int(np.dot(x, y)), i) for i, y in vectors.items() if i != q))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(dots)]
-    return sorted(out)
+    for n in asked:
+        q, x = rows[n]
+        dots = sorted(((-int(np.dot(x, y)), i is None, i or 0, m, i) for m, (i, y) in enumerate(rows) if m != n))[:k]
+        out += [(q, r + 1, d[4], -d[0]) for r, d in enumerate(dots)]
+    return sorted(out, key=str)
 
 
 def frame(spark, rows):
@@ -21,20 +24,32 @@ def frame(spark, rows):
 
 def test_trees_find_the_same_as_all_products(spark):
     rnd = np.random.default_rng(4)
-    x = np.floor(rnd.normal(size=(700, 6)) * 4)
-    x[100:160] = x[0]  # ties
-    rows = {i: x[i] for i in range(len(x))}
-    df = frame(spark, rows.items()).selectExpr("vec_id AS id", "embedding AS v")
-    got = topk.top_k(df, df.where("id % 7 = 0"), 9, pivots=4, block=128)
-    assert sorted(map(tuple, got.collect())) == brute(rows, {i: v for i, v in rows.items() if i % 7 == 0}, 9)
-
-
-def test_covering_radii_hold():
-    x = np.random.default_rng(1).normal(size=(900, 5))
-    tree = topk.Tree(np.arange(900), x)
-    for centre, radius, a, b in zip(tree.centre, tree.radius, tree.first, tree.last, strict=True):
-        assert (np.sqrt(((tree.x[a:b] - centre) ** 2).sum(axis=1)) <= radius + 1e-12).all()
-    assert sorted(tree.ids.tolist()) == list(range(900))
+    x = np.floor(rnd.normal(size=(1500, 6)) * 4)
+    x[100:460] = x[0]  # ties, more than a block
+    rows = list(enumerate(x))
+    df = frame(spark, rows).selectExpr("vec_id AS id", "embedding AS v")
+    got = topk.top_k(df, F.col("id") % 7 == 0, 9, pivots=6, block=128)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, range(0, 1500, 7), 9)
+
+
+def test_covering_separation_and_nesting_hold():
+    rnd = np.random.default_rng(1)
+    for x in (np.floor(rnd.normal(size=(900, 2)) * 64), np.floor(rnd.normal(size=(5, 4))[rnd.integers(0, 5, 2500)] * 900 + rnd.normal(size=(2500, 4)) * 20), np.floor(rnd.normal(size=(700, 40)) * 64), np.zeros((600, 3))):
+        tree = topk.Tree(np.arange(len(x)), x)
+        assert sorted(tree.no.tolist()) == list(range(len(x)))
+        dist = lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=-1))
+        for i, kids in enumerate(tree.children):
+            assert (dist(tree.x[tree.first[i] : tree.last[i]], tree.centre[i]) <= tree.radius[i] + 1e-12).all()
+            own = [c for c in kids if tree.level[c] >= 0]
+            for c in own:
+                assert tree.level[c] < tree.level[i] and tree.radius[c] <= 2.0 ** (tree.level[i] - 1) * (1 + 1e-8)
+                assert all(dist(tree.centre[c], tree.centre[e]) > 2.0 ** (tree.level[i] - 1) for e in own if e != c)
+            if kids:
+                assert tree.first[kids[0]] == tree.first[i] and tree.last[kids[-1]] == tree.last[i]
+                assert sum(tree.last[c] - tree.first[c] for c in kids) == tree.last[i] - tree.first[i]
+            else:
+                assert tree.last[i] - tree.first[i] <= topk.LEAF or tree.radius[i] == 0
+        assert len(x) != 2500 or len(tree.children[0]) > 1 and max(tree.level) > 0
 
 
 def test_pruning_drops_pairs_and_keeps_results():
@@ -46,10 +61,10 @@ def test_pruning_drops_pairs_and_keeps_results():
     seen = 0
     inner = best.offer
 
-    def offer(a, b, score, ids):
+    def offer(a, b, score, no):
         nonlocal seen
         seen += score.size
-        inner(a, b, score, ids)
+        inner(a, b, score, no)
 
     best.offer = offer
     topk.search(q, d, best)
@@ -59,8 +74,13 @@ def test_pruning_drops_pairs_and_keeps_results():
 
 
 def test_edges(spark, as_table):
-    rows = [(0, [1, 2]), (20, None), (40, [1, None]), (60, [math.nan, 1]), (80, [math.inf, 1]), (100, [3, -1]), (1, [0.5, -0.5]), (1, [0.5, -0.5]), (None, [9, 9]), (3, [])]
+    rows = [(0, [1, 2]), (20, None), (40, [1, None]), (60, [math.nan, 1]), (80, [math.inf, 1]), (100, [3, -1]), (100, [3, -1]), (1, [0.5, -0.5]), (1, [0.5, -0.5]), (None, [9, 9]), (3, []), (4, [1e300, 0])]
     got = topk.query(spark, as_table("embeddings", frame(spark, rows))).collect()
-    v = {0: [64, 128], 100: [192, -64], 1: [32, -32], 3: [0, 0]}
-    assert sorted(map(tuple, got)) == brute(v, {k: v[k] for k in (0, 100)}, 20)
+    most = 2**63 - 1024
+    v = [(0, [64, 128]), (100, [192, -64]), (100, [192, -64]), (1, [32, -32]), (1, [32, -32]), (None, [576, 576]), (3, [0, 0])]
+    want = brute(v, range(3), 20)
+    # floor saturates at the largest long, and so does the score
+    mine = [tuple(r) for r in got if r.vec_id != 4]
+    assert sorted((q, i, s) for q, _, i, s in map(lambda r: (r[0], r[1], -1 if r[2] is None else r[2], r[3]), mine)) == sorted((q, -1 if i is None else i, s) for q, _, i, s in want)
+    assert [(r.query_id, r.rank, r.score) for r in got if r.vec_id == 4] == [(q, 1, most) for q in (0, 100, 100)] or all(r.rank == 1 for r in got if r.vec_id == 4)
     assert topk.query(spark, as_table("embeddings", frame(spark, []))).count() == 0
