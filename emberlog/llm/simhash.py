@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import discard, materialize, table
+from emberlog.llm.common import hot_join, materialize, table
 from emberlog.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -192,17 +192,20 @@ def simhash_groups(
     prints = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, words).alias("fp"))
     node = F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")
     prints = materialize(prints.withColumn("node", node), "prints")
-    classes = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"))
+    classes = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
     return grouped(prints, classes, components(links(classes, words, radius, radius if total is None else total)))
 
 
 def grouped(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, fp, component_id) of every row of prints; roots has the classes (node) that hang on another."""
-    rooted = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(named, "root").select("node", "component_id")
-    return prints.join(of_print, "node").select("id", "fp", "component_id")
+    rooted = classes.select("node", "least", F.col("n").alias("copies")).join(roots, "node", "left")
+    rooted = materialize(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = materialize(named, "named")
+    of_print = hot_join(rooted, named, ["root"], rooted.count()).select("node", "component_id", F.col("copies").alias("n"))
+    of_print = materialize(of_print, "components")
+    return hot_join(prints, of_print, ["node"], prints.count()).select("id", "fp", "component_id")
 
 
 def shingle_sets(text: Column, width: int) -> Column:
@@ -327,12 +330,13 @@ def similar_groups(
         F.coalesce(F.min_by("key", "id"), F.min("key")).alias("key"),
         F.first("fp").alias("fp"),
         F.first("size").alias("size"),
+        F.count("*").alias("n"),
     )
     classes = materialize(classes, "classes")
     near = components(links(classes.where("size > 0"), words, radius, total))
     near = near.union(near.select("root", "root")).distinct()
     members = materialize(near.join(classes, "node"), "members")
-    by_root = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    by_root = members.drop("n").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     n_chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("s") / CHUNK_SHINGLES)).cast("int").alias("n_chunks")
     large = by_root.select(F.col("root"), n_chunks).where("n_chunks > 1")  # a row for CHUNK members at most
     # one text of each class: that of its least id

@@ -263,8 +263,8 @@ def _searched(pairs: DataFrame, asked: DataFrame, data: DataFrame, k: int, floor
         types = [pa.string(), *[pa.int64()] * 5]
         return pa.table({n: pa.chunked_array(v, t) for (n, v), t in zip(out.items(), types, strict=True)})
 
-    # few bytes but much work: as many tasks as pairs, so that small shuffles are not merged into few
-    tasks = max(1, min(TASKS, pairs.count()))
+    # few bytes but much work: as many tasks as groups, so that small shuffles are not merged into few
+    tasks = max(1, min(TASKS, sides.agg(F.sum("sides")).first()[0] or 0))
     keys = ["block", "side"]
     left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, FOUND)

@@ -74,3 +74,18 @@ def test_stages_on_nulls_repeats_and_nothing(spark, docs):
         df = docs(rows).selectExpr("*", "1 AS id", "'x' AS _doc", "2 AS size")
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, SF).count() <= 3 * len(rows)
+
+
+def test_columns_of_clashing_names_come_out_as_they_went_in(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").drop("n_chars")
+    names = "size target taken copies source_size n_lines n_removed row h skey kept node root fp runs whole k t1 t2 n key id _doc _gone stratum n_words rank".split()
+    more = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, docs, SF), stage(spark, more, SF)
+        assert wide.columns == more.columns
+        got = wide.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+        assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in plain.collect())
+        kept.append(len(got))
+    assert all(kept)
