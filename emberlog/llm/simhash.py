@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import hot_join, materialize, table
+from emberlog.llm.common import discard, hot_join, materialize, table
 from emberlog.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -140,18 +140,20 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int
     return hung, up[hung]
 
 
-def links(classes: DataFrame, words: int, radius: int, total: int) -> DataFrame:
+def links(classes: DataFrame, words: int, radius: int, total: int, written: list[DataFrame] | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (node, fp) that keep all connections.
 
     Tiles hold the fingerprints of one population count (of the first word),
     dealt by hash into as many as keep each near TILE rows; a tile travels as
-    one row to each tile that it must meet.
+    one row to each tile that it must meet. The table of tiles goes to written, if there is one.
     """
     n = classes.select(F.bit_count(F.get("fp", F.lit(0))).alias("pop"), "node", "fp")
     sizes = n.groupBy("pop").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))  # 65 rows at most
     dealt = n.join(F.broadcast(sizes), "pop").withColumn("part", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     rows = dealt.groupBy("pop", "part").agg(F.collect_list(F.struct("node", "fp")).alias("rows"))
     tiles = materialize(rows.select("pop", "part", F.col("rows.node").alias("nodes"), F.flatten("rows.fp").alias("fps")), "tiles")
+    if written is not None:
+        written.append(tiles)
     right = tiles.select(*[F.col(c).alias(f"{c}2") for c in tiles.columns])
     # the narrow ids are paired first, so each pair can go to a task of its own
     left = tiles.select("pop", "part").withColumn("pop2", F.explode(F.expr(f"sequence(pop, least(64, pop + {int(radius)}))")))
@@ -194,17 +196,22 @@ def simhash_groups(
     prints = materialize(prints.withColumn("node", node), "prints")
     classes = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
-    return grouped(prints, classes, components(links(classes, words, radius, radius if total is None else total)))
+    written: list[DataFrame] = []
+    roots = components(links(classes, words, radius, radius if total is None else total, written))
+    discard(*written)
+    return grouped(prints, classes, roots)
 
 
 def grouped(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, fp, component_id) of every row of prints; roots has the classes (node) that hang on another."""
+    """(id, fp, component_id) of every row of prints; roots has the classes (node) that hang on another. classes is deleted."""
     rooted = classes.select("node", "least", F.col("n").alias("copies")).join(roots, "node", "left")
     rooted = materialize(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
+    discard(classes)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     named = materialize(named, "named")
     of_print = hot_join(rooted, named, ["root"], rooted.count()).select("node", "component_id", F.col("copies").alias("n"))
     of_print = materialize(of_print, "components")
+    discard(rooted, named)
     return hot_join(prints, of_print, ["node"], prints.count()).select("id", "fp", "component_id")
 
 
@@ -333,7 +340,8 @@ def similar_groups(
         F.count("*").alias("n"),
     )
     classes = materialize(classes, "classes")
-    near = components(links(classes.where("size > 0"), words, radius, total))
+    written: list[DataFrame] = []
+    near = components(links(classes.where("size > 0"), words, radius, total, written))
     near = near.union(near.select("root", "root")).distinct()
     members = materialize(near.join(classes, "node"), "members")
     by_root = members.drop("n").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
@@ -357,7 +365,10 @@ def similar_groups(
         F.flatten("rows.shingles").alias("shingles"),
     )
     chunks = materialize(chunks, "chunks")
-    return grouped(prints, classes, components(verified_links(chunks, words, radius, total, similarity)))
+    discard(*written, members)
+    roots = components(verified_links(chunks, words, radius, total, similarity))
+    discard(chunks)
+    return grouped(prints, classes, roots)
 
 
 #: For a similarity of 0.8 of 5-word shingles: fingerprints of 256 bits. At that similarity they differ in
