@@ -94,3 +94,11 @@ def test_null_empty_broken_and_repeated_pages(spark, model, as_table):
     assert {r.text for r in rows if r.page_id in (1, 2)} == {""}
     assert len({r.text for r in rows if r.page_id == 4}) == 1
     assert he.query(spark, as_table("pages", df.where("false"))).count() == 0
+
+
+def test_query_with_clashing_names(spark, as_table):
+    page = "<article><p>Some words of an article that is long enough to be one, and then it goes on.</p></article>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")
+    plain = he.query(spark, as_table("pages", df)).collect()
+    wide = he.query(spark, as_table("pages", df.selectExpr("*", "7 AS text", "'x' AS n_chars", "8 AS main"))).collect()
+    assert plain == wide and len(wide) == 1

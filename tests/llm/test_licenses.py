@@ -76,3 +76,12 @@ def test_marks_do_not_depend_on_spaces(scan):
     texts = ["All rights  reserved.", "All rights\treserved.", "All rights-reserved."]
     assert scan(*texts) == [(["reserved"], ["reserved:reference"])] * 3
     assert all(any(m in s for m in licenses.MARKS) for s in licenses.every_known())
+
+
+def test_repeated_rows_and_sentences_and_very_long_texts(docs):
+    under = "Released under the MIT License."
+    long = "\n".join(["plain words of no licence, and more of them."] * 40_000 + [under] + ["and on it goes"] * 40_000 + [under])
+    rows = [(1, under), (1, under), (None, under), (2, "\n".join([under] * 3)), (3, long), (4, "word " * 300_000 + "\n" + under)]
+    got = sorted((str(r.doc_id), len(r.sentence_ids), set(r.sentence_ids), len(r.licenses)) for r in licenses.scan_licenses(docs(rows)).collect())
+    one = {"mit-under"}
+    assert got == [("1", 1, one, 1), ("1", 1, one, 1), ("2", 3, one, 1), ("3", 2, one, 1), ("4", 1, one, 1), ("None", 1, one, 1)]

@@ -156,3 +156,12 @@ def test_a_rule_that_good_documents_break_does_not_stop_the_others(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     labels = spark.createDataFrame([(i, int(i % 50 > 0), 0) for i in range(2000)], "doc_id bigint, quality int, toxic int")
     assert {r.doc_id for r in quality.filter_documents(df, labels).collect()} == {i for i in range(2000) if i % 50}
+
+
+def test_very_long_texts(docs):
+    words = [f"W{i}" for i in range(120_000)]
+    text = "\n".join(" ".join(words[i : i + 40]) for i in range(0, len(words), 40)) + "\n" + " ".join(words[:400]) + "\n" + " ".join(words[:40]) + " # $\n" * 2
+    r = quality.counts(docs([(1, text), (2, "x" * 2_000_000)]), "text", [F.col("doc_id")])
+    got = {x.doc_id: x.asDict() for x in r.collect()}
+    assert {k: got[1][k] for k in counts(text)} == counts(text)
+    assert (got[2]["n_words"], got[2]["n_chars_in_words"], got[2]["n_repeat_words"]) == (1, 2_000_000, 0)

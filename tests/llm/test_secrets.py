@@ -119,3 +119,9 @@ def test_nulls_repeats_and_empty_tables(spark, docs, as_table):
     rows = secrets.query(spark, as_table("documents", docs([(1, None), (2, ""), (3, t), (3, t), (None, t)]))).collect()
     assert sorted(r.spans for r in rows) == ["", "", *["assign:0:14,access:21:42"] * 3]
     assert secrets.query(spark, as_table("documents", docs([]))).count() == 0
+
+
+def test_query_with_clashing_names(spark, docs, as_table):
+    df = docs([(1, "token: abcdef1")]).selectExpr("*", "7 AS spans", "'x' AS found", "8 AS n_assign", "9 AS n_hex")
+    rows = secrets.query(spark, as_table("documents", df)).collect()
+    assert [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.spans) for r in rows] == [(1, 1, 0, 0, "assign:0:14")]

@@ -94,3 +94,10 @@ def test_very_long_words_go_through_the_same_rounds(library):
     for w in words:
         ids, start = model.encode([w, f"x {w} y"])
         assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:])] == library.encode([w, f"x {w} y"])
+
+
+def test_clashing_names(docs):
+    df = docs([(1, "a b"), (None, "a b")])
+    wide = df.selectExpr("*", "7 AS n_tokens", "'x' AS ids_sha256", "8 AS ids", "9 AS decoded_sha256")
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(str, bpe.digests(wide).select(*columns).collect())) == sorted(map(str, bpe.digests(df).select(*columns).collect()))

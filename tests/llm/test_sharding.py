@@ -67,3 +67,17 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1000
     assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {f"shard={i}" for i in range(4)}
+
+
+def test_query_on_nulls_very_long_texts_repeats_and_clashing_names(spark, docs, as_table):
+    long = "é" * 3_000_000
+    rows = [(1, None), (2, ""), (3, long), (3, long), (None, "a"), (None, "a"), (None, None)]
+    df = docs(rows).selectExpr("*", "7 AS size", "'x' AS slot", "8 AS law", "9 AS _bucket", "1 AS text_crc32")
+    got = sharding.query(spark, as_table("documents", df)).collect()
+    want = [(str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows]
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted(want)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 1

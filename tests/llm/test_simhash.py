@@ -151,3 +151,12 @@ def test_sizes_and_connections_of_similar_links():
             got = simhash.absorb(got, at[hung], at[root])
         assert (got == want).all()
     assert 12 < len(set(want.tolist())) < 48
+
+
+def test_query_on_nulls_repeats_and_very_long_texts(spark, docs, as_table):
+    long = " ".join(f"W{i % 70_001}" for i in range(simhash.SHINGLES_AT_ONCE + 20_000))
+    rows = [(1, None), (2, ""), (2, ""), (None, " \n"), (3, long), (3, long), (7, long.lower()), (4, "A b"), (5, "a\tB"), (None, "words of their own")]
+    component = [1, 1, 1, 1, 3, 3, 3, 4, 4, None]
+    got = simhash.query(spark, as_table("documents", docs(rows).selectExpr("*", "1 AS node", "2 AS fp", "3 AS component_id"))).collect()
+    prints = {t: f"{brute_fingerprint(t, 4):016x}" for _, t in rows}
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, prints[t], c)) for (i, t), c in zip(rows, component, strict=True))
