@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import html_extract, licenses, linededup, mixing, quality, secrets, sentencepiece_bpe, sharding, simhash, topk
+from emberlog.llm import html_extract, licenses, linededup, mixing, quality, secrets, sentencepiece_bpe, sharding, simhash, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_bpe.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": linededup.query,
     "op9_sharding": sharding.query,
     "op10_simhash": simhash.query,
+    "op11_tokenfiles": token_files.query,
 }
 
 SQL: dict[str, str] = {
