@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import html_extract, licenses, linededup, mixing, quality, secrets, sentencepiece_bpe, sharding, simhash, token_files, topk
+from emberlog.llm import collocations, html_extract, licenses, linededup, mixing, quality, secrets, sentencepiece_bpe, sharding, simhash, spelling, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_bpe.query,
@@ -20,10 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.query,
     "op10_simhash": simhash.query,
     "op11_tokenfiles": token_files.query,
+    "op12_collocations": collocations.query,
+    "op13_spelling": spelling.query,
 }
 
 SQL: dict[str, str] = {
     "op3_topk": topk.SQL,
     "op6_licenses": licenses.SQL,
     "op8_linededup": linededup.SQL,
+    "op12_collocations": collocations.SQL,
 }
