@@ -34,15 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder (options: of the Parquet writer) and read it back.
 
     Cuts the lineage with files that outlive any executor. Unlike
     checkpoint(), the plan runs once, and later reads prune columns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_to = path
     return written

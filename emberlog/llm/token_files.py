@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from emberlog.llm.byte_bpe import Encoder
 from emberlog.llm.common import discard, materialize, shared_dir, table
@@ -41,13 +42,13 @@ BLOCK, LANES, SEGMENT = 1 << 18, 256, 256
 #: Frames of a file at most: a file is read whole by one task.
 FRAMES_PER_FILE = 64
 #: Blocks coded side by side, and characters tokenised at once.
-SIDE_BY_SIDE, CHUNK_CHARS = 8, 1 << 20
+SIDE_BY_SIDE, CHUNK_CHARS = 8, 1 << 19
 #: States lie in LOW..2**63.
 LOW = np.uint64(1 << 31)
 SEPARATOR = "\nEMB\n"
 #: magic, ids, lanes, segment, docs, words, checkpoints, crc of the ids, crc of the table, range, block, first id's place
 HEADER = struct.Struct("<4s9IQQ")
-BLOCKS = "range bigint, block bigint, ids array<int>, doc_id array<bigint>, total array<bigint>, skip array<bigint>, take array<bigint>"
+BLOCKS = "range bigint, block bigint, n bigint, ids binary, doc_id array<bigint>, total array<bigint>, skip array<bigint>, take array<bigint>"
 PIECES = "doc_id bigint, start bigint, total bigint, skip bigint, take bigint, crc bigint, ids array<int>"
 #: zlib's polynomial, bits reversed.
 CRC_POLYNOMIAL = 0xEDB88320
@@ -203,15 +204,24 @@ def frames(content: bytes) -> Iterator[dict]:
         at = end + 4 + gap
 
 
-def decode_frame(f: dict, table: Table) -> np.ndarray:
-    """A frame's ids, checked against their checksum."""
-    rows = -(-f["n"] // f["lanes"])
-    each = np.minimum(f["segment"], rows - f["segment"] * np.arange(len(f["offsets"])))
-    parts = decode_segments(f["words"], f["states"], f["offsets"], each, table)
-    ids = np.concatenate(parts)[: f["n"]] if parts else np.zeros(0, np.int32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != f["ids_crc"]:
-        raise Corrupt("ids that differ from what was written")
-    return ids
+def decode_frames(many: list[dict], table: Table) -> list[np.ndarray]:
+    """The ids of frames, whose segments are decoded side by side, checked against their checksums."""
+    if not many:
+        return []
+    before = np.cumsum([0, *[len(f["words"]) for f in many]])
+    rows = [-(-f["n"] // f["lanes"]) for f in many]
+    each = [np.minimum(f["segment"], r - f["segment"] * np.arange(len(f["offsets"]))) for f, r in zip(many, rows, strict=True)]
+    words = np.concatenate([f["words"] for f in many])
+    offsets = np.concatenate([f["offsets"] + b for f, b in zip(many, before[:-1], strict=True)])
+    parts = decode_segments(words, np.concatenate([f["states"] for f in many]), offsets, np.concatenate(each), table)
+    out, at = [], 0
+    for f in many:
+        ids = np.concatenate([np.zeros(0, np.int32), *parts[at : at + len(f["offsets"])]])[: f["n"]]
+        at += len(f["offsets"])
+        if zlib.crc32(ids.astype("<u4").tobytes()) != f["ids_crc"]:
+            raise Corrupt("ids that differ from what was written")
+        out.append(ids)
+    return out
 
 
 def _product(a: int, b: int) -> int:
@@ -235,9 +245,15 @@ def crc_before(crc: int, n_bytes: int) -> int:
     return _product(crc, power)
 
 
+def id_kind(n: int) -> str:
+    """The narrowest numpy type of ids below n, in blocks that wait for the table."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Sorted (doc_id, text) rows of a task as blocks of ids; a text longer than what is left of a block goes on in the next."""
     encoder = Encoder.of(tokenizer_path)
+    kind = id_kind(max(end_id + 1, encoder.tokenizer.get_vocab_size()))
     part, block = TaskContext.get().partitionId(), 0
     ids: list[np.ndarray] = []
     docs: list[tuple] = []
@@ -245,10 +261,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int)
 
     def whole() -> pa.RecordBatch:
         flat = np.concatenate(ids)
-        lists = [[list(c)] for c in zip(*docs, strict=True)]
-        flat = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat.astype(np.int32)))
-        fields = [pa.array([part], pa.int64()), pa.array([block], pa.int64()), flat, *[pa.array(c, pa.list_(pa.int64())) for c in lists]]
-        return pa.RecordBatch.from_arrays(fields, ["range", "block", "ids", "doc_id", "total", "skip", "take"])
+        lists = [pa.array([list(c)], pa.list_(pa.int64())) for c in zip(*docs, strict=True)]
+        longs = [pa.array([x], pa.int64()) for x in (part, block, len(flat))]
+        packed = pa.array([flat.astype(kind).tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([*longs, packed, *lists], ["range", "block", "n", "ids", "doc_id", "total", "skip", "take"])
 
     for batch in batches:
         for a, b in encoder.chunks(batch.column(1), CHUNK_CHARS):
@@ -267,24 +283,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int)
         yield whole()
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """How often each id occurs in the blocks of a task."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        n = np.bincount(batch.column(0).flatten().to_numpy())
-        total = np.pad(total, (0, max(0, len(n) - len(total))))
-        total[: len(n)] += n
+        for ids in batch.column(0):
+            n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
+            total = np.pad(total, (0, max(0, len(n) - len(total))))
+            total[: len(n)] += n
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
 
-def _frames(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.RecordBatch]:
+def _frames(batches: Iterator[pa.RecordBatch], packed: bytes, kind: str) -> Iterator[pa.RecordBatch]:
     """Blocks with the place of their first id as frames."""
     shared, crc = Table.from_bytes(packed), zlib.crc32(packed)
     for batch in batches:
         for a in range(0, batch.num_rows, SIDE_BY_SIDE):
             rows = batch.slice(a, SIDE_BY_SIDE)
-            ids = [x.values.to_numpy() for x in rows.column("ids")]
+            ids = [np.frombuffer(x.as_buffer(), kind) for x in rows.column("ids")]
             coded = encode_blocks(ids, shared)
             for k, c in enumerate(coded):
                 docs = tuple(rows.column(name)[k].as_py() for name in ("doc_id", "total", "skip", "take"))
@@ -312,19 +329,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("place")]
     texts = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    blocks = materialize(texts.mapInArrow(lambda rows: _blocks(rows, tokenizer_path, end_id), BLOCKS), "blocks")
+    blocks = materialize(texts.mapInArrow(lambda rows: _blocks(rows, tokenizer_path, end_id), BLOCKS), "blocks", compression="zstd")
+    kind = id_kind(max(end_id + 1, Tokenizer.from_file(tokenizer_path).get_vocab_size()))
 
-    counted = blocks.select("ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = blocks.select("ids").mapInArrow(lambda rows: _counts(rows, kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     packed = Table.fitted({r.id: r.n for r in counted}).to_bytes()
-    per_block = blocks.select("range", "block", F.size("ids").cast("long").alias("n"))
     before, first = 0, []
-    for r in per_block.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():
+    for r in blocks.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():
         first.append((r.range, before))
         before += r.n
     places = spark.createDataFrame(first, "range bigint, base bigint")
 
     placed = blocks.join(places, "range").withColumn("first", F.col("base") + F.col("block") * BLOCK).drop("base")
-    made = placed.sortWithinPartitions("range", "block").mapInArrow(lambda rows: _frames(rows, packed), "range bigint, frame binary")
+    made = placed.sortWithinPartitions("range", "block").mapInArrow(lambda rows: _frames(rows, packed, kind), "range bigint, frame binary")
     as_text = F.col("frame").cast("string").alias("value")
     written = {"lineSep": SEPARATOR}
     made.select("range", as_text).write.options(**written, maxRecordsPerFile=FRAMES_PER_FILE).partitionBy("range").text(f"{path}/ids")
@@ -345,20 +362,26 @@ def _pieces(batches: Iterator[pa.RecordBatch], packed: bytes, with_ids: bool) ->
     shared, crc = Table.from_bytes(packed), zlib.crc32(packed)
     for batch in batches:
         for content in batch.column(0):
-            for f in frames(content.as_py()):
-                if f["table_crc"] != crc:
-                    raise Corrupt("a frame of another table")
-                ids = decode_frame(f, shared)
-                ends = np.cumsum(f["take"].astype(np.int64))
-                begins = ends - f["take"].astype(np.int64)
-                raw = ids.astype("<u4").tobytes()
-                after = (f["total"] - f["skip"] - f["take"]).astype(np.int64).tolist()
-                crcs = [crc_before(c, 4 * n) if n else c for c, n in ((zlib.crc32(raw[4 * a : 4 * b]), n) for a, b, n in zip(begins.tolist(), ends.tolist(), after, strict=True))]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
-                longs = [pa.array(x.astype(np.int64)) for x in (f["first"] + begins - f["skip"].astype(np.int64), f["total"], f["skip"], f["take"])]
-                doc_id = pa.array(f["doc_id"], mask=f["has"] == 0)
-                fields = [doc_id, *longs, pa.array(crcs, pa.int64()), lists if with_ids else pa.nulls(len(doc_id), lists.type)]
-                yield pa.RecordBatch.from_arrays(fields, ["doc_id", "start", "total", "skip", "take", "crc", "ids"])
+            many = list(frames(content.as_py()))
+            for a in range(0, len(many), SIDE_BY_SIDE):
+                for f, ids in zip(many[a : a + SIDE_BY_SIDE], decode_frames(many[a : a + SIDE_BY_SIDE], shared), strict=True):
+                    if f["table_crc"] != crc:
+                        raise Corrupt("a frame of another table")
+                    yield _piece_rows(f, ids, with_ids)
+
+
+def _piece_rows(f: dict, ids: np.ndarray, with_ids: bool) -> pa.RecordBatch:
+    """A row for each piece of a document in a frame."""
+    ends = np.cumsum(f["take"].astype(np.int64))
+    begins = ends - f["take"].astype(np.int64)
+    raw = ids.astype("<u4").tobytes()
+    after = (f["total"] - f["skip"] - f["take"]).astype(np.int64).tolist()
+    crcs = [crc_before(c, 4 * n) if n else c for c, n in ((zlib.crc32(raw[4 * a : 4 * b]), n) for a, b, n in zip(begins.tolist(), ends.tolist(), after, strict=True))]
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+    longs = [pa.array(x.astype(np.int64)) for x in (f["first"] + begins - f["skip"].astype(np.int64), f["total"], f["skip"], f["take"])]
+    doc_id = pa.array(f["doc_id"], mask=f["has"] == 0)
+    fields = [doc_id, *longs, pa.array(crcs, pa.int64()), lists if with_ids else pa.nulls(len(doc_id), lists.type)]
+    return pa.RecordBatch.from_arrays(fields, ["doc_id", "start", "total", "skip", "take", "crc", "ids"])
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -50,7 +50,7 @@ def test_blocks_round_trip(sizes):
     for ids, coded in zip(blocks, tf.encode_blocks(blocks, table), strict=True):
         made = tf.frame(ids, coded, ([None, 7], [len(ids), 1], [0, 0], [len(ids), 0]), (3, 4, 5), 9)
         (f,) = tf.frames(made + tf.SEPARATOR.encode())
-        assert tf.decode_frame(f, table).tolist() == ids.tolist()
+        assert tf.decode_frames([f], table)[0].tolist() == ids.tolist()
         assert (f["range"], f["block"], f["first"], f["doc_id"].tolist(), f["has"].tolist()) == (3, 4, 5, [0, 7], [0, 1])
 
 
@@ -104,7 +104,7 @@ def test_ids_are_read_back_in_pieces_and_files_keep_order(spark, docs, tmp_path,
     shared, last = tf.Table.from_bytes(tf.read_table(spark, path)), (-1, -1)
     for file in sorted((tmp_path / "tokens/ids").glob("range=*/part-*")):
         for f in tf.frames(file.read_bytes()):
-            assert (f["range"], f["block"]) > last and len(tf.decode_frame(f, shared)) == f["n"]
+            assert (f["range"], f["block"]) > last and len(tf.decode_frames([f], shared)[0]) == f["n"]
             last = f["range"], f["block"]
 
 
