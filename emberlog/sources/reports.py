@@ -1,74 +1,27 @@
 """Failure reports as a frame of builds.
 
-Local paths are listed by the driver, as hidden files and names with brackets
-count too; stores with a scheme are listed by Spark. Each file is read and
-decoded in a task, so no report passes the driver. Builds are known and ordered
-by build_key: the place of their source among the sources, then their path,
-part by part.
+Files are read by the data source of sources/datasource.py, each decoded in a
+task, so no report passes the driver; stores that it cannot open are listed and
+read by Spark. Builds are known and ordered by build_key: the place of their
+source among the sources, then their path, part by part.
 """
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog import schema
+from emberlog.sources.datasource import FORMAT, known_store, register
+from emberlog.sources.decoding import DECODED_FIELDS, DECODED_TYPE, decode
 
 STDIN = "-"
-#: Local files that a task reads.
-FILES_OF_A_TASK = 256
-_TEXT = pa.string()
-_FAILURE = pa.struct([(k, _TEXT) for k in ("task", "package", "recipe", "log", "kind")])
-_DECODED = pa.struct(
-    [("problem", _TEXT), *((k, _TEXT) for k in schema.BUILD_FIELDS), ("failures", pa.list_(_FAILURE)), ("local_conf", _TEXT), ("auto_conf", _TEXT), ("raw", _TEXT)]
-)
-DECODED = (
-    f"struct<problem:string,{','.join(f'{k}:string' for k in schema.BUILD_FIELDS)},"
-    f"failures:array<{schema.FAILURE}>,local_conf:string,auto_conf:string,raw:string>"
-)
-
-
-def _text(value: object) -> str | None:
-    """Strings as they are, other JSON values as JSON."""
-    return value if value is None or isinstance(value, str) else json.dumps(value)
-
-
-def decode(content: bytes | str | None) -> dict:
-    """One report. Whatever is no UTF-8 JSON object gets a problem and no failures."""
-    try:
-        text = content.decode("utf-8") if isinstance(content, bytes) else content or ""
-        data = json.loads(text)
-    except UnicodeDecodeError as e:
-        return {"problem": f"Could not read report: {e}", "failures": []}
-    except json.JSONDecodeError as e:
-        return {"problem": f"Report is not valid JSON: {e}", "failures": []}
-    if not isinstance(data, dict):
-        return {"problem": f"Report is not a JSON object (got {type(data).__name__})", "failures": []}
-    listed = data.get("failures")
-    failures = []
-    for f in listed if isinstance(listed, list) else ():
-        if isinstance(f, dict):
-            task, log = f.get("task"), f.get("log")
-            named = isinstance(task, str) and task.startswith("do_")
-            failures.append(
-                {
-                    "task": _text(task),
-                    "package": _text(f.get("package")),
-                    "recipe": _text(f.get("recipe")),
-                    "log": log if isinstance(log, str) else "",
-                    "kind": "task" if named else "message",
-                }
-            )
-    conf = {k: v for k in ("local_conf", "auto_conf") if isinstance(v := data.get(k), str)}
-    rest = json.dumps({k: v for k, v in data.items() if k != "failures"}, ensure_ascii=True)
-    return {"failures": failures, **{k: _text(data.get(k)) for k in schema.BUILD_FIELDS}, **conf, "raw": rest}
+DECODED = f"struct<{DECODED_FIELDS.replace(' string', ':string').replace('failures ', 'failures:')}>"
 
 
 def decoded(content: Column) -> Column:
@@ -76,41 +29,16 @@ def decoded(content: Column) -> Column:
 
     @F.arrow_udf(DECODED)
     def run(contents: pa.Array) -> pa.Array:
-        return pa.array([decode(c.as_py()) for c in contents], _DECODED)
+        return pa.array([decode(c.as_py()) for c in contents], pa.struct(DECODED_TYPE))
 
     return run(content)
 
 
-def _listed(source: str) -> tuple[list[tuple[str, str]], bool]:
-    """(path as named, real path) of the local files of a source, and whether it is a folder."""
-    if os.path.isdir(source):
-        found = [os.path.join(root, name) for root, _, names in os.walk(source) for name in names]
-        return [(p, os.path.realpath(p)) for p in found if os.path.isfile(p)], True
-    return [(p, os.path.realpath(p)) for p in glob.glob(source, recursive=True) if os.path.isfile(p)], False
-
-
-def _read(files: DataFrame) -> DataFrame:
-    """files (source, path, file, folder) with d, each decoded where it is read, one at a time."""
-    names = files.columns
-    schema_ = ", ".join(f"{n} {t}" for n, t in files.dtypes) + f", d {DECODED}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                try:
-                    with open(batch.column("file")[k].as_py(), "rb") as f:
-                        d = decode(f.read())
-                except OSError as e:
-                    d = {"problem": f"Could not read report: {e}", "failures": []}
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([d], _DECODED)], [*names, "d"])
-
-    return files.mapInArrow(run, schema_)
-
-
-def _local(spark: SparkSession, rows: list[tuple[str, str, str, bool]]) -> DataFrame:
-    """Local files (source, path as named, real path, in a folder) as decoded rows."""
-    files = spark.createDataFrame(rows, "source string, path string, file string, folder boolean")
-    return _read(files.repartition(len(rows) // FILES_OF_A_TASK + 1) if len(rows) > FILES_OF_A_TASK else files).drop("file")
+def read_reports(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+    """The rows of the data source for paths; filters on source_path reach it where the session pushes them down."""
+    register(spark)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(FORMAT).options(paths=json.dumps(paths), pushdown=pushed, **options).load()
 
 
 def _key(source: Column, path: Column) -> Column:
@@ -118,18 +46,23 @@ def _key(source: Column, path: Column) -> Column:
     return F.concat(source, F.translate(path, "/", "\x01"))
 
 
-def _as_builds(found: DataFrame) -> DataFrame:
-    """found (build_key, source_path, content, or decoded as d) as builds."""
-    d = found if "d" in found.columns else found.select("build_key", "source_path", decoded(F.col("content")).alias("d"))
+def _with_hits(rows: DataFrame) -> DataFrame:
+    """Decoded rows as builds: a problem becomes a finding."""
     problem = F.struct(
         F.lit("unknown").alias("category"),
         F.lit("error").alias("severity"),
-        F.col("d.problem").alias("title"),
-        F.array("d.problem").alias("evidence"),
+        F.col("problem").alias("title"),
+        F.array("problem").alias("evidence"),
         F.lit(1.0).alias("confidence"),
     )
-    hits = F.when(F.col("d.problem").isNotNull(), F.array(problem)).otherwise(F.array().cast("array<struct<category:string,severity:string,title:string,evidence:array<string>,confidence:double>>"))
-    return d.select("build_key", "source_path", *[F.col(f"d.{k}") for k in schema.BUILD_FIELDS], "d.failures", hits.alias("ingest_findings"), "d.local_conf", "d.auto_conf", "d.raw")
+    hits = F.when(F.col("problem").isNotNull(), F.array(problem)).otherwise(F.array().cast("array<struct<category:string,severity:string,title:string,evidence:array<string>,confidence:double>>"))
+    return rows.select("build_key", "source_path", *schema.BUILD_FIELDS, "failures", hits.alias("ingest_findings"), "local_conf", "auto_conf", "raw")
+
+
+def _as_builds(found: DataFrame) -> DataFrame:
+    """found (build_key, source_path, content, or decoded as d) as builds."""
+    d = found if "d" in found.columns else found.select("build_key", "source_path", decoded(F.col("content")).alias("d"))
+    return _with_hits(d.select("build_key", "source_path", "d.*"))
 
 
 def from_texts(spark: SparkSession, rows: Iterable[tuple[str, str | bytes]]) -> DataFrame:
@@ -139,48 +72,55 @@ def from_texts(spark: SparkSession, rows: Iterable[tuple[str, str | bytes]]) ->
 
 
 def load_report(spark: SparkSession, path: str) -> DataFrame:
-    """The build of one local file, whatever it is named: one row, with a finding if it cannot be read or is no report."""
-    found = _local(spark, [("", path, path, False)])
-    return _as_builds(found.select(_key(F.col("source"), F.col("path")).alias("build_key"), F.col("path").alias("source_path"), "d"))
+    """The build of one local file, whatever it is named: one row, with a finding if it cannot be read or is no report.
+
+    Executors open it: on a cluster it must lie where all of them see it.
+    """
+    return _with_hits(read_reports(spark, [path], named="true"))
 
 
 def load_reports(spark: SparkSession, sources: Iterable[str]) -> DataFrame:
-    """Builds of all sources: files, globs (** allowed), folders, or - for one report on stdin.
+    """Builds of all sources: files, globs (** allowed), folders, URIs, or - for one report on stdin.
 
     A path reached twice counts once, for its first source. In a folder, what
     is no report is passed over; a file that is named makes a build with a
     finding that tells what is wrong. A path or glob without a match yields
-    nothing; without any match the frame is empty. Hidden files count.
+    nothing; without any match the frame is empty. Hidden files count. A local
+    file that was listed but is not there for an executor is an error.
     """
-    local, seen, parts = [], set(), []
-    for k, source in enumerate(map(str, sources)):
-        order = f"{k:09d}|"
-        if source == STDIN:
-            text = spark.createDataFrame([(order, STDIN, sys.stdin.read().encode(), False)], "source string, path string, content binary, folder boolean")
-            parts.append(text)
-        elif "://" in source:  # a store that only Spark lists
-            reader = spark.read.format("binaryFile")
-            folder = source.endswith("/")
-            reader = reader.option("recursiveFileLookup", "true") if folder else reader
-            parts.append(reader.load(source).select(F.lit(order).alias("source"), "path", "content", F.lit(folder).alias("folder")))
-        else:
-            listed, folder = _listed(source)
-            for path, real in sorted(listed, key=lambda x: x[0].split("/")):
-                if real not in seen:
-                    seen.add(real)
-                    local.append((order, path, real, folder))
-    frames = [_local(spark, local)] if local else []
-    stored = None
-    for df in parts:
-        stored = df if stored is None else stored.unionByName(df)
-    if stored is not None:
-        if len(parts) > 1:  # the narrow paths are compared, not the contents
-            once = Window.partitionBy("path").orderBy("source")
-            keep = stored.select("path", "source").withColumn("r", F.row_number().over(once)).where((F.col("r") == 1) | (F.col("path") == STDIN))
-            stored = stored.join(keep.select("path", "source"), ["path", "source"], "left_semi")
-        frames.append(stored.select("source", "path", "folder", decoded(F.col("content")).alias("d")))
+    places = list(enumerate(map(str, sources)))
+    local = [(k, s) for k, s in places if s != STDIN and known_store(s)]
+    stored = [(k, s) for k, s in places if s != STDIN and not known_store(s)]
+    frames = []
+    if local:
+        # sources keep their place among all: those that are read elsewhere are empty here
+        names = ["" if (k, s) not in local else s for k, s in places]
+        frames.append(_with_hits(read_reports(spark, names)))
+    texts = [(f"{k:09d}|", STDIN, sys.stdin.read().encode()) for k, s in places if s == STDIN]
+    if texts:
+        frames.append(_as_builds(spark.createDataFrame(texts, "source string, source_path string, content binary").withColumn("build_key", _key(F.col("source"), F.col("source_path")))))
+    if stored:
+        frames.append(_from_store(spark, stored))
     if not frames:
         return from_texts(spark, [])
-    found = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    found = found.where(~F.col("folder") | F.col("d.problem").isNull())
-    return _as_builds(found.select(_key(F.col("source"), F.col("path")).alias("build_key"), F.col("path").alias("source_path"), "d"))
+    found = frames[0]
+    for df in frames[1:]:
+        found = found.unionByName(df)
+    return found
+
+
+def _from_store(spark: SparkSession, sources: list[tuple[int, str]]) -> DataFrame:
+    """Builds of (place, URI) that Spark's own reader lists: folders end with /."""
+    found = None
+    for k, source in sources:
+        folder = source.endswith("/")
+        reader = spark.read.format("binaryFile")
+        reader = reader.option("recursiveFileLookup", "true") if folder else reader
+        df = reader.load(source).select(F.lit(f"{k:09d}|").alias("source"), "path", "content", F.lit(folder).alias("folder"))
+        found = df if found is None else found.unionByName(df)
+    if len(sources) > 1:  # the narrow paths are compared, not the contents
+        once = Window.partitionBy("path").orderBy("source")
+        keep = found.select("path", "source").withColumn("r", F.row_number().over(once)).where("r = 1")
+        found = found.join(keep.select("path", "source"), ["path", "source"], "left_semi")
+    d = found.select(_key(F.col("source"), F.col("path")).alias("build_key"), F.col("path").alias("source_path"), "folder", decoded(F.col("content")).alias("d"))
+    return _as_builds(d.where(~F.col("folder") | F.col("d.problem").isNull()))

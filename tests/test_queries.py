@@ -1,5 +1,7 @@
 """The registered queries against their SQL in DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -11,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("customer", "documents", "events", "lineitem"):
+    for t in sorted(f.removesuffix(".parquet") for f in os.listdir(SF)):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 
