@@ -14,8 +14,9 @@ from emberlog.operators.engine import Report, analyze, cap_evidence, over_thresh
 from emberlog.operators.summary import BUDGET, summarize
 from emberlog.sinks import documents
 from emberlog.sinks import runs as run_sinks
+from emberlog.sinks.run_tables import RunTables
 from emberlog.sources.reports import load_reports
-from emberlog.sources.runs import load_store
+from emberlog.sources.runs import is_tables, load_store
 
 STORE = ".emberlog/runs.jsonl"
 
@@ -71,18 +72,24 @@ def _write(pieces: Iterable[str], path: str | None) -> None:
 
 def _compared(spark: SparkSession, report: Report, store: str, baseline: str | None):
     """(baseline's id, status, fixed), cached: the store may be appended to before they are read."""
-    runs, rows = load_store(spark, store)
-    base = trend.baseline_run(runs, baseline)
-    at = base[0] if base else None
-    status, gone = trend.classify(report.findings, rows, at).persist(), trend.fixed(report.findings, rows, at).persist()
+    if is_tables(store):
+        tables = RunTables(spark, store)
+        head = tables.baseline(baseline)
+        base, (status, gone) = head and head.run_id, tables.compare(report.findings, head)
+    else:
+        runs, rows = load_store(spark, store)
+        found = trend.baseline_run(runs, baseline)
+        at = found[0] if found else None
+        base, status, gone = found and found[1], trend.classify(report.findings, rows, at), trend.fixed(report.findings, rows, at)
+    status, gone = status.persist(), gone.persist()
     status.count(), gone.count()
-    return base[1] if base else None, status, gone
+    return base, status, gone
 
 
 def _record(spark: SparkSession, report: Report, store: str) -> None:
     """Into a folder of tables if there is one or the name ends with /, into a file otherwise."""
-    if os.path.isdir(store) or store.endswith("/"):
-        run_sinks.append_run(report, store.rstrip("/"), load_store(spark, store)[0].count())
+    if is_tables(store):
+        RunTables(spark, store).append(report)
     else:
         run_sinks.record_run(report, store)
 

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUS = ("new", "recurring", "regressed")
+#: The state of a signature's history; see history_state.
+HISTORY = (
+    "signature string, first_ord bigint, first_seen_run string, first_seen_at string, last_ord bigint, last_seen_run string, "
+    "last_seen_at string, runs_present bigint, total_occurrences bigint, streak bigint"
+)
 
 
 def run_rows(runs: DataFrame) -> DataFrame:
@@ -62,32 +67,60 @@ def new_findings(status: DataFrame) -> bool:
     return not status.where("status <> 'recurring'").isEmpty()
 
 
-def history(rows: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """First and last run, runs present, occurrences and current streak of each signature.
+def history_state(rows: DataFrame) -> DataFrame:
+    """What is known of each signature from the rows of some runs in a row: a row of HISTORY each.
 
-    rows are counted per run first. The streak counts the runs without a gap
-    up to the last of runs, which may have no findings; without runs, up to
-    the last that has some. run_ord counts runs from 0 without gaps.
+    rows are counted per run first. streak is the number of runs without a gap
+    that ends with last_ord; run_ord counts runs from 0 without gaps.
     """
-    last_ord = (rows if runs is None else runs).agg(F.max("run_ord")).first()[0]
     per_run = rows.groupBy("signature", "run_ord").agg(F.count("*").alias("n"), F.min("run_id").alias("run_id"), F.min("recorded_at").alias("recorded_at"))
     # runs in a row share run_ord less their number
     place = Window.partitionBy("signature").orderBy("run_ord")
     per_run = per_run.withColumn("island", F.col("run_ord") - F.row_number().over(place))
     newest = F.max("island").over(Window.partitionBy("signature"))
     per_run = per_run.withColumn("newest", F.col("island") == newest)
-    by = per_run.groupBy("signature").agg(
+    return per_run.groupBy("signature").agg(
+        F.min("run_ord").alias("first_ord"),
         F.min_by("run_id", "run_ord").alias("first_seen_run"),
         F.min_by("recorded_at", "run_ord").alias("first_seen_at"),
+        F.max("run_ord").alias("last_ord"),
         F.max_by("run_id", "run_ord").alias("last_seen_run"),
         F.max_by("recorded_at", "run_ord").alias("last_seen_at"),
         F.count("*").alias("runs_present"),
         F.sum("n").alias("total_occurrences"),
-        F.max("run_ord").alias("_last"),
-        F.count_if("newest").alias("_streak"),
+        F.count_if("newest").alias("streak"),
+    )
+
+
+def merge_history(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """The states of earlier and of later runs as one: a join of a row each, however many runs they tell of."""
+    a, b = older.alias("a"), newer.alias("b")
+    both = a.join(b, F.col("a.signature") == F.col("b.signature"), "full_outer")
+    either = lambda c, first, then: F.when(F.col(f"{first}.signature").isNotNull(), F.col(f"{first}.{c}")).otherwise(F.col(f"{then}.{c}"))
+    # a later streak goes on with an earlier one if that ends with the run before it
+    goes_on = F.col("a.last_ord") + 1 == F.col("b.last_ord") - F.col("b.streak") + 1
+    streak = F.when(goes_on, F.col("a.streak") + F.col("b.streak")).otherwise(either("streak", "b", "a"))
+    total = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))
+    return both.select(
+        either("signature", "a", "b").alias("signature"),
+        *[either(c, "a", "b").alias(c) for c in ("first_ord", "first_seen_run", "first_seen_at")],
+        *[either(c, "b", "a").alias(c) for c in ("last_ord", "last_seen_run", "last_seen_at")],
+        total("runs_present").alias("runs_present"),
+        total("total_occurrences").alias("total_occurrences"),
+        streak.alias("streak"),
     )
-    streak = F.when(F.col("_last") == F.lit(last_ord), F.col("_streak")).otherwise(0)
-    return by.withColumn("current_streak", streak.cast("bigint")).drop("_last", "_streak")
+
+
+def history_of(state: DataFrame, last_ord: int | None) -> DataFrame:
+    """First and last run, runs present, occurrences and current streak of each signature, last_ord being the last of all runs."""
+    streak = F.when(F.col("last_ord") == F.lit(last_ord), F.col("streak")).otherwise(0)
+    return state.withColumn("current_streak", streak.cast("bigint")).drop("first_ord", "last_ord", "streak")
+
+
+def history(rows: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """history_of all rows. The streak counts up to the last of runs, which may have no findings; without runs, up to the last that has some."""
+    last_ord = (rows if runs is None else runs).agg(F.max("run_ord")).first()[0]
+    return history_of(history_state(rows), last_ord)
 
 
 def run_ids(rows: DataFrame, tool_version: str) -> DataFrame:

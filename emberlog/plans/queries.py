@@ -385,6 +385,32 @@ def signature_history(spark, sf):
     return trend.history(rows(spark, sf)).select("signature", "first_seen_run", "last_seen_run", "runs_present", "total_occurrences", "current_streak")
 
 
+@query(SQL["signature_history"])
+def folded_history(spark, sf):
+    """As signature_history, but of six runs at a time, each block's state merged into that of the runs before."""
+    from emberlog.shared import written
+
+    every = rows(spark, sf)
+    last = every.agg(F.max("run_ord")).first()[0]
+    state = None
+    for at in range(0, last + 1, 6):
+        block = trend.history_state(every.where(F.col("run_ord").between(at, at + 5)))
+        state = written(block if state is None else trend.merge_history(state, block), "history")
+    return trend.history_of(state, last).select("signature", "first_seen_run", "last_seen_run", "runs_present", "total_occurrences", "current_streak")
+
+
+_SUMS = ", chr(10), ".join(f"sum(('0x' || substr(sha, {1 + 15 * i}, 15))::UBIGINT::HUGEINT)" for i in range(4))
+
+
+@query(f"WITH {_RUNS} SELECT run_ord, 'set:' || sha1(concat(count(*), chr(10), {_SUMS}, chr(10), '0.1.0')) AS run_id FROM (SELECT run_ord, sha256(signature) AS sha FROM runs) WHERE run_ord IN (0, 7) GROUP BY 1")
+def run_set_ids(spark, sf):
+    """The ids of two runs that tables keep: sums over a run, no list of its signatures."""
+    from emberlog.sinks.run_tables import set_id
+
+    every = rows(spark, sf)
+    return spark.createDataFrame([(k, set_id(every.where(F.col("run_ord") == k), "0.1.0")) for k in (0, 7)], "run_ord bigint, run_id string")
+
+
 @query(f"WITH {_RUNS} SELECT run_ord, 'sha1:' || sha1(string_agg(signature, chr(10) ORDER BY signature) || chr(10) || '0.1.0') AS run_id FROM runs GROUP BY 1")
 def run_ids(spark, sf):
     return trend.run_ids(rows(spark, sf), "0.1.0")
@@ -527,12 +553,20 @@ def scan_globs_and_folder(spark, sf):
     return _scanned(load_reports(spark, [f"{folder}/none.json", f"{folder}/plain/r[[]*.json", f"{folder}/broken/*.txt", folder]), folder)
 
 
-@query("SELECT 'Could not read report: [Errno 2] No such file or directory: ' || chr(39) || '/no/such/report.json' || chr(39) AS problem, 'unknown' AS category, '/no/such/report.json' AS path FROM region WHERE r_regionkey = 0")
+@query(
+    f"""SELECT path, CASE WHEN n_nationkey % 5 = 3 THEN '{_NOT_JSON}' WHEN n_nationkey % 4 = 1 THEN 'Could not read report: [Errno 2] No such file or directory: ' || chr(39) || '/' || path || chr(39) END AS problem,
+    CASE WHEN n_nationkey % 5 <> 3 AND n_nationkey % 4 <> 1 THEN n_name END AS component FROM (SELECT *, {_NAMES} || CASE WHEN n_nationkey % 5 <> 3 AND n_nationkey % 4 = 1 THEN '.gone' ELSE '' END AS path FROM nation)"""
+)
 def missing_report(spark, sf):
-    from emberlog.sources.reports import load_report
+    """Reports that are named one by one, of which some are not there or are no reports."""
+    from emberlog.sources.reports import _with_hits, read_reports
 
-    hit = F.get("ingest_findings", F.lit(0))
-    return load_report(spark, "/no/such/report.json").select(hit["title"].alias("problem"), hit["category"].alias("category"), F.col("source_path").alias("path"))
+    folder = _report_files(spark, sf)
+    named = table(spark, sf, "nation").selectExpr(f"{_NAMES} || CASE WHEN n_nationkey % 5 <> 3 AND n_nationkey % 4 = 1 THEN '.gone' ELSE '' END AS path").collect()  # 25 rows
+    found = _with_hits(read_reports(spark, [f"{folder}/{r.path}" for r in named], named="true"))
+    bare = lambda c: F.replace(c, F.lit(f"{folder}/"), F.lit(""))
+    problem = F.replace(F.get("ingest_findings", F.lit(0))["title"], F.lit(folder), F.lit(""))
+    return found.select(bare(F.col("source_path")).alias("path"), problem.alias("problem"), "component")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'SEGMENT = ' || c_mktsegment || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '# [redacted secret]' ELSE 'NAME = ' || c_name END || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'AUTO = 1' ELSE '' END END AS config FROM customer")
@@ -542,9 +576,17 @@ def config_extraction(spark, sf):
     return summary.config_text(table(spark, sf, "customer").selectExpr("c_custkey", local, auto)).select("c_custkey", "config")
 
 
-@query("SELECT (row_number() OVER (ORDER BY n_nationkey)) - 1 AS run_ord, 'run' || n_nationkey AS run_id, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE n_regionkey END::INTEGER AS source_count, (n_nationkey % 3)::BIGINT AS n_findings FROM nation")
+@query(
+    """SELECT (row_number() OVER (ORDER BY n_nationkey)) - 1 AS run_ord, 'run' || n_nationkey AS run_id,
+    CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE n_regionkey END::INTEGER AS source_count, (n_nationkey % 3)::BIGINT AS n_findings FROM nation"""
+)
 def scan_run_store(spark, sf):
-    """A store with a run for each nation, blank and broken lines between them, and fields left out."""
+    """A store with a run for each nation; blank and broken lines between them, fields left out, and lines that only some readers of JSON take.
+
+    Findings that are no objects do not count, others of their run do; numbers
+    may be texts or NaN; of a repeated key the last counts; what follows an
+    object makes a line no JSON.
+    """
     import json
 
     from emberlog.shared import shared_path
@@ -554,8 +596,10 @@ def scan_run_store(spark, sf):
     with open(path, "w", encoding="utf-8") as out:
         for r in table(spark, sf, "nation").orderBy("n_nationkey").collect():  # 25 rows
             k = r["n_nationkey"]
-            run = {"run_id": f"run{k}", "findings": [{"signature": f"s{i}", "title": "t"} for i in range(k % 3)]}
-            out.write(json.dumps(run | ({"source_count": r["n_regionkey"]} if k % 3 else {})) + "\n" + ("\n{oops\n[1]\n" if k % 4 == 0 else ""))
+            findings = [{"signature": f"s{i}", "title": "t"} for i in range(k % 3)] + ([7, None, "text"] if k % 2 else [])
+            run = {"run_id": f"run{k}", "findings": findings, "summary": {"errors": float("nan") if k % 5 == 0 else k}}
+            line = json.dumps(run | ({"source_count": str(r["n_regionkey"]) if k % 6 == 1 else r["n_regionkey"]} if k % 3 else {}))
+            out.write(('{"run_id": "other", ' + line[1:] if k % 7 == 2 else line) + "\n" + ("\n{oops\n[1]\n" if k % 4 == 0 else '{"run_id": "x"} }\n' if k % 4 == 1 else ""))
     return load_runs(spark, path).select("run_ord", "run_id", "source_count", F.size("findings").cast("bigint").alias("n_findings"))
 
 
@@ -576,13 +620,28 @@ def record_and_load_run(spark, sf):
 
 @query(on_findings(_KEPT))
 def append_and_load_run(spark, sf):
+    """Written to the partition of its commit and read back from there; the second append finds it and changes nothing."""
     from emberlog.shared import shared_path
-    from emberlog.sinks.runs import append_run
-    from emberlog.sources.runs import load_store
-
-    path = shared_path(spark, "tables").removeprefix("file:")
-    append_run(report(spark, sf), path, 0, recorded_at="2024-01-31T00:00:00Z")
-    return load_store(spark, path)[1].select("place", "signature", "category", "severity", "recipe", "title")
+    from emberlog.sinks.run_tables import RunTables
+
+    store = RunTables(spark, shared_path(spark, "tables"))
+    made = [store.append(report(spark, sf), recorded_at="2024-01-31T00:00:00Z", key="first") for _ in range(2)]
+    return store.rows(made[:1]).select("place", "signature", "category", "severity", "recipe", "title")
+
+
+@query(on_findings("SELECT signature, 'run' AS first_seen_run, 2::BIGINT AS runs_present, 2 * count(*) AS total_occurrences, 2::BIGINT AS current_streak, 'recurring' AS status FROM findings GROUP BY 1"))
+def stored_history(spark, sf):
+    """A run that is recorded twice: the history that the store keeps, and each signature's status against the last run."""
+    from emberlog.operators.engine import Report
+    from emberlog.shared import shared_path, written
+    from emberlog.sinks.run_tables import RunTables
+
+    store = RunTables(spark, shared_path(spark, "tables"))
+    once = Report(builds(spark, sf), written(found(spark, sf), "findings"), None)
+    head = [store.append(once, recorded_at=at) for at in ("t0", "t1")][-1]
+    past = trend.history_of(store.history(head), head.run_ord)
+    status, _ = store.compare(once.findings, head)
+    return past.join(status, "signature").select("signature", F.regexp_replace("first_seen_run", "set:.*", "run").alias("first_seen_run"), "runs_present", "total_occurrences", "current_streak", "status")
 
 
 # ---- shown results

@@ -14,22 +14,22 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog import schema
 from emberlog.functions.text import redact_host
-from emberlog.operators.engine import Report, placed, rank_order, totals
+from emberlog.operators.engine import Report, rank_order, totals
 from emberlog.operators.trend import with_status
+from emberlog.shared import written
 from emberlog.sinks.documents import NO_RECIPE, VERSION
 
 KEYS = ("signature", "category", "severity", "recipe", "title")
 
 
-def run_findings(report: Report) -> DataFrame:
+def run_findings(findings: DataFrame) -> DataFrame:
     """What a store keeps of findings: no evidence, titles without host identity."""
-    return report.findings.orderBy(*rank_order()).select("signature", "category", "severity", "recipe", redact_host(F.col("title")).alias("title"))
+    return findings.orderBy(*rank_order()).select("signature", "category", "severity", "recipe", redact_host(F.col("title")).alias("title"))
 
 
 def run_id(findings: DataFrame, version: str) -> str:
-    """The hash of all signatures in order, repeats included, and the version; read one partition at a time."""
+    """The hash of all signatures in order, repeats included, and the version; read one partition at a time. run_tables.set_id needs no order."""
     sha = hashlib.sha1()
     begun = False
     for r in findings.select("signature").orderBy("signature").toLocalIterator():
@@ -52,17 +52,20 @@ class RunRecord:
 
 
 def run_record(report: Report, version: str = VERSION, recorded_at: str | None = None) -> RunRecord:
-    """The record of a report's run, now in UTC to the second if no time is given."""
+    """The record of a report's run, now in UTC to the second if no time is given. Findings are evaluated once, and kept in the shared folder."""
+    report = Report(report.builds, written(report.findings, "findings"), report.groups)
     at = recorded_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     return RunRecord(run_id(report.findings, version), at, version, report.builds.count(), totals(report.findings), report.findings)
 
 
-def record_run(report: Report, path: str, version: str = VERSION, recorded_at: str | None = None) -> str:
-    """Append a run to a JSON Lines store, as one line, and return its id.
+def record_run(report: Report, path: str, version: str = VERSION, recorded_at: str | None = None) -> RunRecord:
+    """Append a run to a JSON Lines store, as one line, and return its record.
 
     The line is made in a file of its own, as its findings come, and appended
     once it is whole: a failure before leaves the store as it was. A store
-    whose last line has no end gets one.
+    whose last line has no end gets one. All findings pass the driver, one
+    partition at a time: for runs that are too large for a line of a file, see
+    sinks/run_tables.py.
     """
     run = run_record(report, version, recorded_at)
     path = os.path.abspath(path)
@@ -71,7 +74,7 @@ def record_run(report: Report, path: str, version: str = VERSION, recorded_at: s
     try:
         with open(made, "w", encoding="utf-8") as out:
             out.write('{"findings": [')
-            for i, r in enumerate(run_findings(report).toLocalIterator()):
+            for i, r in enumerate(run_findings(run.findings).toLocalIterator()):
                 out.write((", " if i else "") + json.dumps(r.asDict(), sort_keys=True))
             rest = {k: getattr(run, k) for k in ("recorded_at", "run_id", "source_count", "summary", "tool_version")}
             out.write("], " + json.dumps(rest, sort_keys=True)[1:] + "\n")
@@ -84,24 +87,7 @@ def record_run(report: Report, path: str, version: str = VERSION, recorded_at: s
     finally:
         if os.path.exists(made):
             os.remove(made)
-    return run.run_id
-
-
-def append_run(report: Report, path: str, run_ord: int, version: str = VERSION, recorded_at: str | None = None) -> str:
-    """Append a run to a folder of tables, for stores that outgrow one file, and return its id.
-
-    findings get a row each, with their place in rank order; the row in runs
-    is written last, and counts only then. Nothing passes the driver but the id.
-    """
-    run = run_record(report, version, recorded_at)
-    spark = report.findings.sparkSession
-    known = {"run_ord": F.lit(run_ord).cast("bigint"), "run_id": F.lit(run.run_id), "recorded_at": F.lit(run.recorded_at)}
-    rows = placed(report.findings).withColumn("title", redact_host(F.col("title"))).withColumn("place", F.col("rank") - 1)
-    rows.select(*[c.alias(k) for k, c in known.items()], "place", *KEYS).write.mode("append").parquet(f"{path}/findings")
-    s = run.summary
-    head = (run_ord, run.run_id, run.recorded_at, run.tool_version, run.source_count, (s["errors"], s["warnings"], s["by_category"]))
-    spark.createDataFrame([head], schema.RUN_HEAD).coalesce(1).write.mode("append").parquet(f"{path}/runs")
-    return run.run_id
+    return run
 
 
 def trend_json(baseline_id: str | None, status: DataFrame, fixed: DataFrame) -> str:

@@ -14,7 +14,7 @@ DECODED_TYPE = [("problem", _TEXT), *((k, _TEXT) for k in schema.BUILD_FIELDS),
 DECODED_FIELDS = f"problem string, {', '.join(f'{k} string' for k in schema.BUILD_FIELDS)}, failures array<{schema.FAILURE}>, local_conf string, auto_conf string, raw string"
 
 
-def _text(value: object) -> str | None:
+def text(value: object) -> str | None:
     """Strings as they are, other JSON values as JSON."""
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
@@ -22,8 +22,7 @@ def _text(value: object) -> str | None:
 def decode(content: bytes | str | None) -> dict:
     """One report. Whatever is no UTF-8 JSON object gets a problem and no failures."""
     try:
-        text = content.decode("utf-8") if isinstance(content, bytes) else content or ""
-        data = json.loads(text)
+        data = json.loads(content.decode("utf-8") if isinstance(content, bytes) else content or "")
     except UnicodeDecodeError as e:
         return {"problem": f"Could not read report: {e}", "failures": []}
     except json.JSONDecodeError as e:
@@ -38,13 +37,13 @@ def decode(content: bytes | str | None) -> dict:
             named = isinstance(task, str) and task.startswith("do_")
             failures.append(
                 {
-                    "task": _text(task),
-                    "package": _text(f.get("package")),
-                    "recipe": _text(f.get("recipe")),
+                    "task": text(task),
+                    "package": text(f.get("package")),
+                    "recipe": text(f.get("recipe")),
                     "log": log if isinstance(log, str) else "",
                     "kind": "task" if named else "message",
                 }
             )
     conf = {k: v for k in ("local_conf", "auto_conf") if isinstance(v := data.get(k), str)}
     rest = json.dumps({k: v for k, v in data.items() if k != "failures"}, ensure_ascii=True)
-    return {"failures": failures, **{k: _text(data.get(k)) for k in schema.BUILD_FIELDS}, **conf, "raw": rest}
+    return {"failures": failures, **{k: text(data.get(k)) for k in schema.BUILD_FIELDS}, **conf, "raw": rest}
