@@ -28,6 +28,10 @@ NODES_AT_ONCE = 50_000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style template noscript svg iframe object canvas textarea select".split())
+#: What ends a comment right behind its start, and later.
+COMMENT_AT_ONCE, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
+#: Start tags that end a select that was left open.
+ENDS_SELECT = frozenset("select input textarea".split())
 #: Start tags that end an svg that was left open.
 BREAKOUT = frozenset("b blockquote body center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre s small span strong sub sup table u ul".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr button".split())
@@ -92,15 +96,16 @@ class Page(HTMLParser):
             svg = self.silent[0] == "svg" and not {"foreignobject", "desc", "title"} & set(self.silent)
             if svg and tag in BREAKOUT:
                 self.silent.clear()
-            elif tag == "select" == self.silent[0]:
+            elif self.silent[0] == "select" and tag in ENDS_SELECT:
                 self.silent.clear()
-                return
-            else:
+                if tag == "select":
+                    return
+            if self.silent:
                 if tag not in VOID:
                     self.silent.append(tag)
                 return
         if tag in SILENT:
-            if self._ends_later(tag):
+            if tag == "select" or self._ends_later(tag):  # a select that is left open ends with what is open around it
                 self.silent.append(tag)
             return
         if tag == "br":
@@ -131,9 +136,29 @@ class Page(HTMLParser):
         if tag not in VOID:
             self.open.append(len(self.tag) - 1)
 
+    def _or_end(self, k: int) -> int:
+        """Where markup ends; with the page, which is fed whole, if it is left open."""
+        return k if k >= 0 else len(self.rawdata)
+
     def parse_starttag(self, i: int) -> int:
         self.at = len(self.rawdata) - i
-        return super().parse_starttag(i)
+        return self._or_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._or_end(super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        found = COMMENT_AT_ONCE.match(self.rawdata, i + 4) or COMMENT_END.search(self.rawdata, i + 4)
+        return found.end() if found else len(self.rawdata)
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        return self._or_end(super().parse_bogus_comment(i, report))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._or_end(super().parse_html_declaration(i))
+
+    def parse_pi(self, i: int) -> int:
+        return self._or_end(super().parse_pi(i))
 
     def _ends_later(self, tag: str) -> bool:
         """Whether the page has an end tag of this name after the present start tag; an element without one is empty."""

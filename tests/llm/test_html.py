@@ -79,6 +79,33 @@ def test_elements_left_open_do_not_swallow_the_page():
     assert deep == "x\ny"
 
 
+def test_markup_left_open_is_no_text():
+    """What a browser shows, by hand: everything that the parser has run into."""
+
+    def shown(html):
+        return "".join(t for _, t in he.parsed(html).run if t)
+
+    cases = {
+        "<p>a</p><!-- unclosed <p>b</p> more": "a",
+        "<p>a</p><!-- closed --><p>b</p>": "ab",
+        "<p>a</p><!bogus <p>b</p>": "ab",  # up to the first >
+        "<p>a</p><!bogus": "a",
+        "<p>a</p><?php echo 1": "a",
+        "<p>a</p><?xml x?><p>b</p>": "ab",
+        "<p>a</p><div class='x": "a",
+        "<p>a</p></div": "a",
+        "<p>a < b and c<d</p>": "a < b and c",
+        "<div><select><option>x<option>y</div><p>b</p>": "b",
+        "<div><p>a<select><option>x</select>c</p></div>": "ac",
+        "<form><select><option>x<input>rest</form>b": "restb",
+        "<select><option>x<p>y": "",
+        "<p>a</p><!doctype html><p>b": "ab",
+        "<p>1 <!-- x --!> 2</p>": "1  2",
+    }
+    assert {h: shown(h) for h in cases} == cases
+    assert shown("<p>a" + " <!-- x -->" * 30_000 + "<!-- " + "<p>y</p>" * 30_000).strip() == "a"
+
+
 def test_large_pages_are_judged_alone_and_alike(model, monkeypatch):
     batch = pages(12, 5)
     whole = he.texts_of(batch, model)
