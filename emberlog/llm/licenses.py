@@ -1,10 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut at sentence ends and blank lines and normalised; known licence
-sentences are found between the cuts, on lines of their own or wrapped, and the sequence of identifiers found is matched against
-ordered rules: a rule names identifiers that must follow one another, with
-others between them allowed, and the first rule of a licence that matches is
-reported. Everything happens within a row, as DataFrame functions.
+A text is cut at sentence ends and blank lines and normalised; known
+licence sentences are found between the cuts, on lines of their own or wrapped, and the sequence of
+identifiers found is matched against ordered rules: a rule names identifiers that must follow one another, with
+others between them allowed. Of the rules of a licence, and of rules that ask for
+what a longer one asks for, the first that matches is reported. Everything happens within a row, as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import table
+from emberlog.llm.common import free_name, table
 
 #: Known licence sentences by identifier.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -136,6 +136,12 @@ def known() -> dict[str, str]:
     return {normalized(s): key for key, ss in SENTENCES.items() for s in ss}
 
 
+def hiding(rules: tuple[tuple[str, str, tuple[str, ...]], ...], i: int) -> list[tuple[str, ...]]:
+    """Identifiers of the rules that hide rule i where they match: earlier ones of its licence, or of any that ask for all that it asks for."""
+    licence, _, own = rules[i]
+    return [ids for other, _, ids in rules[:i] if other == licence or set(own) <= set(ids)]
+
+
 def rule_pattern(ids: tuple[str, ...]) -> str:
     return "(^|,)" + "(,[^,]+)*,".join(ids) + "(,|$)"
 
@@ -176,7 +182,7 @@ def sentence_ids(text: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with sentence_ids (array) and licenses (array of licence:rule, in rule order).
+    """docs with sentence_ids (array) and licenses (array of licence:rule, in rule order); _ goes before these names where docs has them.
 
     A sentence starts and ends at a line's ends, at a blank line, or at
     . ! ? ; : before white space; within, it may be wrapped over lines, each
@@ -184,17 +190,17 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     empty and unmarked texts have no licence; repeated rows are judged alike;
     sentences repeated in a text count as often. Nothing is shuffled.
     """
-    docs = docs.drop("sentence_ids", "licenses").withColumn("sentence_ids", sentence_ids(F.col(text_col)))
-    joined = F.array_join("sentence_ids", ",")
+    ids_col, licences_col = free_name(docs, "sentence_ids"), free_name(docs, "licenses")
+    docs = docs.withColumn(ids_col, sentence_ids(F.col(text_col)))
+    joined = F.array_join(ids_col, ",")
     hits = []
     rules = RULES + MORE_RULES
     for i, (licence, rule, ids) in enumerate(rules):
-        earlier = [rule_pattern(r) for other, _, r in rules[:i] if other == licence]
         hit = joined.rlike(rule_pattern(ids))
-        for p in earlier:
-            hit = hit & ~joined.rlike(p)
+        for r in hiding(rules, i):
+            hit = hit & ~joined.rlike(rule_pattern(r))
         hits.append(F.when(hit, F.lit(f"{licence}:{rule}")))
-    return docs.withColumn("licenses", F.array_compact(F.array(*hits)))
+    return docs.withColumn(licences_col, F.array_compact(F.array(*hits)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +219,7 @@ def _sql() -> str:
     cases = []
     for i, (licence, rule, ids) in enumerate(RULES):
         hit = f"regexp_matches(ids, '{rule_pattern(ids)}')"
-        hit += "".join(f" AND NOT regexp_matches(ids, '{rule_pattern(r)}')" for other, _, r in RULES[:i] if other == licence)
+        hit += "".join(f" AND NOT regexp_matches(ids, '{rule_pattern(r)}')" for r in hiding(RULES, i))
         cases.append(f"CASE WHEN {hit} THEN '{licence}:{rule}' END")
     return f"""
 WITH known(sentence, id) AS (VALUES {pairs}),

@@ -31,10 +31,17 @@ def test_null_empty_and_plain_texts(scan):
 def test_clashing_names_and_empty_tables(spark, docs):
     df = docs([(1, "Released under the MIT License.")]).selectExpr("*", "1 AS licenses", "2 AS Sentence_ids")
     out = licenses.scan_licenses(df)
-    assert out.first().sentence_ids == ["mit-under"]
+    assert out.columns == [*df.columns, "_sentence_ids", "_licenses"]
+    assert out.first()._sentence_ids == ["mit-under"] and out.first()._licenses == ["MIT:reference"] and out.first().licenses == 1
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
+def test_a_rule_hides_those_that_ask_for_less(scan):
+    two, three = (licenses.SENTENCES[k][0] for k in ("bsd-redistribute", "bsd-endorse"))
+    assert [x for _, x in scan(f"{two}\n{three}", two, three)] == [["BSD-3-Clause:text"], ["BSD-2-Clause:text"], []]
+    assert licenses.hiding((("A", "x", ("p", "q")), ("B", "y", ("p",)), ("C", "z", ("p", "r"))), 1) == [("p", "q")]
+
+
 def test_wrapped_texts(scan):
     import textwrap
 
