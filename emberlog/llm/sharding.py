@@ -47,33 +47,34 @@ def shard_rows(df: DataFrame, keys: list[str], n_shards: int, n_buckets: int = S
 
     The key is xxhash64 of the key columns; a null key column counts as the
     hash of nothing, so null keys share one shard. Rows equal in all columns
-    are interchangeable. An empty table stays empty. Columns of these names
-    are replaced; others pass through.
+    are interchangeable. An empty table stays empty. All columns pass through;
+    _ goes before the new names where df has them.
 
     Slots: every shard is cut into n_buckets pieces by a hash of the whole
     row, pieces are counted, and rows are numbered within their piece, so no
     task holds a shard. Only the n_shards * n_buckets piece counts are
     broadcast.
     """
-    df = df.drop("shard", "slot", "grown_shard")
+    shard, slot, grown = (free_name(df, x) for x in ("shard", "slot", "grown_shard"))
     h, b, first, s = (free_name(df, x) for x in ("_jump_key", "_bucket", "_first", "_s"))
+    whole = df.dtypes
     df = df.withColumn(h, F.xxhash64(*keys))
-    df = df.withColumn("shard", jump_shard(F.col(h), n_shards))
-    df = df.withColumn("grown_shard", jump_shard(F.col(h), n_shards + 1))
-    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]
+    df = df.withColumn(shard, jump_shard(F.col(h), n_shards))
+    df = df.withColumn(grown, jump_shard(F.col(h), n_shards + 1))
+    hashed = [F.col(f"`{c}`") for c, kind in whole if "map<" not in kind]
     df = df.withColumn(b, F.pmod(F.xxhash64(*hashed), F.lit(n_buckets)).cast("int"))
-    before = Window.partitionBy("shard").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(shard).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy("shard", b)
+        df.groupBy(shard, b)
         .agg(F.count("*").alias(first))
         .withColumn(first, F.coalesce(F.sum(first).over(before), F.lit(0)))
-        .select(F.col("shard").alias(s), F.col(b).alias(f"{b}2"), first)
+        .select(F.col(shard).alias(s), F.col(b).alias(f"{b}2"), first)
     )
-    inside = Window.partitionBy("shard", b).orderBy(h, *keys)
+    inside = Window.partitionBy(shard, b).orderBy(h, *keys)
     return (
-        df.withColumn("slot", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), (F.col("shard") == F.col(s)) & (F.col(b) == F.col(f"{b}2")))
-        .withColumn("slot", (F.col("slot") + F.col(first)).cast("long"))
+        df.withColumn(slot, F.row_number().over(inside) - 1)
+        .join(F.broadcast(offsets), (F.col(shard) == F.col(s)) & (F.col(b) == F.col(f"{b}2")))
+        .withColumn(slot, (F.col(slot) + F.col(first)).cast("long"))
         .drop(h, b, s, f"{b}2", first)
     )
 

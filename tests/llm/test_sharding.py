@@ -53,12 +53,12 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (None, None, None), (2, "b", 7)], "doc_id bigint, _bucket string, shard int")
     got = sharding.shard_rows(df, ["doc_id"], 3)
     rows = got.collect()
-    assert set(got.columns) == {"doc_id", "_bucket", "shard", "grown_shard", "slot"} and len(rows) == 4
+    assert set(got.columns) == {"doc_id", "_bucket", "shard", "_shard", "grown_shard", "slot"} and len(rows) == 4
     by = defaultdict(list)
     for r in rows:
-        by[r.shard].append(r.slot)
+        by[r._shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert len({r.shard for r in rows if r.doc_id == 1}) == 1
+    assert len({r._shard for r in rows if r.doc_id == 1}) == 1
     assert sharding.shard_rows(df.where("false"), ["doc_id"], 3).count() == 0
 
 
