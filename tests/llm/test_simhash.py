@@ -132,6 +132,22 @@ def test_pairs_below_the_similarity_stay(spark, docs, monkeypatch):
         assert {r.doc_id for r in simhash.drop_near_duplicates(docs(list(enumerate(rows)))).collect()} == want
 
 
+def test_pairs_right_at_the_similarity_are_found(docs):
+    """Planted pairs of 4 of 5 shingles in common, whatever their number; texts of few shingles are the hard ones."""
+    rnd = random.Random(8)
+    rows, pairs = [], {}
+    for shared in (4, 8, 12, 16, 20, 40, 80):
+        for _ in range(60):
+            words = [f"w{rnd.randrange(10**9)}" for _ in range(shared + shared // 4 + 4)]
+            rows += [" ".join(words), " ".join(words[: shared + 4])]
+            pairs[len(rows) - 1] = shared
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(list(enumerate(rows)))).collect()}
+    assert {i for i in range(len(rows)) if i not in pairs} <= kept
+    for shared in set(pairs.values()):
+        found = [i not in kept for i, k in pairs.items() if k == shared]
+        assert sum(found) >= 0.95 * len(found), shared
+
+
 def test_sizes_and_connections_of_similar_links():
     rnd = np.random.default_rng(5)
     sets = [rnd.choice(10_000, 40, replace=False) for _ in range(12)]
