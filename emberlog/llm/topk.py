@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import discard, hot_join, materialize, numbered, running_sum, table
 
-#: Pivots (of a bounded sample of the data, the rows of least hash; all vectors are indexed), nearest ones that
-#: order a vector, rows of a data block, and data blocks of a query block's first round.
-PIVOTS, NEAREST, BLOCK, FIRST_BLOCKS = 32, 4, 4096, 2
-#: Rows of a leaf, children of a node, and depth of a tree at most.
-LEAF, FAN, DEEPEST = 128, 64, 200
+#: Rows of a data block, its blocks that a pivot stands for, pivots at least and at most (taken from a sample of
+#: SAMPLED rows each, those of least hash; all vectors are indexed), nearest pivots that order a vector, and data
+#: blocks of a query block's first round.
+BLOCK, BLOCKS_OF_PIVOT, PIVOTS, SAMPLED, NEAREST, FIRST_BLOCKS = 4096, 16, (4, 4096), 8, 4, 2
+#: Rows of a leaf at most; children of fewer rows than FEW share leaves; depth of a tree at most.
+LEAF, FEW, DEEPEST = 32, 8, 200
+#: Scores are kept within these.
+LEAST, MOST = -(2.0**63), 2.0**63 - 1024
 #: What rounding may take from a bound: of its size, and beside it.
 ROUNDING, SLACK = 1e-9, 1e-6
 #: Query blocks that a data block meets in one task (aimed at), and tasks of a search at most.
@@ -39,9 +42,9 @@ class Tree:
     A node of level l is centred at one of its rows and covers them all within
     2**l. Its children are of level l - 1 at most (covering), their centres
     are more than 2**(l - 1) apart (separation), and the first has the centre of
-    its parent (nesting). Radii are measured, so they always cover. Children
-    of LEAF rows at most are packed into leaves of that size, which have the
-    parent's centre; so are rows that the first FAN children leave uncovered.
+    its parent (nesting). Radii are measured, so they always cover. A node of
+    LEAF rows at most is a leaf. Children of fewer than FEW rows are gathered,
+    nearest ones first, into leaves of level -1, each centred at a row of its own.
     no tells rows apart and orders ties; ids (with missing ones) are only told.
     """
 
@@ -55,6 +58,8 @@ class Tree:
         self.children: list[list[int]] = []
         radius: list[float] = []
 
+        square = (x**2).sum(axis=1)
+
         def node(rows: np.ndarray, point: int, packed: bool) -> tuple[int, np.ndarray]:
             far = np.sqrt(((x[rows] - x[point]) ** 2).sum(axis=1))
             widest = float(far.max())
@@ -66,6 +71,27 @@ class Tree:
             radius.append(widest * (1 + ROUNDING))
             return len(radius) - 1, far
 
+        def away(rows: np.ndarray, point: int) -> np.ndarray:
+            """Distances, in one product; the measured ones of node() are what bounds rest on."""
+            return np.sqrt(np.maximum(square[rows] - 2 * (x[rows] @ x[point]) + square[point], 0))
+
+        def gathered(few: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+            """Small children (centre, rows) in leaves: the first that is left, and those nearest to it."""
+            out, left = [], list(range(len(few)))
+            centres = np.array([c for c, _ in few], np.int64)
+            while left:
+                near = np.argsort(away(centres[left], few[left[0]][0]), kind="stable").tolist()
+                taken, size = [], 0
+                for i in near:
+                    if size + len(few[left[i]][1]) > LEAF:
+                        break
+                    taken.append(left[i])
+                    size += len(few[left[i]][1])
+                out.append(np.concatenate([few[i][1] for i in taken]))
+                gone = set(taken)
+                left = [i for i in left if i not in gone]
+            return out
+
         def grow(rows: np.ndarray, point: int, depth: int) -> int:
             own, far = node(rows, point, False)
             if len(rows) <= LEAF or radius[own] == 0 or depth == DEEPEST:
@@ -73,21 +99,21 @@ class Tree:
                 return own
             cover = 2.0 ** (self.level[own] - 1)
             centres, part, near = [point], np.zeros(len(rows), np.int64), far
-            while near.max() > cover and len(centres) < FAN:
+            while near.max() > cover:
                 centres.append(int(rows[near.argmax()]))
-                d = np.sqrt(((x[rows] - x[centres[-1]]) ** 2).sum(axis=1))
+                d = away(rows, centres[-1])
                 part[d < near] = len(centres) - 1
                 near = np.minimum(near, d)
-            part[near > cover] = len(centres)  # uncovered
-            groups = [rows[part == c] for c in range(len(centres) + 1)]
-            large = [c for c in range(len(centres)) if len(groups[c]) > LEAF]
-            for c in large:
-                self.children[own].append(grow(groups[c], centres[c], depth + 1))
-            rest = np.concatenate([g for c, g in enumerate(groups) if c not in large])
-            for a in range(0, len(rest), LEAF):
-                pack = rest[a : a + LEAF]
-                self.children[own].append(node(pack, point, True)[0])
-                order.extend(pack.tolist())
+            by_part = np.argsort(part, kind="stable")
+            groups = np.split(rows[by_part], np.searchsorted(part[by_part], np.arange(1, len(centres))))
+            few = [(c, g) for c, g in zip(centres, groups, strict=True) if len(g) < FEW]
+            for c, g in zip(centres, groups, strict=True):
+                if len(g) >= FEW:
+                    self.children[own].append(grow(g, c, depth + 1))
+            for g in gathered(few):
+                middle = int(g[np.argmin(((x[g] - x[g].mean(axis=0)) ** 2).sum(axis=1))])
+                self.children[own].append(node(g, middle, True)[0])
+                order.extend(g.tolist())
             return own
 
         grow(np.arange(len(x)), 0, 0)
@@ -98,6 +124,7 @@ class Tree:
         self.centre = x[self.point]
         self.radius = np.array(radius)
         self.norm = np.sqrt((self.centre**2).sum(axis=1))
+        self.row_norm = np.sqrt((self.x**2).sum(axis=1))
 
     def __getstate__(self) -> dict:
         small = self.x.astype(np.float32)
@@ -115,49 +142,71 @@ class Best:
         self.no = np.full((n, k), np.iinfo(np.int64).max)
         self.floor = floor  # scores known to be among each query's k best elsewhere
 
-    def worst(self, a: int, b: int) -> float:
-        return float(np.maximum(self.score[a:b, -1], self.floor[a:b]).min())
+    def worst(self, a: int, b: int) -> np.ndarray:
+        """The worst kth score known of each of the rows a to b."""
+        return np.maximum(self.score[a:b, -1], self.floor[a:b])
 
-    def offer(self, a: int, b: int, score: np.ndarray, no: np.ndarray) -> None:
+    def offer(self, rows: np.ndarray, score: np.ndarray, no: np.ndarray) -> None:
         k = self.score.shape[1]
-        s = np.concatenate([self.score[a:b], score], axis=1)
-        i = np.concatenate([self.no[a:b], np.broadcast_to(no, score.shape)], axis=1)
+        s = np.concatenate([self.score[rows], score], axis=1)
+        i = np.concatenate([self.no[rows], np.broadcast_to(no, score.shape)], axis=1)
         top = np.lexsort((i, -s), axis=1)[:, :k]
-        self.score[a:b] = np.take_along_axis(s, top, axis=1)
-        self.no[a:b] = np.take_along_axis(i, top, axis=1)
+        self.score[rows] = np.take_along_axis(s, top, axis=1)
+        self.no[rows] = np.take_along_axis(i, top, axis=1)
 
 
 def bounds(q: Tree, i: np.ndarray, d: Tree, j: np.ndarray) -> np.ndarray:
     """The largest scores that the nodes i of q and j of d, pair by pair, can hold."""
     across = q.radius[i] * d.norm[j] + d.radius[j] * q.norm[i] + q.radius[i] * d.radius[j]
-    return (q.centre[i] * d.centre[j]).sum(axis=1) + across + ROUNDING * (q.norm[i] * d.norm[j] + across) + SLACK
+    return np.maximum((q.centre[i] * d.centre[j]).sum(axis=1) + across + ROUNDING * (q.norm[i] * d.norm[j] + across) + SLACK, LEAST)
+
+
+def row_bounds(q: Tree, a: int, b: int, d: Tree, nodes: np.ndarray) -> np.ndarray:
+    """The largest scores of each of the rows a to b of q with each of some nodes of d."""
+    norm = q.row_norm[a:b, None]
+    across = norm * d.radius[nodes]
+    return np.maximum(q.x[a:b] @ d.centre[nodes].T + across + ROUNDING * (norm * d.norm[nodes] + across) + SLACK, LEAST)
 
 
 def search(q: Tree, d: Tree, best: Best) -> None:
-    """Descend both trees together, the highest bound first; of two nodes the wider one is opened."""
+    """Descend both trees together, the highest bound first; of two nodes the wider one is opened.
+
+    Below a leaf of queries, each of its rows is a ball without a radius, with a bound of its own.
+    """
     root = np.zeros(1, np.int64)
     stack = [(float(bounds(q, root, d, root)[0]), 0, 0)]
     while stack:
         bound, i, j = stack.pop()
         a, b = q.first[i], q.last[i]
-        if bound < best.worst(a, b):
+        worst = best.worst(a, b)
+        if bound < worst.min():
             continue
-        if not q.children[i] and not d.children[j]:
-            s, e = d.first[j], d.last[j]
-            score = q.x[a:b] @ d.x[s:e].T
-            score[q.no[a:b, None] == d.no[None, s:e]] = -np.inf
-            hit = (score >= np.maximum(best.score[a:b, -1], best.floor[a:b])[:, None]).any(axis=0)
-            if hit.any():
-                best.offer(a, b, score[:, hit], d.no[s:e][hit])
-            continue
-        if not d.children[j] or (q.children[i] and q.radius[i] >= d.radius[j]):
+        if q.children[i] and (not d.children[j] or q.radius[i] >= d.radius[j]):
             left = np.array(q.children[i])
             right = np.full(len(left), j)
-        else:
+        elif q.children[i]:
             right = np.array(d.children[j])
             left = np.full(len(right), i)
-        found = zip(bounds(q, left, d, right).tolist(), left.tolist(), right.tolist(), strict=True)
-        stack += sorted(found)
+        else:
+            right = np.array(d.children[j] or [j])
+            each = row_bounds(q, a, b, d, right)
+            each[each < worst[:, None]] = -np.inf
+            if d.children[j]:
+                most = each.max(axis=0)
+                stack += sorted((m, i, c) for m, c in zip(most.tolist(), right.tolist(), strict=True) if m > -np.inf)
+            elif len(rows := a + np.flatnonzero(each[:, 0] > -np.inf)):
+                _compare(q, rows, d, d.first[j], d.last[j], best)
+            continue
+        stack += sorted(zip(bounds(q, left, d, right).tolist(), left.tolist(), right.tolist(), strict=True))
+
+
+def _compare(q: Tree, rows: np.ndarray, d: Tree, s: int, e: int, best: Best) -> None:
+    """All scores of some rows of q with the rows s to e of d; a row does not meet itself."""
+    score = np.clip(q.x[rows] @ d.x[s:e].T, LEAST, MOST)
+    score[q.no[rows, None] == d.no[None, s:e]] = -np.inf
+    hit = (score >= np.maximum(best.score[rows, -1], best.floor[rows])[:, None]).any(axis=0)
+    if hit.any():
+        best.offer(rows, score[:, hit], d.no[s:e][hit])
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
@@ -256,7 +305,7 @@ def _searched(pairs: DataFrame, asked: DataFrame, data: DataFrame, k: int, floor
                 row, col = np.nonzero(np.isfinite(best.score))
                 no = best.no[row, col]
                 at = by_no[np.searchsorted(d.no, no, sorter=by_no)]
-                score = np.clip(best.score[row, col], -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+                score = best.score[row, col].astype(np.int64)
                 of = (pa.array([block.as_py()] * len(row), pa.string()), pa.array(q.no[row]), pa.array(q.ids[row], mask=q.missing[row]))
                 for name, values in zip(out, (*of, pa.array(no), pa.array(d.ids[at], mask=d.missing[at]), pa.array(score)), strict=True):
                     out[name].append(values)
@@ -286,7 +335,7 @@ def _bound() -> Column:
     return _dot(F.col("qc"), F.col("dc")) + across + ROUNDING * (q * d + across) + SLACK
 
 
-def top_k(vectors: DataFrame, asked: Column, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, asked: Column, k: int, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors (id, v) with the best scores for each row that asked is true of, exactly.
 
     Scores are inner products of whole numbers, exact below 2**53, and kept
@@ -294,11 +343,13 @@ def top_k(vectors: DataFrame, asked: Column, k: int, pivots: int = PIVOTS, block
     candidate, repeated ids and null ids too, but a row for itself; repeated
     rows that are asked for give an answer each. Vectors of unlike length meet
     as if the shorter ended in zeros. A query has fewer than k rows only if
-    there are fewer vectors. No vectors or no queries: no rows.
+    there are fewer vectors. No vectors or no queries: no rows. Pivots grow
+    with the rows: one for BLOCKS_OF_PIVOT data blocks, up to PIVOTS[1].
     """
     vectors = numbered(vectors.select("id", "v"), [F.col("id").isNull(), F.col("id")], {"no": F.lit(1)})
     total, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
-    sample = [r.v for r in vectors.orderBy(F.xxhash64("no")).limit(8 * pivots).select("v").collect()]  # a bounded sample
+    pivots = pivots or min(PIVOTS[1], max(PIVOTS[0], total // (BLOCKS_OF_PIVOT * block)))
+    sample = [r.v for r in vectors.orderBy(F.xxhash64("no")).limit(SAMPLED * pivots).select("v").collect()]  # a bounded sample
     centres = _padded([np.array(v) for v in list(dict.fromkeys(map(tuple, sample)))[:pivots]], dim or 0) if sample else np.zeros((1, 0))
     placed = materialize(_near(vectors, centres), "placed")
     data = _trees(placed, dim or 0, block, total)
