@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from emberlog import schema
 from emberlog.functions.labels import phase_rank, severity_rank
 from emberlog.functions.text import collapsed, let, log_lines, signature
-from emberlog.operators.rules import Rule, fallback_rule, registered_rules
+from emberlog.operators.rules import ArrowRule, Rule, fallback_rule, registered_rules
+from emberlog.operators.rules import recipe as recipe_of
 from emberlog.shared import written
 
 #: Order of findings as they were found, and their columns.
@@ -50,7 +51,7 @@ def failures_of(builds: DataFrame) -> DataFrame:
     return each.select("build_key", "failure_ord", "f.*")
 
 
-def with_hits(failures: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+def with_hits(failures: DataFrame, rules: Sequence[Rule | ArrowRule] | None = None) -> DataFrame:
     """failures with hits: what the rules found, in their order.
 
     Null where a rule does not match. Without any hit the registered fallback
@@ -59,15 +60,25 @@ def with_hits(failures: DataFrame, rules: Sequence[Rule] | None = None) -> DataF
     """
     chosen = registered_rules() if rules is None else list(rules)
     last = fallback_rule() if rules is None else None
-    lined = failures.withColumn("lines", log_lines(F.col("log")))
-    hits = F.array(*[F.when(r.match(), r.extract()) for r in chosen]) if chosen else F.array()
+    by_arrow = {r.name: f"_arrow{i}" for i, r in enumerate(chosen) if isinstance(r, ArrowRule)}
+    # each is evaluated once, in a column of its own
+    lined = failures.withColumns({by_arrow[r.name]: r.hit() for r in chosen if r.name in by_arrow}) if by_arrow else failures
+    lined = lined.withColumn("lines", log_lines(F.col("log")))
+
+    def found(r: Rule | ArrowRule) -> Column:
+        if isinstance(r, Rule):
+            return F.when(r.match(), r.extract())
+        own = F.col(by_arrow[r.name])
+        return F.when(own.isNotNull(), own.withField("recipe", F.coalesce(own["recipe"], recipe_of())))
+
+    hits = F.array(*[found(r) for r in chosen]) if chosen else F.array()
     lined = lined.withColumn("hits", F.array_compact(hits.cast(f"array<{schema.HIT}>")))
     if last is not None:
         lined = lined.withColumn("hits", F.when(F.size("hits") == 0, F.array(last.extract())).otherwise(F.col("hits")))
-    return lined.drop("lines")
+    return lined.drop("lines", *by_arrow.values())
 
 
-def findings_of(builds: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+def findings_of(builds: DataFrame, rules: Sequence[Rule | ArrowRule] | None = None) -> DataFrame:
     """All findings with evidence collapsed, signature and cascade_of.
 
     What went wrong while reading comes before a build's failures. A failure
@@ -135,7 +146,7 @@ def placed(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     return ranges.withColumn("_inside", inside).join(counts, "_range").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
 
 
-def analyze(builds: DataFrame, rules: Sequence[Rule] | None = None) -> Report:
+def analyze(builds: DataFrame, rules: Sequence[Rule | ArrowRule] | None = None) -> Report:
     """The report of builds; rules given by hand replace the registered ones and their fallback."""
     findings = findings_of(builds, rules)
     return Report(builds, findings, group_findings(findings))

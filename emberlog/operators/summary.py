@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import CHARS_PER_TOKEN, line_total, redact_host, redact_secrets, tokens
-from emberlog.operators.engine import Report
+from emberlog.operators.engine import Report, rank_order
+from emberlog.schema import BUILD_FIELDS
+from emberlog.shared import written
 
 BUDGET, TOP_K, MOST_EVIDENCE = 4000, 5, 8
 
@@ -81,7 +83,9 @@ def log_line_total(builds: DataFrame) -> int:
 
 
 def summarize(report: Report, budget: int = BUDGET, top_k: int = TOP_K, most_evidence: int = MOST_EVIDENCE, include_config: bool = False) -> Summary:
-    """The summary of a report: only top_k findings and the first build reach the driver."""
+    """The summary of a report: only top_k findings and the first build reach the driver. Findings are evaluated once."""
+    findings = written(report.findings, "findings")
+    report = Report(report.builds, findings, report.groups)
     top = shown(report.ranked().limit(top_k), most_evidence)
     chosen = within_budget([r.asDict(recursive=True) for r in top.collect()], budget)
     first = config_text(report.builds).drop("failures", "ingest_findings", "raw").orderBy("build_key").first()
@@ -95,5 +99,56 @@ def summarize(report: Report, budget: int = BUDGET, top_k: int = TOP_K, most_evi
     )
 
 
+SHOWN_FINDING = ("category", "severity", "recipe", "title", "file", "line", "confidence", "evidence", "signature")
+
+
+def budgeted(rows: Column, kind: str, budget: int) -> Column:
+    """within_budget as a fold over an array of rows, with what is left of the budget in the state; kind is the array's type."""
+    none = F.array().cast(kind)
+
+    def step(state: Column, row: Column) -> Column:
+        first = F.size(state["out"]) == 0
+        stop = state["done"] | (~first & ((state["left"] <= 0) | (tokens(row["title"]) > state["left"])))
+        fit = fitted(row["title"], row["evidence"], state["left"])
+        lines = F.when(first & (F.size(fit) == 0) & row["last_line"].isNotNull(), F.array(row["last_line"])).otherwise(fit)
+        left = (state["left"] - finding_tokens(row["title"], lines)).cast("bigint")
+        taken = F.concat(state["out"], F.array(row.withField("evidence", lines)))
+        return F.when(stop, F.struct(state["left"].alias("left"), F.lit(True).alias("done"), state["out"].alias("out"))).otherwise(
+            F.struct(left.alias("left"), F.lit(False).alias("done"), taken.alias("out"))
+        )
+
+    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.lit(False).alias("done"), none.alias("out"))
+    return F.aggregate(rows, start, step, lambda state: state["out"])
+
+
+def summaries(report: Report, budget: int = BUDGET, top_k: int = TOP_K, most_evidence: int = MOST_EVIDENCE) -> DataFrame:
+    """A summary of every build, as summarize() makes it of one: build_key, source_path, those of BUILD_FIELDS that builds have, findings (array), findings_omitted, log_lines_dropped.
+
+    The top_k findings of a build are found before anything is gathered, so a
+    build's array has top_k rows at most, however many findings it has. Builds
+    without findings have an empty array.
+    """
+    found = written(report.findings, "findings")
+    counts = found.groupBy("build_key").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("build_key").orderBy(*rank_order()))
+    top = shown(found.withColumn("place", place).where(F.col("place") <= top_k), most_evidence)
+    row = F.struct("place", *SHOWN_FINDING, "last_line")
+    kind = top.select(F.array(row).alias("rows")).schema["rows"].dataType.simpleString()
+    chosen = top.groupBy("build_key").agg(F.sort_array(F.collect_list(row)).alias("rows")).select("build_key", budgeted(F.col("rows"), kind, budget).alias("chosen"))
+    logs = F.aggregate("failures", F.lit(0).cast("bigint"), lambda a, f: a + line_total(f["log"]))
+    fields = [c for c in BUILD_FIELDS if c in report.builds.columns]
+    builds = report.builds.select("build_key", "source_path", *fields, logs.alias("log_lines"))
+    every = builds.join(counts, "build_key", "left").join(chosen, "build_key", "left").withColumn("chosen", F.coalesce("chosen", F.array().cast(kind)))
+    kept = F.aggregate("chosen", F.lit(0), lambda a, x: a + F.size(x["evidence"]))
+    return every.select(
+        "build_key",
+        "source_path",
+        *fields,
+        F.transform("chosen", lambda x: x.dropFields("place", "last_line")).alias("findings"),
+        (F.coalesce("n", F.lit(0)) - F.size("chosen")).alias("findings_omitted"),
+        F.greatest(F.lit(0), F.col("log_lines") - kept).alias("log_lines_dropped"),
+    )
+
+
 def estimate_tokens(summary: Summary) -> int:
     return sum(_tokens(f["title"], f["evidence"]) for f in summary.findings)

@@ -319,6 +319,80 @@ def budget_fit(spark, sf):
     return f.select("build_key", *[F.col(c).cast("bigint").alias(c) for c in ("failure_ord", "rule_ord")], kept.alias("kept"))
 
 
+_EVIDENCE = f"list_slice(list_transform(CASE WHEN evidence = '' THEN [] ELSE string_split(evidence, chr(10)) END, lambda x: {host('x')}), -8, -1)"
+_SIZE = "((len(t) + coalesce(1 + len(array_to_string({0}, chr(10))) * CASE WHEN len({0}) > 0 THEN 1 ELSE NULL END, 0) + 3) // 4)"
+_FITS = "list_filter(range(1, len(ev) + 1), lambda s: (len(t) + 1 + len(array_to_string(ev[s:], chr(10))) + 3) // 4 <= f.room)"
+
+
+@query(
+    f"""WITH RECURSIVE {FINDINGS},
+    ranked AS (SELECT build_key, row_number() OVER (PARTITION BY build_key ORDER BY {RANKED}) AS place, {host("title")} AS t, {_EVIDENCE} AS ev FROM findings),
+    fold AS (
+      SELECT DISTINCT build_key, 0::BIGINT AS place, 60::BIGINT AS room, 0::BIGINT AS n_lines, '' AS shown FROM lines
+      UNION ALL
+      SELECT build_key, place, room - {_SIZE.format("kept")}, n_lines + len(kept), shown || t || chr(10) || array_to_string(kept, chr(10)) || chr(10)
+      FROM (
+        SELECT f.build_key, r.place, f.room, f.n_lines, f.shown, r.t,
+          CASE WHEN len({_FITS}) > 0 THEN ev[list_min({_FITS}):] WHEN f.place = 0 AND len(ev) > 0 THEN ev[-1:] ELSE [] END AS kept
+        FROM fold f JOIN ranked r ON r.build_key = f.build_key AND r.place = f.place + 1
+        WHERE r.place <= 5 AND (f.place = 0 OR (f.room > 0 AND (len(r.t) + 3) // 4 <= f.room)))),
+    last AS (SELECT build_key, max(place) AS n_shown, max(n_lines) AS n_lines, arg_max(shown, place) AS shown FROM fold GROUP BY 1)
+    SELECT build_key, shown, (coalesce(n, 0) - n_shown)::BIGINT AS findings_omitted, greatest(0, n_log - n_lines)::BIGINT AS log_lines_dropped
+    FROM last JOIN (SELECT build_key, count(*) AS n_log FROM lines GROUP BY 1) USING (build_key) LEFT JOIN (SELECT build_key, count(*) AS n FROM findings GROUP BY 1) USING (build_key)"""
+)
+def build_summaries(spark, sf):
+    """Each build's first five findings within 60 tokens."""
+    made = summary.summaries(report(spark, sf), budget=60)
+    text = F.concat_ws("", F.transform("findings", lambda x: F.concat(x["title"], F.lit("\n"), F.array_join(x["evidence"], "\n"), F.lit("\n"))))
+    return made.select("build_key", text.alias("shown"), F.col("findings_omitted").cast("bigint").alias("findings_omitted"), F.col("log_lines_dropped").cast("bigint").alias("log_lines_dropped"))
+
+
+_OVER_VIEWS = """
+    SELECT coalesce(f.recipe, '') AS recipe, f.category, count(*) AS n, count(DISTINCT f.build_key) AS n_builds, max(g.occurrences) AS most, max(l.n_errors) AS n_errors
+    FROM findings f JOIN {groups} g ON f.signature = g.signature
+    JOIN (SELECT build_key, count_if(level = 'ERROR') AS n_errors FROM {lines} GROUP BY build_key) l ON f.build_key = l.build_key
+    GROUP BY 1, 2"""
+
+
+@query(on_findings(_OVER_VIEWS.format(groups="(SELECT signature, count(*) AS occurrences FROM findings GROUP BY 1)", lines="lines").replace("max(l.n_errors)", "max(l.n_errors)::BIGINT")))
+def sql_over_views(spark, sf):
+    """The same SQL over the views of a report."""
+    from emberlog import catalog
+
+    names = catalog.register(report(spark, sf), prefix="of_report_")
+    text = _OVER_VIEWS.format(groups="of_report_groups", lines="of_report_lines").replace("FROM findings", "FROM of_report_findings")
+    assert "of_report_findings" in names
+    return spark.sql(text)
+
+
+@query(
+    on_lines(
+        """SELECT build_key, failure_ord, rule, title FROM (
+      SELECT build_key, failure_ord, 0::BIGINT AS rule, arg_min(body, n) AS title FROM lines WHERE level = 'ERROR' GROUP BY 1, 2
+      UNION ALL
+      SELECT build_key, failure_ord, CASE WHEN bool_or(level = 'ERROR') THEN 1 ELSE 0 END::BIGINT, 'digits ' || sum(len(regexp_replace(text, '[^0-9]', '', 'g')))
+      FROM lines GROUP BY 1, 2 HAVING sum(len(regexp_replace(text, '[^0-9]', '', 'g'))) % 3 = 0)"""
+    )
+)
+def arrow_and_column_rules(spark, sf):
+    """A Column rule and an Arrow rule, which counts the digits of a whole log, beside it."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from emberlog.operators.rules import ArrowRule, Rule, hit, lines
+
+    def digits(task, package, recipe, kind, log):
+        n = pc.binary_length(pc.replace_substring_regex(log, "[^0-9]", "")).to_pylist()
+        one = {"category": "custom", "severity": "error", "evidence": [], "confidence": 0.5}
+        kinds = pa.struct([*[(c, pa.string()) for c in ("category", "severity", "title", "recipe", "task", "file")], ("line", pa.int32()), ("evidence", pa.list_(pa.string())), ("confidence", pa.float64())])
+        return pa.array([one | {"title": f"digits {k}"} if k % 3 == 0 else None for k in n], kinds)
+
+    errors = lambda: F.filter(lines(), lambda x: x["level"] == "ERROR")
+    first_error = Rule("first", lambda: F.size(errors()) > 0, lambda: hit("custom", F.get(errors(), F.lit(0))["text"], 0.5, F.array().cast("array<string>")), order=1)
+    found_ = engine.analyze(builds(spark, sf), [first_error, ArrowRule("digits", digits, order=2)]).findings
+    return found_.select("build_key", *[F.col(c).cast("bigint").alias(n) for c, n in (("failure_ord", "failure_ord"), ("rule_ord", "rule"))], "title")
+
+
 @query("SELECT DISTINCT '/in/' || user_id || '.json' AS path FROM events")
 def distinct_paths(spark, sf):
     return builds(spark, sf).select(F.col("source_path").alias("path")).distinct()
