@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberlog import schema
 from emberlog.functions.labels import phase_rank, severity_rank
 from emberlog.functions.text import collapsed, let, log_lines, signature
-from emberlog.operators.rules import ArrowRule, Rule, fallback_rule, registered_rules
+from emberlog.operators.rules import ArrowRule, Rule, all_signals, fallback_rule, registered_rules, with_signals
 from emberlog.operators.rules import recipe as recipe_of
 from emberlog.shared import written
 
@@ -63,7 +63,7 @@ def with_hits(failures: DataFrame, rules: Sequence[Rule | ArrowRule] | None = No
     by_arrow = {r.name: f"_arrow{i}" for i, r in enumerate(chosen) if isinstance(r, ArrowRule)}
     # each is evaluated once, in a column of its own
     lined = failures.withColumns({by_arrow[r.name]: r.hit() for r in chosen if r.name in by_arrow}) if by_arrow else failures
-    lined = lined.withColumn("lines", log_lines(F.col("log")))
+    lined = lined.withColumn("lines", with_signals(log_lines(F.col("log")))).withColumn("signals", all_signals(F.col("lines")))
 
     def found(r: Rule | ArrowRule) -> Column:
         if isinstance(r, Rule):
@@ -75,7 +75,7 @@ def with_hits(failures: DataFrame, rules: Sequence[Rule | ArrowRule] | None = No
     lined = lined.withColumn("hits", F.array_compact(hits.cast(f"array<{schema.HIT}>")))
     if last is not None:
         lined = lined.withColumn("hits", F.when(F.size("hits") == 0, F.array(last.extract())).otherwise(F.col("hits")))
-    return lined.drop("lines", *by_arrow.values())
+    return lined.drop("lines", "signals", *by_arrow.values())
 
 
 def findings_of(builds: DataFrame, rules: Sequence[Rule | ArrowRule] | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Rules: Columns that tell whether a failure is theirs, and what they find.
 
-A rule reads the columns task, package, recipe, kind and lines of a failure.
-All rules are evaluated in one projection: nothing is shuffled. New rules are
+A rule reads the columns task, package, recipe, kind and lines of a failure, and
+signals: the bits of what any of its lines holds, which every line is searched
+for once. All rules are evaluated in one projection: nothing is shuffled. New rules are
 registered; the core needs no change.
 """
 
@@ -39,6 +40,12 @@ PATCH_REJECTS = r"(?Ud)rejects in file (\S+)"
 PATCH_NAME = r"(?Ud)([\w.+-]+\.patch)"
 QA_TAG = r"(?Ud)\[([\w-]+)\]\s*$"
 QA_ISSUE, QA_FATAL = "QA Issue:", "Fatal QA errors were found"
+HUNK, PATCHED, REJECTS, NOT_APPLIED, APPLYING, CMAKE_LISTS = "Hunk #", "patching file", "rejects in file", "does not apply", "Applying patch", "CMakeLists.txt"
+#: All signals that the rules look for; a line's are kept as bits in this order.
+SIGNALS = (
+    *CONFIGURE_SIGNALS, *COMPILE_SIGNALS, *DEPENDENCY_SIGNALS, *FETCH_SIGNALS,
+    HUNK, PATCHED, REJECTS, NOT_APPLIED, APPLYING, CMAKE_LISTS, QA_ISSUE, QA_FATAL,
+)
 
 
 @dataclass(frozen=True)
@@ -117,17 +124,50 @@ def has(text: Column, signals: tuple[str, ...]) -> Column:
     return found
 
 
+def signal_bits(signals: tuple[str, ...]) -> int | None:
+    """The bits of signals; None if one is not kept."""
+    return sum({1 << SIGNALS.index(s) for s in signals}) if set(signals) <= set(SIGNALS) else None
+
+
+def with_signals(found: Column) -> Column:
+    """Log lines with the bits of their signals, for which each line is searched once."""
+
+    def bits(text: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for i, s in enumerate(SIGNALS):
+            out = out + F.when(text.contains(s), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        return out
+
+    return F.transform(found, lambda x: x.withField("signals", bits(x["text"])))
+
+
+def all_signals(found: Column) -> Column:
+    """The bits of all lines together."""
+    return F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x["signals"]))
+
+
+def line_has(line: Column, *signals: str) -> Column:
+    """Whether a line has one of the signals: by its bits, or by its text if they are signals of another rule's own."""
+    bits = signal_bits(signals)
+    return has(line["text"], signals) if bits is None else line["signals"].bitwiseAND(F.lit(bits).cast("bigint")) != 0
+
+
 def any_line(*signals: str) -> Column:
-    return F.exists(lines(), lambda x: has(x["text"], signals))
+    bits = signal_bits(signals)
+    if bits is None:
+        return F.exists(lines(), lambda x: has(x["text"], signals))
+    return F.col("signals").bitwiseAND(F.lit(bits).cast("bigint")) != 0
 
 
 def first_with(*signals: str) -> Column:
-    return first(lines(), lambda x: has(x["text"], signals))
+    return F.when(any_line(*signals), first(lines(), lambda x: line_has(x, *signals)))
 
 
-def first_match(pattern: str) -> Column:
-    """Text of the first line that matches."""
-    return first(lines(), lambda x: x["text"].rlike(pattern))["text"]
+def first_match(pattern: str, *signals: str) -> Column:
+    """Text of the first line that matches; every match holds one of the signals, if they are given."""
+    if not signals:
+        return first(lines(), lambda x: x["text"].rlike(pattern))["text"]
+    return F.when(any_line(*signals), first(lines(), lambda x: line_has(x, *signals) & x["text"].rlike(pattern)))["text"]
 
 
 def evidence(focus: Column | None = None) -> Column:
@@ -175,23 +215,23 @@ def hit(
 
 
 def _configure() -> Column:
-    package = captured(first_match(CONFIGURE_PACKAGE), CONFIGURE_PACKAGE)
+    package = captured(first_match(CONFIGURE_PACKAGE, "considered to be NOT"), CONFIGURE_PACKAGE)
     title = F.coalesce(F.concat(F.lit('package "'), package, F.lit('" considered NOT FOUND')), first_with("CMake Error")["text"], F.lit("Configure error"))
-    place = first_match(CONFIGURE_PLACE)
+    place = first_match(CONFIGURE_PLACE, CMAKE_LISTS)
     focus = first_with("considered to be NOT", "CMake Error")["n"]
     return hit("configure", title, 0.85, evidence(focus), file=captured(place, CONFIGURE_PLACE), line=captured(place, CONFIGURE_PLACE, 2))
 
 
 def _compile() -> Column:
     error = F.coalesce(first_with("error:"), first_with("undefined reference to"))
-    place = first_match(COMPILE_PLACE)
+    place = first_match(COMPILE_PLACE, "error:")
     focus = F.coalesce(error["n"], first_with("ninja: build stopped")["n"])
     title = F.coalesce(error["text"], F.lit("Compilation failed"))
     return hit("compile", title, 0.8, evidence(focus), file=basename(captured(place, COMPILE_PLACE)), line=captured(place, COMPILE_PLACE, 2))
 
 
 def _dependency() -> Column:
-    name = F.coalesce(captured(F.col("task"), DEPENDENCY_NAME), captured(first_match(DEPENDENCY_NAME), DEPENDENCY_NAME))
+    name = F.coalesce(captured(F.col("task"), DEPENDENCY_NAME), captured(first_match(DEPENDENCY_NAME, *DEPENDENCY_SIGNALS), DEPENDENCY_NAME))
     name = F.nullif(stripped(name), F.lit(""))
     title = F.coalesce(F.concat(F.lit("Nothing provides '"), name, F.lit("'")), F.nullif("task", F.lit("")), F.lit("Unresolved dependency"))
     found = let(evidence(), lambda e: F.when(F.size(e) == 0, F.array(title)).otherwise(e))
@@ -219,11 +259,11 @@ def _fetch() -> Column:
 
 
 def _patch() -> Column:
-    hunk = first(lines(), lambda x: x["text"].rlike(PATCH_HUNK))
-    before = F.filter(lines(), lambda x: (x["n"] <= hunk["n"]) & x["text"].rlike(PATCH_FILE))
+    hunk = first(lines(), lambda x: line_has(x, HUNK) & x["text"].rlike(PATCH_HUNK))
+    before = F.filter(lines(), lambda x: (x["n"] <= hunk["n"]) & line_has(x, PATCHED) & x["text"].rlike(PATCH_FILE))
     carried = captured(F.get(before, F.size(before) - 1)["text"], PATCH_FILE)
-    path = F.coalesce(carried, captured(first_match(PATCH_REJECTS), PATCH_REJECTS))
-    named = first(lines(), lambda x: has(x["text"], ("does not apply", "Applying patch")) & x["text"].rlike(PATCH_NAME))
+    path = F.coalesce(carried, captured(first_match(PATCH_REJECTS, REJECTS), PATCH_REJECTS))
+    named = first(lines(), lambda x: line_has(x, NOT_APPLIED, APPLYING) & x["text"].rlike(PATCH_NAME))
     parts = F.struct(
         captured(hunk["text"], PATCH_HUNK).cast("decimal(38,0)").cast("string").alias("hunk"),
         captured(hunk["text"], PATCH_HUNK, 2).cast("decimal(38,0)").cast("string").alias("line"),
@@ -250,7 +290,7 @@ def qa_class(text: Column) -> Column:
 
 
 def _qa() -> Column:
-    issues = F.transform(F.filter(lines(), lambda x: x["text"].contains(QA_ISSUE)), lambda x: F.struct(qa_class(x["text"]).alias("class"), x["text"].alias("text"), x["n"].alias("n")))
+    issues = F.transform(F.filter(lines(), lambda x: line_has(x, QA_ISSUE)), lambda x: F.struct(qa_class(x["text"]).alias("class"), x["text"].alias("text"), x["n"].alias("n")))
 
     def counted(found: Column) -> Column:
         def one(c: Column) -> Column:
@@ -285,7 +325,7 @@ def register_defaults() -> None:
     register(Rule("compile", lambda: any_line(*COMPILE_SIGNALS) & ~configure(), _compile))
     register(Rule("dependency", _dependency_matches, _dependency))
     register(Rule("fetch", lambda: F.coalesce(F.col("task") == "do_fetch", F.lit(False)) & any_line(*FETCH_SIGNALS), _fetch))
-    register(Rule("patch", lambda: F.exists(lines(), lambda x: x["text"].rlike(PATCH_HUNK) | has(x["text"], ("does not apply", "rejects in file"))), _patch))
+    register(Rule("patch", lambda: any_line(NOT_APPLIED, REJECTS) | (any_line(HUNK) & F.exists(lines(), lambda x: line_has(x, HUNK) & x["text"].rlike(PATCH_HUNK))), _patch))
     register(Rule("qa", lambda: F.coalesce(F.col("task") == "do_package_qa", F.lit(False)) | any_line(QA_ISSUE, QA_FATAL), _qa))
     set_fallback(Rule("fallback", lambda: F.lit(True), _unknown, 1000))
 
