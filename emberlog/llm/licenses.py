@@ -111,6 +111,99 @@ MORE_SENTENCES: dict[str, tuple[str, ...]] = {
         for x in ("HOLDERS AND CONTRIBUTORS", "HOLDER AND CONTRIBUTORS", "HOLDERS OR CONTRIBUTORS")
     ),
 }
+MORE_SENTENCES |= {
+    "gpl2-only": tuple(
+        f"This program is free software{x} you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+        for x in (";", ":")
+    ),
+    "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "cc0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    ),
+    "domain": ("This work is in the public domain.", "This file is in the public domain.", "This software is in the public domain.", "This code is in the public domain."),
+    "zlib-warranty": ("This software is provided 'as-is', without any express or implied warranty.",),
+    "zlib-grant": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+    "bsl-grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
+        "furnished to do so, all subject to the following:",
+    ),
+    "epl-under": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    ),
+    "ofl-under": ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",),
+    "wtfpl-copy": (
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    ),
+}
+
+#: Licences by SPDX identifier, and the names by which texts refer to them (licensed, released, ... under the NAME).
+NAMES: dict[str, tuple[str, ...]] = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License"),
+    "AFL-3.0": ("Academic Free License 3.0",),
+    "AGPL-3.0-only": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"),
+    "AGPL-3.0-or-later": (),
+    "Apache-1.1": ("Apache Software License, Version 1.1",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License",),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License",),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0"),
+    "CDDL-1.0": ("Common Development and Distribution License 1.0", "CDDL"),
+    "CDDL-1.1": (),
+    "CECILL-2.1": ("CeCILL License, version 2.1",),
+    "ECL-2.0": ("Educational Community License, Version 2.0",),
+    "EPL-1.0": ("Eclipse Public License v1.0", "Eclipse Public License - v 1.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "EUPL-1.1": ("European Union Public Licence 1.1",),
+    "EUPL-1.2": ("European Union Public Licence 1.2", "EUPL 1.2"),
+    "GFDL-1.3-or-later": ("GNU Free Documentation License, Version 1.3",),
+    "GPL-2.0-only": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GPL v2"),
+    "GPL-2.0-or-later": (),
+    "GPL-3.0-only": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL v3"),
+    "GPL-3.0-or-later": (),
+    "ISC": ("ISC License",),
+    "LGPL-2.1-only": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"),
+    "LGPL-2.1-or-later": (),
+    "LGPL-3.0-only": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    "LGPL-3.0-or-later": (),
+    "LPPL-1.3c": ("LaTeX Project Public License 1.3c",),
+    "MIT": ("MIT License", "MIT license"),
+    "MIT-0": ("MIT No Attribution License", "MIT-0 License"),
+    "MPL-1.1": ("Mozilla Public License 1.1", "Mozilla Public License, v. 1.1"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0"),
+    "MS-PL": ("Microsoft Public License",),
+    "MS-RL": ("Microsoft Reciprocal License",),
+    "MulanPSL-2.0": ("Mulan Permissive Software License, Version 2", "Mulan PSL v2"),
+    "NCSA": ("University of Illinois/NCSA Open Source License",),
+    "ODbL-1.0": ("Open Database License 1.0", "Open Database License"),
+    "OFL-1.1": ("SIL Open Font License 1.1", "SIL Open Font License, Version 1.1"),
+    "OSL-3.0": ("Open Software License 3.0",),
+    "PostgreSQL": ("PostgreSQL License",),
+    "PSF-2.0": ("Python Software Foundation License", "PSF License"),
+    "UPL-1.0": ("Universal Permissive License v1.0",),
+    "Unlicense": ("Unlicense",),
+    "Vim": ("Vim License",),
+    "W3C": ("W3C Software Notice and License",),
+    "WTFPL": ("WTFPL",),
+    "X11": ("X11 License",),
+    "ZPL-2.1": ("Zope Public License 2.1",),
+    "Zlib": ("zlib License",),
+}
+#: Identifiers of sentences that need no rule: SPDX lines, and references by name.
+SPDX, REFERENCE = "spdx-", "ref-"
+MORE_SENTENCES |= {f"{SPDX}{k}": (f"SPDX-License-Identifier: {k}",) for k in NAMES}
+#: What stands before the name in a reference: up to six words of its line, a verb, and under.
+LEAD = r"(?:[a-z0-9]+ ){0,6}?(?:licensed|released|distributed|available|published|provided|redistributed)[ \n]under[ \n](?:the[ \n])?(?:terms[ \n]of[ \n](?:the[ \n])?)?"
 MORE_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("GPL-2.0-or-later", "notice", ("gpl2-redistribute",)),
     ("GPL-3.0-or-later", "grant", ("gpl-redistribute",)),
@@ -119,10 +212,19 @@ MORE_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("AGPL-3.0-or-later", "notice", ("agpl-redistribute",)),
     ("MPL-2.0", "notice", ("mpl-subject",)),
     ("ISC", "grant", ("isc-grant",)),
+    ("GPL-2.0-only", "notice", ("gpl2-only",)),
+    ("Unlicense", "text", ("unlicense",)),
+    ("CC0-1.0", "text", ("cc0",)),
+    ("public-domain", "statement", ("domain",)),
+    ("Zlib", "text", ("zlib-warranty", "zlib-grant")),
+    ("BSL-1.0", "text", ("bsl-grant",)),
+    ("EPL-2.0", "notice", ("epl-under",)),
+    ("OFL-1.1", "notice", ("ofl-under",)),
+    ("WTFPL", "text", ("wtfpl-copy",)),
 )
 
 #: Every known sentence contains one of these; texts without any are not cut up.
-MARKS = ("licen", "permission", "redistribut", "reserved", "copyright", "endorse", "warranty")
+MARKS = ("licen", "permission", "redistribut", "reserved", "copyright", "endorse", "warranty", "public domain", "permitted", "under")
 END = r"([.!?;:])[\x20\x09-\x0D]+"
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -161,8 +263,14 @@ def sentence_pattern() -> str:
     """The known sentences, longest first, between ends or line breaks and wrapped anywhere."""
     whole = {cut_up(s) for ss in [*SENTENCES.values(), *MORE_SENTENCES.values()] for s in ss}
     each = sorted(whole, key=lambda s: (-len(s), s))
-    wrapped = "|".join(re.sub("[ |]", lambda m: "[ \n]" if m[0] == " " else "[ \n|]", s) for s in each)
-    return f"(?<![^\n|])({wrapped})(?![^\n|])"
+    loose = lambda s: re.sub("[ |]", lambda m: "[ \n]" if m[0] == " " else "[ \n|]", s)
+    names = sorted({cut_up(n) for ns in NAMES.values() for n in ns}, key=lambda s: (-len(s), s))
+    return f"(?<![^\n|])({'|'.join(map(loose, each))}|{LEAD}(?:{'|'.join(map(loose, names))}))(?![^\n|])"
+
+
+def by_name() -> dict[str, str]:
+    """Identifier of a reference by the normalised name."""
+    return {normalized(n): f"{REFERENCE}{k}" for k, ns in NAMES.items() for n in ns}
 
 
 def sentence_ids(text: Column) -> Column:
@@ -173,8 +281,12 @@ def sentence_ids(text: Column) -> Column:
     cut = F.regexp_replace(F.trim(F.regexp_replace(cut, " *([\n|]) *", "$1")), "\n\n+", "|")
     lookup = F.create_map(*[F.lit(x) for pair in every_known().items() for x in pair])
 
+    names = F.create_map(*[F.lit(x) for pair in by_name().items() for x in pair])
+
     def find(s: Column) -> Column:
-        return F.try_element_at(lookup, F.regexp_replace(s, "[\n|]+", " "))
+        plain = F.regexp_replace(s, "[\n|]+", " ")
+        name = F.regexp_replace(plain, f"^{LEAD}".replace("[ \n]", " "), "")
+        return F.coalesce(F.try_element_at(lookup, plain), F.try_element_at(names, name))
 
     marked = low.rlike("|".join(MARKS))
     found = F.transform(F.regexp_extract_all(cut, F.lit(sentence_pattern()), F.lit(1)), find)
@@ -200,7 +312,13 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for r in hiding(rules, i):
             hit = hit & ~joined.rlike(rule_pattern(r))
         hits.append(F.when(hit, F.lit(f"{licence}:{rule}")))
-    return docs.withColumn(licences_col, F.array_compact(F.array(*hits)))
+    # lines and references that name a licence, each once, where no rule has found it
+    told = F.filter(F.array_distinct(ids_col), lambda i: i.startswith(SPDX) | i.startswith(REFERENCE))
+    told = F.transform(told, lambda i: F.when(i.startswith(SPDX), F.concat(F.substring(i, F.lit(len(SPDX) + 1), F.length(i)), F.lit(":spdx"))).otherwise(F.concat(F.substring(i, F.lit(len(REFERENCE) + 1), F.length(i)), F.lit(":reference"))))
+    docs = docs.withColumn(licences_col, F.array_compact(F.array(*hits)))
+    licence = lambda x: F.substring_index(x, ":", 1)
+    new = F.filter(told, lambda t: ~F.exists(F.col(licences_col), lambda h: licence(h) == licence(t)))
+    return docs.withColumn(licences_col, F.concat(licences_col, new))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,40 @@ def test_every_known_sentence_is_found_alone_but_not_across_blank_lines(scan):
     assert scan("All rights\n\nreserved.", "Released under\n\nthe MIT License.") == [([], [])] * 2
 
 
+def test_spdx_lines_and_references_by_name(scan):
+    texts = {
+        "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0:spdx"],
+        "# SPDX-License-Identifier: GPL-2.0-only\n# SPDX-License-Identifier: MIT": ["GPL-2.0-only:spdx", "MIT:spdx"],
+        "Foo is licensed under the MIT license.": ["MIT:reference"],
+        "This font is available under the terms of the SIL Open Font License 1.1.": ["OFL-1.1:reference"],
+        "Foo and Bar are\nreleased under the\nMozilla Public\nLicense 2.0.": ["MPL-2.0:reference"],
+        "Released under the MIT License.": ["MIT:reference"],
+        "This work is in the public domain.": ["public-domain:statement"],
+        "We drove under the bridge.": [],
+        "It is licensed under the MIT license or so": [],
+    }
+    assert [x for _, x in scan(*texts)] == list(texts.values())
+    assert len(licenses.NAMES) >= 40 and all(licenses.by_name().values())
+
+
+def test_wrapped_texts_equal_plain_python(scan):
+    """Sentences at random, wrapped and led at random, found by plain Python: a sentence is what lies between blank lines here."""
+    import random
+    import textwrap
+
+    rng = random.Random(12)
+    every = [(k, s) for t in (licenses.SENTENCES, licenses.MORE_SENTENCES) for k, ss in t.items() for s in ss]
+    last = {licenses.normalized(s): k for k, s in every}
+    texts, want = [], []
+    for _ in range(60):
+        picked = [rng.choice(every)[1] if rng.random() < 0.7 else "Words of no licence at all." for _ in range(rng.randint(0, 6))]
+        lead = rng.choice(["", "# ", " * ", "// ", "-- "])
+        blocks = [textwrap.fill(p, rng.choice([30, 50, 72, 200]), break_long_words=False, break_on_hyphens=False) for p in picked]
+        texts.append("\n".join((lead + x).rstrip() if x else "" for x in "\n\n".join(blocks).split("\n")))
+        want.append([last[n] for p in picked if (n := licenses.normalized(p)) in last])
+    assert [ids for ids, _ in scan(*texts)] == want
+
+
 def test_query_equals_sql(spark):
     import duckdb
 
