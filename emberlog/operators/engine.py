@@ -102,20 +102,38 @@ def mark_cascades(findings: DataFrame) -> DataFrame:
     return findings.withColumn("cascade_of", F.when(again, F.col("signature")))
 
 
-def group_findings(findings: DataFrame) -> DataFrame:
-    """(signature, occurrences, affected_recipes): recipes in the order of their first finding.
+#: What is known of a signature's findings of one recipe: their number, and the place of the first. States of disjoint findings merge.
+GROUP_STATE = "signature string, recipe string, n bigint, place struct<build_key:string,failure_ord:int,rule_ord:int>"
 
-    Counted per signature and recipe first, so that a frequent signature is
-    combined before it moves and only distinct recipes are gathered.
-    """
-    place = F.struct(*FOUND)
-    each = findings.groupBy("signature", "recipe").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+
+def group_state(findings: DataFrame) -> DataFrame:
+    """A row of GROUP_STATE for each signature and recipe."""
+    return findings.groupBy("signature", "recipe").agg(F.count("*").alias("n"), F.min(F.struct(*FOUND)).alias("place"))
+
+
+def merged_groups(*states: DataFrame) -> DataFrame:
+    """The state of all findings that the states tell of."""
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    return every.groupBy("signature", "recipe").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+
+
+def groups_of(state: DataFrame) -> DataFrame:
+    """(signature, occurrences, affected_recipes): recipes in the order of their first finding."""
     named = F.when(F.coalesce(F.col("recipe"), F.lit("")) != "", F.struct("place", "recipe"))
-    return each.groupBy("signature").agg(
+    return state.groupBy("signature").agg(
         F.sum("n").alias("occurrences"), F.transform(F.sort_array(F.collect_list(named)), lambda x: x["recipe"]).alias("affected_recipes")
     )
 
 
+def group_findings(findings: DataFrame) -> DataFrame:
+    """groups_of all findings: counted per signature and recipe first, so that a frequent signature is
+    combined before it moves and only distinct recipes are gathered.
+    """
+    return groups_of(group_state(findings))
+
+
 def rank_order() -> list[Column]:
     """Severity, phase of the build, confidence, recipe, signature; then as found."""
     return [

@@ -14,7 +14,7 @@ from emberlog.sinks import documents
 from emberlog.sinks.runs import record_run
 from emberlog.sources.reports import from_texts, load_report, load_reports
 from emberlog.sources.runs import load_runs
-from emberlog.streaming.reports import watch
+from emberlog.streaming.reports import groups_so_far, watch
 
 
 def report(*failures, **more):
@@ -232,6 +232,29 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert app.main([]) == 0
 
 
+def test_watched_groups_equal_those_of_all_reports(spark, tmp_path):
+    """Three rounds of arriving files; one is written again, one round brings nothing new to a signature."""
+    arrived, want = tmp_path / "in", {}
+
+    def round_of(files):
+        arrived.mkdir(exist_ok=True)
+        for name, recipes in files.items():
+            want.setdefault(name, recipes)
+            (arrived / name).write_text(report(*[{"task": "do_compile", "recipe": r, "log": "ERROR: it fails"} for r in recipes]))
+        q = watch(spark, str(arrived), f"{tmp_path}/out", f"{tmp_path}/cp", once=True)
+        assert q.awaitTermination(120)
+        texts = [(n, report(*[{"task": "do_compile", "recipe": r, "log": "ERROR: it fails"} for r in rs])) for n, rs in sorted(want.items())]
+        whole = analyze(from_texts(spark, texts)).groups
+        rows = lambda df: sorted((r.signature, r.occurrences, r.affected_recipes) for r in df.collect())
+        assert rows(groups_so_far(spark, f"{tmp_path}/cp")) == rows(whole)
+
+    round_of({"a.json": ["x", "y"], "b.json": ["x"]})
+    os.utime(arrived / "a.json", (2_000_000_000, 2_000_000_000))
+    round_of({"c.json": ["z"], "a.json": ["w", "w"]})  # a.json counts as it first came
+    round_of({"d.json": ["y", "x"]})
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+
+
 def test_watch(spark, folder, tmp_path):
     q = watch(spark, str(folder), f"{tmp_path}/out", f"{tmp_path}/cp", once=True)
     q.awaitTermination(120)
