@@ -718,6 +718,90 @@ def stored_history(spark, sf):
     return past.join(status, "signature").select("signature", F.regexp_replace("first_seen_run", "set:.*", "run").alias("first_seen_run"), "runs_present", "total_occurrences", "current_streak", "status")
 
 
+# ---- documents, as values
+
+
+def _parsed(spark: SparkSession, pieces, kind: str) -> DataFrame:
+    """A JSON document, which is read as it was written, as a row of its members."""
+    text_ = "".join(pieces)
+    return spark.createDataFrame([(text_,)], "text string").select(F.from_json("text", kind, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+
+
+_BLOCK = """'[' || upper(severity) || '] ' || coalesce(nullif(recipe, ''), '(unknown recipe)') || CASE WHEN coalesce(task, '') <> '' THEN ' [' || task || ']' ELSE '' END
+    || ' - ' || category || ' (' || printf('%.2f', confidence) || ')' || CASE WHEN cascade_of IS NOT NULL THEN '  (cascade)' ELSE '' END || chr(10) || '    ' || title || chr(10)
+    || CASE WHEN coalesce(file, '') <> '' THEN '    at ' || file || coalesce(':' || line, '') || chr(10) ELSE '' END
+    || CASE WHEN evidence <> '' THEN '      | ' || replace(evidence, chr(10), chr(10) || '      | ') || chr(10) ELSE '' END || chr(10)"""
+
+
+@query(
+    on_findings(
+        f"""SELECT sha256(text) AS sha256, len(text)::BIGINT AS n_chars FROM (SELECT string_agg({_BLOCK}, '' ORDER BY {RANKED})
+        || count(*) FILTER (WHERE severity = 'error') || ' error(s), ' || count(*) FILTER (WHERE severity = 'warning') || ' warning(s) - exit 1' || chr(10) AS text FROM findings)"""
+    )
+)
+def text_document(spark, sf):
+    from emberlog.sinks import documents
+
+    made = "".join(documents.text(report(spark, sf), 1))
+    return spark.createDataFrame([(made,)], "text string").select(F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query(
+    on_findings(
+        f""", g AS (SELECT signature, count(*) AS occurrences, count(DISTINCT nullif(recipe, '')) AS n_recipes FROM findings GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY {RANKED}) - 1 AS place, signature, category, severity, title, recipe, task, file, evidence, confidence, cascade_of, occurrences, n_recipes,
+      count(*) FILTER (WHERE severity = 'error') OVER () AS errors, count(*) FILTER (WHERE category = 'compile') OVER () AS n_compile FROM findings JOIN g USING (signature)"""
+    )
+)
+def analysis_document(spark, sf):
+    from emberlog.sinks import documents
+
+    finding = "struct<signature:string,category:string,severity:string,title:string,recipe:string,task:string,file:string,evidence:array<string>,confidence:double,cascade_of:string,occurrences:bigint,affected_recipes:array<string>>"
+    d = _parsed(spark, documents.analysis_json(report(spark, sf)), f"findings array<{finding}>, summary struct<errors:bigint,warnings:bigint,by_category:map<string,bigint>>")
+    rows_ = d.select("summary", F.posexplode("findings").alias("place", "f")).select(F.col("place").cast("bigint").alias("place"), "f.*", F.col("summary.errors").alias("errors"), F.col("summary.by_category")["compile"].alias("n_compile"))
+    return rows_.withColumns({"evidence": F.array_join("evidence", "\n"), "n_recipes": F.size("affected_recipes").cast("bigint")}).drop("affected_recipes")
+
+
+@query(
+    on_findings(
+        f"""SELECT row_number() OVER (ORDER BY {RANKED}) - 1 AS place, category AS rule, CASE severity WHEN 'error' THEN 'error' WHEN 'failure' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level,
+    {host("title")} AS text, nullif(file, '') AS uri, CASE WHEN file <> '' THEN line END AS line FROM findings"""
+    )
+)
+def sarif_document(spark, sf):
+    from emberlog.sinks import documents
+
+    result = "struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>"
+    d = _parsed(spark, documents.sarif(report(spark, sf)), f"runs array<struct<results:array<{result}>>>")
+    each = d.select(F.posexplode(F.col("runs")[0]["results"]).alias("place", "r"))
+    at = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return each.select(
+        F.col("place").cast("bigint").alias("place"), F.col("r.ruleId").alias("rule"), F.col("r.level").alias("level"), F.col("r.message.text").alias("text"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].cast("string").alias("line")
+    )
+
+
+@query(
+    f"""WITH {_STATUS}, listed AS (
+      SELECT status AS list, signature FROM status UNION ALL SELECT 'fixed', signature FROM runs WHERE run_ord = {BASE} AND signature NOT IN (SELECT signature FROM cur) GROUP BY signature)
+    SELECT list, row_number() OVER (PARTITION BY list ORDER BY signature) - 1 AS place, signature, count(*) OVER (PARTITION BY list) AS n FROM listed"""
+)
+def trend_document(spark, sf):
+    """The lists of a trend and their counts, as they stand in its JSON."""
+    from emberlog.sinks.runs import trend_json
+
+    r = rows(spark, sf).withColumns({c: F.lit(None).cast("string") for c in ("severity", "recipe", "title")})
+    current = r.where(F.col("run_ord") == BASE + 1)
+    made = trend_json("base", trend.classify(current, r, BASE), trend.fixed(current, r, BASE))
+    lists = ("new", "recurring", "regressed")
+    d = _parsed(spark, [made], ", ".join(f"{k} array<string>" for k in lists) + ", fixed array<struct<signature:string>>, counts map<string,bigint>")
+    d = d.withColumn("fixed", F.col("fixed.signature"))
+    every = [d.select(F.lit(k).alias("list"), F.posexplode(k).alias("place", "signature"), F.col("counts")[k].alias("n")) for k in (*lists, "fixed")]
+    out = every[0]
+    for e in every[1:]:
+        out = out.unionByName(e)
+    return out.withColumn("place", F.col("place").cast("bigint"))
+
+
 # ---- shown results
 
 
