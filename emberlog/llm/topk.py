@@ -26,8 +26,8 @@ from emberlog.llm.common import discard, hot_join, materialize, numbered, runnin
 #: SAMPLED rows each, those of least hash; all vectors are indexed), nearest pivots that order a vector, and data
 #: blocks of a query block's first round.
 BLOCK, BLOCKS_OF_PIVOT, PIVOTS, SAMPLED, NEAREST, FIRST_BLOCKS = 4096, 16, (4, 4096), 8, 4, 2
-#: Rows of a leaf at most; children of fewer rows than FEW share leaves; depth of a tree at most.
-LEAF, FEW, DEEPEST = 32, 8, 200
+#: Rows of a leaf at most; children of fewer rows than FEW share leaves of PACK rows; depth of a tree at most.
+LEAF, FEW, PACK, DEEPEST = 32, 8, 128, 200
 #: Scores are kept within these.
 LEAST, MOST = -(2.0**63), 2.0**63 - 1024
 #: What rounding may take from a bound: of its size, and beside it.
@@ -44,7 +44,7 @@ class Tree:
     are more than 2**(l - 1) apart (separation), and the first has the centre of
     its parent (nesting). Radii are measured, so they always cover. A node of
     LEAF rows at most is a leaf. Children of fewer than FEW rows are gathered,
-    nearest ones first, into leaves of level -1, each centred at a row of its own.
+    nearest ones first, into leaves of PACK rows and level -1, each centred at a row of its own.
     no tells rows apart and orders ties; ids (with missing ones) are only told.
     """
 
@@ -83,7 +83,7 @@ class Tree:
                 near = np.argsort(away(centres[left], few[left[0]][0]), kind="stable").tolist()
                 taken, size = [], 0
                 for i in near:
-                    if size + len(few[left[i]][1]) > LEAF:
+                    if size + len(few[left[i]][1]) > PACK:
                         break
                     taken.append(left[i])
                     size += len(few[left[i]][1])

@@ -49,7 +49,7 @@ def test_covering_separation_and_nesting_hold():
                 assert tree.first[kids[0]] == tree.first[i] and tree.last[kids[-1]] == tree.last[i]
                 assert sum(tree.last[c] - tree.first[c] for c in kids) == tree.last[i] - tree.first[i]
             else:
-                assert tree.last[i] - tree.first[i] <= topk.LEAF or tree.radius[i] == 0
+                assert tree.last[i] - tree.first[i] <= (topk.PACK if tree.level[i] < 0 else topk.LEAF) or tree.radius[i] == 0
         assert len(x) != 2500 or len(tree.children[0]) > 1 and max(tree.level) > 0
 
 
