@@ -729,7 +729,7 @@ def _parsed(spark: SparkSession, pieces, kind: str) -> DataFrame:
 
 _BLOCK = """'[' || upper(severity) || '] ' || coalesce(nullif(recipe, ''), '(unknown recipe)') || CASE WHEN coalesce(task, '') <> '' THEN ' [' || task || ']' ELSE '' END
     || ' - ' || category || ' (' || printf('%.2f', confidence) || ')' || CASE WHEN cascade_of IS NOT NULL THEN '  (cascade)' ELSE '' END || chr(10) || '    ' || title || chr(10)
-    || CASE WHEN coalesce(file, '') <> '' THEN '    at ' || file || coalesce(':' || line, '') || chr(10) ELSE '' END
+    || CASE WHEN coalesce(file, '') <> '' THEN '    at ' || file || coalesce(':' || nullif(line, '0'), '') || chr(10) ELSE '' END
     || CASE WHEN evidence <> '' THEN '      | ' || replace(evidence, chr(10), chr(10) || '      | ') || chr(10) ELSE '' END || chr(10)"""
 
 
@@ -765,7 +765,7 @@ def analysis_document(spark, sf):
 @query(
     on_findings(
         f"""SELECT row_number() OVER (ORDER BY {RANKED}) - 1 AS place, category AS rule, CASE severity WHEN 'error' THEN 'error' WHEN 'failure' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level,
-    {host("title")} AS text, nullif(file, '') AS uri, CASE WHEN file <> '' THEN line END AS line FROM findings"""
+    {host("title")} AS text, nullif(file, '') AS uri, CASE WHEN file <> '' THEN nullif(line, '0') END AS line FROM findings"""
     )
 )
 def sarif_document(spark, sf):
