@@ -63,7 +63,13 @@ def with_hits(failures: DataFrame, rules: Sequence[Rule | ArrowRule] | None = No
     by_arrow = {r.name: f"_arrow{i}" for i, r in enumerate(chosen) if isinstance(r, ArrowRule)}
     # each is evaluated once, in a column of its own
     lined = failures.withColumns({by_arrow[r.name]: r.hit() for r in chosen if r.name in by_arrow}) if by_arrow else failures
-    lined = lined.withColumn("lines", with_signals(log_lines(F.col("log")))).withColumn("signals", all_signals(F.col("lines")))
+    lined = lined.withColumn("lines", with_signals(log_lines(F.col("log"))))
+    return hits_of_lines(lined, chosen, last, by_arrow).drop(*by_arrow.values())
+
+
+def hits_of_lines(lined: DataFrame, chosen: Sequence[Rule | ArrowRule], last: Rule | None, by_arrow: dict[str, str]) -> DataFrame:
+    """lined with hits in place of its lines; by_arrow names the columns that hold what Arrow rules found."""
+    lined = lined.withColumn("signals", all_signals(F.col("lines")))
 
     def found(r: Rule | ArrowRule) -> Column:
         if isinstance(r, Rule):
@@ -75,7 +81,7 @@ def with_hits(failures: DataFrame, rules: Sequence[Rule | ArrowRule] | None = No
     lined = lined.withColumn("hits", F.array_compact(hits.cast(f"array<{schema.HIT}>")))
     if last is not None:
         lined = lined.withColumn("hits", F.when(F.size("hits") == 0, F.array(last.extract())).otherwise(F.col("hits")))
-    return lined.drop("lines", "signals", *by_arrow.values())
+    return lined.drop("lines", "signals")
 
 
 def findings_of(builds: DataFrame, rules: Sequence[Rule | ArrowRule] | None = None) -> DataFrame:
@@ -84,10 +90,15 @@ def findings_of(builds: DataFrame, rules: Sequence[Rule | ArrowRule] | None = No
     What went wrong while reading comes before a build's failures. A failure
     may give several findings. Builds without either give none.
     """
+    return signed_findings(with_hits(failures_of(builds), rules), builds)
+
+
+def signed_findings(hit: DataFrame, builds: DataFrame) -> DataFrame:
+    """The findings of failures with hits, and those of reading their builds."""
     read = builds.select("build_key", F.lit(-1).alias("failure_ord"), F.posexplode("ingest_findings").alias("rule_ord", "h"))
     read = read.select(*FOUND, *[F.col(f"h.{c}") if c in ("category", "severity", "title", "evidence", "confidence") else F.lit(None).alias(c) for c in FIELDS])
     # outer: from an inner explode Spark infers a filter that evaluates all rules once more
-    hits = with_hits(failures_of(builds), rules).select("build_key", "failure_ord", F.posexplode_outer("hits").alias("rule_ord", "h"))
+    hits = hit.select("build_key", "failure_ord", F.posexplode_outer("hits").alias("rule_ord", "h"))
     hits = hits.where("rule_ord IS NOT NULL").select(*FOUND, "h.*")
     found = hits.unionByName(read)
     signed = let(collapsed(F.col("evidence")), lambda e: F.struct(e.alias("evidence"), signature(F.col("category"), F.col("title"), e).alias("signature")))

@@ -50,12 +50,18 @@ SIGNALS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """match and extract take no arguments: they build Columns over a failure's columns."""
+    """match and extract take no arguments: they build Columns over a failure's columns.
+
+    firsts tests lines: of a log in pieces (operators/pieces.py) the rule sees
+    the first line that passes each, and the evidence up to there. None: it
+    reads whole logs only.
+    """
 
     name: str
     match: Callable[[], Column]
     extract: Callable[[], Column]
     order: int = 10
+    firsts: tuple[Callable[[Column], Column], ...] | None = None
 
 
 #: What an Arrow rule reads of a failure.
@@ -130,7 +136,7 @@ def signal_bits(signals: tuple[str, ...]) -> int | None:
 
 
 def with_signals(found: Column) -> Column:
-    """Log lines with the bits of their signals, for which each line is searched once."""
+    """Log lines with the bits of their signals, for which each line is searched once, and times: 1, as each stands for itself."""
 
     def bits(text: Column) -> Column:
         out = F.lit(0).cast("bigint")
@@ -138,7 +144,7 @@ def with_signals(found: Column) -> Column:
             out = out + F.when(text.contains(s), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         return out
 
-    return F.transform(found, lambda x: x.withField("signals", bits(x["text"])))
+    return F.transform(found, lambda x: x.withField("signals", bits(x["text"])).withField("times", F.lit(1).cast("bigint")))
 
 
 def all_signals(found: Column) -> Column:
@@ -146,6 +152,24 @@ def all_signals(found: Column) -> Column:
     return F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x["signals"]))
 
 
+def hunk_test(line: Column) -> Column:
+    """Whether a line tells of a hunk that failed."""
+    return line_has(line, HUNK) & line["text"].rlike(PATCH_HUNK)
+
+
+def patched_test(line: Column) -> Column:
+    return line_has(line, PATCHED) & line["text"].rlike(PATCH_FILE)
+
+
+def patch_name_test(line: Column) -> Column:
+    return line_has(line, NOT_APPLIED, APPLYING) & line["text"].rlike(PATCH_NAME)
+
+
+def reason_test(line: Column) -> Column:
+    """Whether a line is an error of fetching."""
+    return (line["level"] == "ERROR") & F.lower(line["text"]).contains("fetch")
+
+
 def line_has(line: Column, *signals: str) -> Column:
     """Whether a line has one of the signals: by its bits, or by its text if they are signals of another rule's own."""
     bits = signal_bits(signals)
@@ -170,22 +194,29 @@ def first_match(pattern: str, *signals: str) -> Column:
     return F.when(any_line(*signals), first(lines(), lambda x: line_has(x, *signals) & x["text"].rlike(pattern)))["text"]
 
 
+def quiet(found: Column) -> Column:
+    """The lines that are no noise; all of them where a log has nothing else."""
+    kept = F.filter(found, lambda x: x["level"].isNull() | ~x["level"].isin(*NOISE))
+    return let(kept, lambda q: F.when(F.size(q) == 0, found).otherwise(q))
+
+
+def tail(found: Column) -> Column:
+    return F.slice(found, F.greatest(F.size(found) - (EVIDENCE - 1), F.lit(1)), EVIDENCE)
+
+
 def evidence(focus: Column | None = None) -> Column:
     """The last EVIDENCE lines up to focus that are no noise; from the end where none is that early.
 
     Noise counts only where a failure has nothing else.
     """
-    quiet = F.filter(lines(), lambda x: x["level"].isNull() | ~x["level"].isin(*NOISE))
 
     def window(pool: Column) -> Column:
-        tail = lambda a: F.slice(a, F.greatest(F.size(a) - (EVIDENCE - 1), F.lit(1)), EVIDENCE)
         if focus is None:
             return tail(pool)
         upto = let(focus, lambda n: F.filter(pool, lambda x: n.isNull() | (x["n"] <= n)))
         return let(upto, lambda u: tail(F.when(F.size(u) == 0, pool).otherwise(u)))
 
-    pool = let(quiet, lambda q: F.when(F.size(q) == 0, lines()).otherwise(q))
-    return F.transform(let(pool, window), rendered)
+    return F.transform(let(quiet(lines()), window), rendered)
 
 
 def recipe() -> Column:
@@ -246,7 +277,7 @@ def _dependency_matches() -> Column:
 def _fetch() -> Column:
     texts = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), "\n")
     scope = F.coalesce(F.nullif(texts(F.filter(lines(), lambda x: x["level"] == "ERROR")), F.lit("")), texts(lines()))
-    reason = first(lines(), lambda x: (x["level"] == "ERROR") & F.lower(x["text"]).contains("fetch"))
+    reason = first(lines(), reason_test)
 
     def title(s: Column) -> Column:
         error, uri = captured(s, FETCH_ERROR), captured(s, FETCH_URI)
@@ -259,11 +290,11 @@ def _fetch() -> Column:
 
 
 def _patch() -> Column:
-    hunk = first(lines(), lambda x: line_has(x, HUNK) & x["text"].rlike(PATCH_HUNK))
-    before = F.filter(lines(), lambda x: (x["n"] <= hunk["n"]) & line_has(x, PATCHED) & x["text"].rlike(PATCH_FILE))
+    hunk = first(lines(), hunk_test)
+    before = F.filter(lines(), lambda x: (x["n"] <= hunk["n"]) & patched_test(x))
     carried = captured(F.get(before, F.size(before) - 1)["text"], PATCH_FILE)
     path = F.coalesce(carried, captured(first_match(PATCH_REJECTS, REJECTS), PATCH_REJECTS))
-    named = first(lines(), lambda x: line_has(x, NOT_APPLIED, APPLYING) & x["text"].rlike(PATCH_NAME))
+    named = first(lines(), patch_name_test)
     parts = F.struct(
         captured(hunk["text"], PATCH_HUNK).cast("decimal(38,0)").cast("string").alias("hunk"),
         captured(hunk["text"], PATCH_HUNK, 2).cast("decimal(38,0)").cast("string").alias("line"),
@@ -290,12 +321,13 @@ def qa_class(text: Column) -> Column:
 
 
 def _qa() -> Column:
-    issues = F.transform(F.filter(lines(), lambda x: line_has(x, QA_ISSUE)), lambda x: F.struct(qa_class(x["text"]).alias("class"), x["text"].alias("text"), x["n"].alias("n")))
+    issues = F.transform(F.filter(lines(), lambda x: line_has(x, QA_ISSUE)), lambda x: F.struct(qa_class(x["text"]).alias("class"), x["text"].alias("text"), x["n"].alias("n"), x["times"].alias("times")))
 
     def counted(found: Column) -> Column:
         def one(c: Column) -> Column:
             of = F.filter(found, lambda x: x["class"] == c)
-            return F.struct((-F.size(of)).alias("order"), F.get(of, F.lit(0))["n"].alias("n"), c.alias("class"), F.get(of, F.lit(0))["text"].alias("text"))
+            size = F.aggregate(of, F.lit(0).cast("bigint"), lambda a, x: a + x["times"])
+            return F.struct((-size).alias("order"), F.get(of, F.lit(0))["n"].alias("n"), c.alias("class"), F.get(of, F.lit(0))["text"].alias("text"))
 
         return F.sort_array(F.transform(F.array_distinct(F.transform(found, lambda x: x["class"])), one))
 
@@ -319,15 +351,15 @@ def _unknown() -> Column:
 
 
 def register_defaults() -> None:
-    """The built-in rules and fallback."""
+    """The built-in rules and fallback. What they read of logs in pieces is said in operators/pieces.py."""
     configure = lambda: any_line(*CONFIGURE_SIGNALS)
-    register(Rule("configure", configure, _configure, 5))
-    register(Rule("compile", lambda: any_line(*COMPILE_SIGNALS) & ~configure(), _compile))
-    register(Rule("dependency", _dependency_matches, _dependency))
-    register(Rule("fetch", lambda: F.coalesce(F.col("task") == "do_fetch", F.lit(False)) & any_line(*FETCH_SIGNALS), _fetch))
-    register(Rule("patch", lambda: any_line(NOT_APPLIED, REJECTS) | (any_line(HUNK) & F.exists(lines(), lambda x: line_has(x, HUNK) & x["text"].rlike(PATCH_HUNK))), _patch))
-    register(Rule("qa", lambda: F.coalesce(F.col("task") == "do_package_qa", F.lit(False)) | any_line(QA_ISSUE, QA_FATAL), _qa))
-    set_fallback(Rule("fallback", lambda: F.lit(True), _unknown, 1000))
+    register(Rule("configure", configure, _configure, 5, ()))
+    register(Rule("compile", lambda: any_line(*COMPILE_SIGNALS) & ~configure(), _compile, firsts=()))
+    register(Rule("dependency", _dependency_matches, _dependency, firsts=()))
+    register(Rule("fetch", lambda: F.coalesce(F.col("task") == "do_fetch", F.lit(False)) & any_line(*FETCH_SIGNALS), _fetch, firsts=()))
+    register(Rule("patch", lambda: any_line(NOT_APPLIED, REJECTS) | (any_line(HUNK) & F.exists(lines(), hunk_test)), _patch, firsts=()))
+    register(Rule("qa", lambda: F.coalesce(F.col("task") == "do_package_qa", F.lit(False)) | any_line(QA_ISSUE, QA_FATAL), _qa, firsts=()))
+    set_fallback(Rule("fallback", lambda: F.lit(True), _unknown, 1000, ()))
 
 
 register_defaults()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import labels, text
 from emberlog.operators import engine, summary, trend
+from emberlog.operators.pieces import analyze_pieces, cut
 from emberlog.plans.logs import FINDINGS, LINES, RANKED, builds, host, normal, report, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +209,14 @@ for _c in ("configure", "compile", "dependency", "fetch", "patch", "qa", "unknow
     _classify(_c)
 
 
+@query(on_findings(f"SELECT {', '.join(SHOWN)} FROM findings"))
+def findings_of_pieces(spark, sf):
+    """All logs in pieces of 50 characters, which end within lines."""
+    whole = builds(spark, sf)
+    failures = engine.failures_of(whole)
+    return flat(analyze_pieces(whole, failures, cut(failures, 50)).findings)
+
+
 @query(on_findings("SELECT build_key, failure_ord, count(*) AS n_hits, string_agg(category, ',' ORDER BY rule_ord) AS categories FROM findings GROUP BY ALL"))
 def multi_hit(spark, sf):
     hits = engine.with_hits(engine.failures_of(builds(spark, sf))).select("build_key", F.col("failure_ord").cast("bigint").alias("failure_ord"), F.transform("hits", lambda h: h["category"]).alias("c"))
