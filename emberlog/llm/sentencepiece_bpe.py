@@ -83,6 +83,8 @@ class PieceModel:
         self.keys = np.array([*(k for k, _, _ in pairs), -1], np.int64)
         self.ranks = np.array([*(r for _, r, _ in pairs), NEVER], np.int64)
         self.merged = np.array([*(m for _, _, m in pairs), 0], np.int32)
+        inside = {(normal[a], normal[b]) for p in normal for a, b in zip(p, p[1:], strict=False) if a in normal and b in normal}
+        self.inside = np.array(sorted(a * (n + 1) + b for a, b in inside), np.int64)
         self._hash_pairs()
         of_byte = {int(i): bytes([b]) for b, i in enumerate(self.byte) if i != self.unk}
         decoded = [of_byte.get(i, b"" if sp.is_control(i) else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
@@ -128,12 +130,24 @@ class PieceModel:
         found[self.keys[found] != key] = len(self.keys) - 1
         return self.ranks[found], self.merged[found]
 
+    def beside(self, sym: np.ndarray) -> np.ndarray:
+        """Whether a piece holds a character and the next one side by side: no merge crosses other places."""
+        key = sym[:-1].astype(np.int64) * self.base + sym[1:]
+        at = np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)
+        return self.inside[at] == key
+
     def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all words after merging, and the word of each symbol."""
+        """Symbols of all words after merging, and the word of each symbol.
+
+        Words are cut where no merge can cross, so that the parts of a long
+        word have minima of their own.
+        """
         cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = self.of_char[cp]
         raw = cp.astype(np.int64)  # the character of a symbol without a piece
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        cut = np.r_[np.ones(min(len(sym), 1), bool), (owner[1:] != owner[:-1]) | ~self.beside(sym)]
+        owner, word = owner[cut], np.cumsum(cut) - 1
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(sym):
             first = np.r_[True, word[1:] != word[:-1]]
@@ -179,7 +193,7 @@ class PieceModel:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         word, sym, raw = (np.concatenate([d[k] for d in done]) for k in range(3))
         order = np.argsort(word, kind="stable")
-        return self._bytes(sym[order], raw[order], word[order])
+        return self._bytes(sym[order], raw[order], owner[word[order]])
 
     def _bytes(self, sym: np.ndarray, raw: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become the pieces of their UTF-8 bytes."""

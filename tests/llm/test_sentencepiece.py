@@ -1,5 +1,6 @@
 """Encoding and decoding against the sentencepiece library."""
 
+import base64
 import hashlib
 import random
 
@@ -101,3 +102,18 @@ def test_clashing_names(docs):
     wide = df.selectExpr("*", "7 AS n_tokens", "'x' AS ids_sha256", "8 AS ids", "9 AS decoded_sha256")
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(str, bpe.digests(wide).select(*columns).collect())) == sorted(map(str, bpe.digests(df).select(*columns).collect()))
+
+
+def test_long_words_are_cut_where_no_piece_crosses(library):
+    rnd = random.Random(3)
+    texts = [
+        "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30000)),
+        base64.b64encode(rnd.randbytes(30000)).decode(),
+        rnd.randbytes(20000).hex(),
+        "a" * 20000 + "é漢😀" * 2000,
+    ]
+    model = bpe.PieceModel(PATH)
+    ids, start = model.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:], strict=True)] == library.encode(texts)
+    characters = model.of_char[np.array([ord(c) for c in "qz"])]
+    assert not model.beside(characters).any() and model.beside(model.of_char[np.array([ord(c) for c in "th"])]).all()
