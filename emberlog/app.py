@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--format", choices=("text", "json", "sarif"), default="text")
     c.add_argument("--max-evidence", type=int, default=15)
     c.add_argument("--no-color", action="store_true")
+    c.add_argument("--redact", action="store_true", help="leave host identity out of titles and evidence")
     c = command("report", "write index.html and report.json")
     filters(c)
     c.add_argument("--html", required=True, metavar="DIR")
@@ -98,6 +99,7 @@ def _analyze(spark: SparkSession, report: Report, args: argparse.Namespace) -> i
     report = report.filtered(args.category, args.recipe)
     code = int(over_threshold(report.findings, args.fail_on))
     report = Report(report.builds, cap_evidence(report.findings, args.max_evidence), report.groups)
+    report = report.redacted() if args.redact else report
     color = not (args.no_color or args.output or os.environ.get("NO_COLOR")) and sys.stdout.isatty()
     made = {"text": lambda: documents.text(report, code, color), "json": lambda: documents.analysis_json(report), "sarif": lambda: documents.sarif(report)}
     _write(made[args.format](), args.output)

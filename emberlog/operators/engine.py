@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog import schema
 from emberlog.functions.labels import phase_rank, severity_rank
-from emberlog.functions.text import collapsed, let, log_lines, signature
+from emberlog.functions.text import collapsed, let, log_lines, redact_host, signature
 from emberlog.operators.rules import ArrowRule, Rule, all_signals, fallback_rule, registered_rules, with_signals
 from emberlog.operators.rules import recipe as recipe_of
 from emberlog.shared import written
@@ -35,6 +35,11 @@ class Report:
         """The groups by occurrences, most first, then by signature."""
         return self.groups.orderBy(*group_order())
 
+    def redacted(self) -> Report:
+        """Titles and evidence without host identity; signatures and groups stay."""
+        kept = self.findings.withColumns({"title": redact_host(F.col("title")), "evidence": F.transform("evidence", redact_host)})
+        return replace(self, findings=kept)
+
     def filtered(self, categories: Sequence[str] = (), recipe: str | None = None) -> Report:
         """The findings of these categories and this recipe; groups stay those of all findings."""
         kept = self.findings

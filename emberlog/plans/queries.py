@@ -96,11 +96,12 @@ _SECRET = "(?i)password|passwd|secret|token|api[_-]?key|private[_-]?key|credenti
 
 
 @query(
-    f"""SELECT doc_id, coalesce(string_agg(CASE WHEN regexp_matches(t, '{_SECRET}') THEN '# [redacted secret]' ELSE t END, chr(10) ORDER BY n), '') AS shown
-    FROM ({_DOC_LINES}) WHERE n < m OR t <> '' GROUP BY doc_id"""
+    f"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(s, '') END AS shown FROM documents LEFT JOIN (
+    SELECT doc_id, string_agg(CASE WHEN regexp_matches(t, '{_SECRET}') THEN '# [redacted secret]' ELSE t END, chr(10) ORDER BY n) AS s
+    FROM ({_DOC_LINES}) WHERE n < m OR t <> '' GROUP BY doc_id) USING (doc_id)"""
 )
 def redact_secrets(spark, sf):
-    return table(spark, sf, "documents").where("text <> ''").select("doc_id", text.redact_secrets(F.col("text")).alias("shown"))
+    return table(spark, sf, "documents").select("doc_id", text.redact_secrets(F.col("text")).alias("shown"))
 
 
 @query(f"SELECT doc_id, n FROM ({_WHOLE}) WHERE regexp_matches(t, '{_SECRET}')")
@@ -146,9 +147,10 @@ def collapse_repeats(spark, sf):
 
 @query(on_lines("SELECT build_key, failure_ord, n FROM (SELECT *, bool_or(level IS NULL OR level NOT IN ('NOTE', 'DEBUG')) OVER (PARTITION BY build_key, failure_ord) AS s FROM lines) WHERE NOT s OR level IS NULL OR level NOT IN ('NOTE', 'DEBUG')"))
 def noise_filter(spark, sf):
-    signal = F.col("level").isNull() | ~F.col("level").isin("NOTE", "DEBUG")
-    any_signal = F.bool_or(signal).over(Window.partitionBy("build_key", "failure_ord"))
-    return failure_lines(spark, sf).withColumn("s", any_signal).where(~F.col("s") | signal).select("build_key", "failure_ord", "n")
+    from emberlog.operators.rules import quiet
+
+    kept = engine.failures_of(builds(spark, sf)).select("build_key", F.col("failure_ord").cast("bigint").alias("failure_ord"), F.explode(quiet(text.log_lines(F.col("log")))).alias("l"))
+    return kept.select("build_key", "failure_ord", F.col("l.n").cast("bigint").alias("n"))
 
 
 @query(on_lines(r"SELECT build_key, failure_ord, n, last_value(nullif(regexp_extract(body, 'patching file (\S+)', 1), '') IGNORE NULLS) OVER (PARTITION BY build_key, failure_ord ORDER BY n) AS file FROM lines"))
@@ -290,8 +292,7 @@ def category_summary(spark, sf):
 def sarif_rules(spark, sf):
     from emberlog.sinks.documents import categories_in_order
 
-    ordered = categories_in_order(found(spark, sf)).agg(F.collect_list("category").alias("c"))  # a row for each category
-    return ordered.select(F.posexplode("c").alias("place", "category")).select("category", (F.col("place") + 1).cast("bigint").alias("place"))
+    return categories_in_order(found(spark, sf)).select("category", F.col("place").cast("bigint").alias("place"))
 
 
 _CAUSES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.LIKELY_CAUSE.items())
@@ -771,6 +772,11 @@ def analysis_document(spark, sf):
     return rows_.withColumns({"evidence": F.array_join("evidence", "\n"), "n_recipes": F.size("affected_recipes").cast("bigint")}).drop("affected_recipes")
 
 
+@query(on_findings(f"SELECT build_key, failure_ord, rule_ord, {host('title')} AS title, {host('evidence')} AS evidence, signature FROM findings"))
+def redacted_findings(spark, sf):
+    return flat(report(spark, sf).redacted().findings).select("build_key", "failure_ord", "rule_ord", "title", "evidence", "signature")
+
+
 @query(
     on_findings(
         f"""SELECT row_number() OVER (ORDER BY {RANKED}) - 1 AS place, category AS rule, CASE severity WHEN 'error' THEN 'error' WHEN 'failure' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level,

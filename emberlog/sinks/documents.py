@@ -12,7 +12,7 @@ import json
 import textwrap
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.labels import LIKELY_CAUSE, phase_rank, sarif_level, severity_rank
@@ -84,7 +84,7 @@ def finding_json(findings: DataFrame, groups: DataFrame, redacted: bool) -> Data
 
 
 def analysis_json(report: Report) -> Iterator[str]:
-    """Findings and totals, as they are (not redacted)."""
+    """Findings and totals, as they are (Report.redacted leaves host identity out)."""
     rows = ({k: r[k] for k in KEYS} for r in _ranked(finding_json(report.findings, report.groups, False)))
     yield '{\n  "findings": '
     yield from _array(rows, 1)
@@ -104,11 +104,12 @@ def report_json(report: Report, version: str = VERSION) -> Iterator[str]:
 
 
 def categories_in_order(findings: DataFrame) -> DataFrame:
-    """(category) in the order of their best-ranked finding."""
+    """(category, place) in the order of their best-ranked finding."""
     first = F.struct(severity_rank(F.col("severity")).alias("s"), (-F.col("confidence")).alias("c"), F.coalesce("recipe", F.lit("")).alias("r"), "signature")
     # a category has one phase, so the phase can be compared apart
     by = findings.groupBy("category").agg(F.min(first).alias("f"))
-    return by.orderBy("f.s", phase_rank(F.col("category")), "f.c", "f.r", "f.signature").select("category")
+    order = Window.orderBy("f.s", phase_rank(F.col("category")), "f.c", "f.r", "f.signature")
+    return by.select("category", F.row_number().over(order).alias("place")).orderBy("place")  # a row for each category
 
 
 def sarif(report: Report, version: str = VERSION) -> Iterator[str]:

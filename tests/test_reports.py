@@ -139,6 +139,9 @@ def test_documents(spark, folder):
     doc = "".join(documents.report_json(r))
     assert doc == json.dumps(json.loads(doc), indent=2, sort_keys=True) + "\n"
     assert "/home/me" not in doc and json.loads(doc)["summary"]["errors"] == 2
+    plain, shown = ("".join(documents.text(x, 1)) for x in (r, r.redacted()))
+    assert "/home/me" in plain and "/home/me" not in shown and "HOSTDIR" in shown
+    assert "/home/me" not in "".join(documents.analysis_json(r.redacted()))
     sarif = "".join(documents.sarif(r))
     assert sarif == json.dumps(json.loads(sarif), indent=2, sort_keys=True) + "\n"
     assert [x["id"] for x in json.loads(sarif)["runs"][0]["tool"]["driver"]["rules"]] == ["fetch", "compile"]
