@@ -1,11 +1,12 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are sorted into tiles of one population count. Only tiles whose
-counts differ by no more than the radius are compared; within them, sub-tiles
-whose four quarter counts are farther apart than the radius are skipped too.
-What remains is compared exactly by numpy exclusive-or and bit counts. A tile
-pair returns one link per fingerprint at most, which connect what all its pairs
-connect.
+Fingerprints are sorted into tiles of one population count, and tiles into
+blocks. A tile travels once for each pair of blocks, which a task compares. Only
+tiles whose counts differ by no more than the radius are compared; within them,
+sub-tiles whose four quarter counts are farther apart than the radius are skipped
+too. What remains is compared exactly by numpy exclusive-or and bit counts. A
+tile pair returns one link per fingerprint at most, which connect what all its
+pairs connect.
 
 For a bound on the similarity itself (similar_groups) such groups are only
 candidates: within each, the shingle sets of the pairs with close fingerprints
@@ -28,6 +29,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SHINGLES_AT_ONCE = 100_000
 #: Fingerprints of a tile (aimed at; dealt by hash) and of a sub-tile.
 TILE, SUB_TILE = 8192, 128
+#: Rows that are compared with a tile at once: few, so that what they give stays in the cache.
+STRIP = 16
+#: Blocks that the fingerprints are cut into, for tasks enough, and fingerprints of a block at most (and a tile more).
+BLOCKS, BLOCK = 16, 262_144
 #: Tasks of the comparison at most.
 TASKS = 4096
 #: Texts and shingles of a chunk of a candidate group (aimed at), and shingles for a task of small groups.
@@ -100,6 +105,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, radius: int, total: int) -> Itera
     low_b, high_b = np.minimum.reduceat(qb, cuts), np.maximum.reduceat(qb, cuts)
     sub = np.arange(len(b)) // SUB_TILE
     lead = np.ascontiguousarray(b[:, 0])
+    held = [np.empty(STRIP * len(b), kind) for kind in (np.uint64, np.uint8, np.bool_)]
     for s in range(0, len(a), SUB_TILE):
         part = a[s : s + SUB_TILE]
         low, high = qa[s : s + SUB_TILE].min(axis=0), qa[s : s + SUB_TILE].max(axis=0)
@@ -108,7 +114,14 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, radius: int, total: int) -> Itera
         if not near.any():
             continue
         rows = slice(None) if near.all() else np.nonzero(near[sub])[0]
-        x, y = np.nonzero(np.bitwise_count(part[:, 0][:, None] ^ lead[rows][None, :]) <= radius)
+        beside = lead[rows]
+        hits = []
+        for r in range(0, len(part), STRIP):
+            xor, count, close = (v[: len(part[r : r + STRIP]) * len(beside)].reshape(-1, len(beside)) for v in held)
+            np.bitwise_xor(part[r : r + STRIP, :1], beside, out=xor)
+            np.less_equal(np.bitwise_count(xor, out=count), radius, out=close)
+            hits.append(np.flatnonzero(close) + r * len(beside))
+        x, y = np.divmod(np.concatenate(hits), len(beside))
         y = y if near.all() else rows[y]
         if part.shape[1] > 1 and len(x):
             close = np.bitwise_count(part[x] ^ b[y]).sum(axis=1) <= total
@@ -144,37 +157,57 @@ def links(classes: DataFrame, words: int, radius: int, total: int, written: list
     """(a, b): links between distinct fingerprints (node, fp) that keep all connections.
 
     Tiles hold the fingerprints of one population count (of the first word),
-    dealt by hash into as many as keep each near TILE rows; a tile travels as
-    one row to each tile that it must meet. The table of tiles goes to written, if there is one.
+    dealt by hash into as many as keep each near TILE rows; blocks are runs of
+    tiles. A tile travels as one row to each pair of blocks that it is in and
+    that have counts within the radius, not to each tile that it must meet. The
+    table of tiles goes to written, if there is one.
     """
     n = classes.select(F.bit_count(F.get("fp", F.lit(0))).alias("pop"), "node", "fp")
-    sizes = n.groupBy("pop").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))  # 65 rows at most
+    counts = sorted(map(tuple, n.groupBy("pop").count().collect()))  # 65 rows at most
+    total_rows = sum(c for _, c in counts)
+    block = max(TILE, min(BLOCK, -(-total_rows // BLOCKS)))
+    runs, before = [], 0
+    for pop, count in counts:
+        runs.append((pop, -(-count // TILE), count, before))
+        before += count
+    sizes = classes.sparkSession.createDataFrame(runs, "pop int, tiles int, count bigint, before bigint")
     dealt = n.join(F.broadcast(sizes), "pop").withColumn("part", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    rows = dealt.groupBy("pop", "part").agg(F.collect_list(F.struct("node", "fp")).alias("rows"))
-    tiles = materialize(rows.select("pop", "part", F.col("rows.node").alias("nodes"), F.flatten("rows.fp").alias("fps")), "tiles")
+    at = F.expr(f"CAST((before + part * count DIV tiles) DIV {block} AS INT)")
+    rows = dealt.groupBy(at.alias("block"), "pop", "part").agg(F.collect_list(F.struct("node", "fp")).alias("rows"))
+    tiles = materialize(rows.select("block", "pop", "part", F.col("rows.node").alias("nodes"), F.flatten("rows.fp").alias("fps")), "tiles")
     if written is not None:
         written.append(tiles)
-    right = tiles.select(*[F.col(c).alias(f"{c}2") for c in tiles.columns])
-    # the narrow ids are paired first, so each pair can go to a task of its own
-    left = tiles.select("pop", "part").withColumn("pop2", F.explode(F.expr(f"sequence(pop, least(64, pop + {int(radius)}))")))
-    pairs = left.join(right.select("pop2", "part2"), "pop2").where("pop < pop2 OR part <= part2")
-    tasks = max(1, min(TASKS, pairs.count()))  # few bytes but much work: small shuffles must not be merged into few
-    pairs = pairs.join(tiles, ["pop", "part"]).join(right, ["pop2", "part2"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                at = {c: batch.column(c)[row] for c in batch.schema.names}
-                a, b = (at[c].values.to_numpy().view(np.uint64).reshape(-1, words) for c in ("fps", "fps2"))
-                same = at["pop"] == at["pop2"] and at["part"] == at["part2"]
-                nodes = at["nodes"].values.to_numpy()
-                nodes = nodes if same else np.concatenate([nodes, at["nodes2"].values.to_numpy()])
-                hung, root = tile_links(a, b, same, radius, total)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[root])], ["a", "b"])
-
-    spread = pairs.select("pop", "part", "pop2", "part2", "nodes", "fps", "nodes2", "fps2")
-    spread = spread.repartition(tasks, "pop", "part", "pop2", "part2")
-    return spread.mapInArrow(compare, "a bigint, b bigint").where("a <> b")
+    ranges: dict[int, list[int]] = {}  # the counts in each block
+    for pop, n_tiles, count, start in runs:
+        for of in range(start // block, (start + (n_tiles - 1) * count // n_tiles) // block + 1):
+            ranges.setdefault(of, []).append(pop)
+    beside = {i: [j for j in ranges if max(ranges[i][0] - ranges[j][-1], ranges[j][0] - ranges[i][-1]) <= radius] for i in ranges}
+    met = classes.sparkSession.createDataFrame([(i, min(js), max(js)) for i, js in beside.items()], "block int, first int, last int")
+    n_pairs = sum(j >= i for i, js in beside.items() for j in js)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        sides: tuple[list, list] = [], []
+        for of, pop, nodes, fps in zip(*[rows.column(c) for c in ("block", "pop", "nodes", "fps")], strict=True):
+            tile = pop.as_py(), nodes.values.to_numpy(), fps.values.to_numpy().view(np.uint64).reshape(-1, words)
+            sides[of.as_py() != low].append(tile)
+        found = [np.zeros((2, 0), np.int64)]
+        for i, (pop, nodes, fps) in enumerate(sides[0]):
+            for k, (pop2, nodes2, fps2) in enumerate(sides[0][i:] if low == high else sides[1]):
+                if abs(pop - pop2) > radius:
+                    continue
+                same = low == high and k == 0
+                hung, root = tile_links(fps, fps2, same, radius, total)
+                names = nodes if same else np.concatenate([nodes, nodes2])
+                found.append(np.stack([names[hung], names[root]]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    each = tiles.join(F.broadcast(met), "block").withColumn("other", F.explode(F.expr("sequence(first, last)")))
+    each = each.select("block", "pop", "nodes", "fps", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    # few bytes but much work: small shuffles must not be merged into few
+    spread = each.repartition(max(1, min(TASKS, 2 * n_pairs)), "low", "high")
+    return spread.groupBy("low", "high").applyInArrow(compare, "a bigint, b bigint").where("a <> b")
 
 
 def simhash_groups(

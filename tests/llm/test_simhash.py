@@ -80,6 +80,39 @@ def test_small_tiles_give_the_same_groups(spark, monkeypatch):
     assert all(len(g) == 1 for g in group.values()) and len({next(iter(g)) for g in group.values()}) == len(group)
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_four_times_the_fingerprints_shuffle_less_than_eight_times_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 10)
+    monkeypatch.setattr(simhash, "BLOCKS", 4, raising=False)
+    rnd, moved = random.Random(5), []
+    for n in (300, 1200):
+        rows = [(i, [rnd.getrandbits(64) - 2**63 for _ in range(4)]) for i in range(n)]
+        classes = spark.createDataFrame(rows, "node bigint, fp array<bigint>")
+        before = shuffled(spark)
+        simhash.links(classes, 4, 20, 54).count()
+        moved.append(shuffled(spark) - before)
+    assert 0 < moved[1] < 8 * moved[0], moved
+
+
+def test_blocks_lose_no_link_between_them(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 10)
+    rnd = random.Random(6)
+    fps = [sum(1 << b for b in rnd.sample(range(64), k)) for k in range(1, 64) for _ in range(6)]
+    fps += [f ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for f in fps]
+    fps = list(dict.fromkeys(fps))
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    classes = spark.createDataFrame([(f, [f]) for f in signed], "node bigint, fp array<bigint>")
+    roots = {r.node: r.root for r in components(simhash.links(classes, 1, 4, 4)).collect()}
+    want = brute_components(list(zip(signed, fps, strict=True)), 4)
+    assert {f: roots.get(f, f) for f in signed} == want and len(set(want.values())) < len(fps) - 200
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
