@@ -12,12 +12,13 @@ import json
 import textwrap
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.labels import LIKELY_CAUSE, phase_rank, sarif_level, severity_rank
 from emberlog.functions.text import basename, redact_host
-from emberlog.operators.engine import Report, rank_order, totals, with_occurrences
+from emberlog.operators.engine import Report, placed, rank_order, totals, with_occurrences
 from emberlog.operators.summary import BUDGET, MOST_EVIDENCE, Summary, shown, within_budget
 
 VERSION = "0.1.0"
@@ -83,12 +84,32 @@ def finding_json(findings: DataFrame, groups: DataFrame, redacted: bool) -> Data
     return full
 
 
+def analysis_pieces(report: Report) -> tuple[str, DataFrame, str]:
+    """The analysis document in pieces: its head, the findings (place from 0, piece), its tail.
+
+    Findings are written as JSON where they are; put together in order, the pieces are the document.
+    """
+    found = placed(finding_json(report.findings, report.groups, False))
+
+    @F.arrow_udf("string")
+    def piece(place: pa.Array, findings: pa.Array) -> pa.Array:
+        made = zip(place.to_pylist(), findings.to_pylist(), strict=True)
+        return pa.array([(",\n" if k else "[\n") + textwrap.indent(_dumps(f), "    ", lambda _: True) for k, f in made], pa.string())
+
+    place = F.col("rank").cast("bigint") - 1
+    each = found.select(place.alias("place"), piece(place, F.struct(*KEYS)).alias("piece"))
+    t = totals(found)
+    end = "\n  ]" if t["by_category"] else "[]"
+    return '{\n  "findings": ', each, end + ",\n" + _member("schema_version", SCHEMA_VERSION) + ",\n" + _member("summary", t) + "\n}\n"
+
+
 def analysis_json(report: Report) -> Iterator[str]:
     """Findings and totals, as they are (Report.redacted leaves host identity out)."""
-    rows = ({k: r[k] for k in KEYS} for r in _ranked(finding_json(report.findings, report.groups, False)))
-    yield '{\n  "findings": '
-    yield from _array(rows, 1)
-    yield ",\n" + _member("schema_version", SCHEMA_VERSION) + ",\n" + _member("summary", totals(report.findings)) + "\n}\n"
+    head, each, tail = analysis_pieces(report)
+    yield head
+    for r in each.orderBy("place").toLocalIterator():
+        yield r["piece"]
+    yield tail
 
 
 def report_json(report: Report, version: str = VERSION) -> Iterator[str]:
